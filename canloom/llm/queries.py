@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canloom.llm import decontam, tokens
+from canloom.llm import decontam, simhash, tokens
 from canloom.llm.common import documents, fresh_path
 
 
+def op1_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each call starts a cache of its own, so that its result never rests on an earlier call."""
     import public_tokenizers
@@ -23,6 +27,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_simhash_components": op1_simhash_components,
         "op2_token_counts": op2_token_counts,
         "op7_decontamination": op7_decontamination,
     }
