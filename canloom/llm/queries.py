@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canloom.llm import decontam, quality, simhash, tokens
+from canloom.llm import decontam, quality, simhash, tokens, toxicity
 from canloom.llm.common import documents, fresh_path
 
 
@@ -25,6 +25,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir)).select("doc_id", *quality.METRICS, "base_failed", "kept", "bits")
 
@@ -34,6 +38,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash_components": op1_simhash_components,
         "op2_token_counts": op2_token_counts,
         "op7_decontamination": op7_decontamination,
+        "op9_toxicity": op9_toxicity,
         "op10_quality_rules": op10_quality_rules,
     }
 
