@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canloom.llm import decontam, quality, simhash, tokens, toxicity
+from canloom.llm import decontam, mixing, quality, simhash, tokens, toxicity
 from canloom.llm.common import documents, fresh_path
 
 
@@ -21,6 +21,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), fresh_path(spark, "token-cache"))
 
 
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -37,6 +41,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_components": op1_simhash_components,
         "op2_token_counts": op2_token_counts,
+        "op3_source_mix": op3_source_mix,
         "op7_decontamination": op7_decontamination,
         "op9_toxicity": op9_toxicity,
         "op10_quality_rules": op10_quality_rules,
