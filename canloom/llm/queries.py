@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canloom.llm import decontam, mixing, quality, simhash, tokens, toxicity
+from canloom.llm import decontam, mixing, pii, quality, simhash, tokens, toxicity
 from canloom.llm.common import documents, fresh_path
 
 
@@ -29,6 +29,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(documents(spark, sf_dir))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -43,6 +47,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_counts": op2_token_counts,
         "op3_source_mix": op3_source_mix,
         "op7_decontamination": op7_decontamination,
+        "op8_personal_data": op8_personal_data,
         "op9_toxicity": op9_toxicity,
         "op10_quality_rules": op10_quality_rules,
     }
