@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canloom.llm import decontam, mixing, pii, quality, simhash, tokens, toxicity, wrapper
+from canloom.llm import decontam, mixing, pii, quality, simhash, suffixdup, tokens, toxicity, wrapper
 from canloom.llm.common import documents, fresh_path
 
 
@@ -25,6 +25,10 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdup.report(documents(spark, sf_dir))
+
+
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -50,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash_components": op1_simhash_components,
         "op2_token_counts": op2_token_counts,
         "op3_source_mix": op3_source_mix,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op6_main_text": op6_main_text,
         "op7_decontamination": op7_decontamination,
         "op8_personal_data": op8_personal_data,
