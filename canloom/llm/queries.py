@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canloom.llm import decontam, mixing, pii, quality, simhash, suffixdup, tokens, toxicity, wrapper
+from canloom.llm import decontam, hmm, mixing, pii, quality, simhash, suffixdup, tokens, toxicity, wrapper
 from canloom.llm.common import documents, fresh_path
 
 
@@ -29,6 +29,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdup.report(documents(spark, sf_dir))
 
 
+def op5_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(documents(spark, sf_dir))
+
+
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -55,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_counts": op2_token_counts,
         "op3_source_mix": op3_source_mix,
         "op4_suffix_dedup": op4_suffix_dedup,
+        "op5_hmm_scores": op5_hmm_scores,
         "op6_main_text": op6_main_text,
         "op7_decontamination": op7_decontamination,
         "op8_personal_data": op8_personal_data,
