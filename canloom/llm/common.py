@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,3 +78,26 @@ def steps(texts: list[bytes], most: int = STEP_BYTES) -> Iterator[tuple[int, int
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+#: Bits of a membership map, at most (32 MB); a fuller map lets more rows through, and never loses one.
+MAP_BITS = 28
+
+
+def membership(keys: DataFrame, column: str) -> np.ndarray:
+    """A bit map of the longs in keys[column], 16 bits a key up to the bound; read it by ``member``."""
+    n = keys.count()
+    bits = min(MAP_BITS, max(16, (16 * n).bit_length()))
+    place = F.col(column).bitwiseAND((1 << bits) - 1)
+    word = F.shiftright(place, 6).alias("word")
+    marks = keys.select(word, F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("mark")).groupBy("word").agg(F.bit_or("mark").alias("mark"))
+    table = marks.toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[table.column(0).to_numpy()] = table.column(1).to_numpy().view(np.uint64)
+    return out
+
+
+def member(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """False only for longs that the map surely lacks."""
+    place = keys.view(np.uint64) & np.uint64(64 * len(bitmap) - 1)
+    return (bitmap[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1

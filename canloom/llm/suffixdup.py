@@ -1,8 +1,8 @@
 """Removal of long repeated byte strings by range-partitioned suffix sorting.
 
-Which suffixes are sorted. Every window of ``LENGTH`` bytes has an anchor: the place in it whose GRAM = LENGTH / 2
-bytes have the smallest hash. The anchor depends on the window's bytes alone, so two equal windows have equal anchors
-at equal places, and only suffixes that start at anchors need to meet: one in about a hundred. An anchor's segment is
+Which suffixes are sorted. Every window of ``LENGTH`` bytes has an anchor: the place in it whose next bytes, a third
+of LENGTH, have the smallest hash. The anchor depends on the window's bytes alone, so two equal windows have equal
+anchors at equal places, and only suffixes that start at anchors need to meet: one in over a hundred. An anchor's segment is
 the stretch of all windows that it is the anchor of.
 
 1. Anchors (hash of the gram, hash of the whole segment, place) are counted. A segment that occurs twice is repeated
@@ -30,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canloom.llm.common import materialize, small_batches, utf8
+from canloom.llm.common import materialize, member, membership, small_batches, utf8
 
 LENGTH = 400
 #: Window starts that are looked at together; longer texts are taken in turns.
 CHUNK = 1 << 20
 #: Leading bytes that buckets are split by.
 LEAD = 32
+#: Suffixes that are sorted together at least; a bucket has many such batches.
+BATCH = 2048
 PLACE_BITS = 22
 assert CHUNK + LENGTH < 1 << PLACE_BITS
 
@@ -90,7 +92,7 @@ def _window_minimum(x: np.ndarray, width: int) -> np.ndarray:
 
 def anchors(text: bytes, length: int = LENGTH) -> list[tuple[np.ndarray, ...]]:
     """(gram hash, segment hash, anchor, first window, last window) of a text, in chunks of window starts."""
-    gram, out = length // 2, []
+    gram, out = length // 3, []
     for start in range(0, len(text) - length + 1, CHUNK):
         data = np.frombuffer(text, np.uint8, min(len(text) - start, CHUNK + length - 1), start)
         one = Hashes(data, 0)
@@ -220,24 +222,25 @@ def repeated(before: list[bytes], after: list[bytes], length: int) -> list[list[
     longest = np.array([len(b) for b in before], np.int64)
     least = length - np.array([len(a) for a in after], np.int64)
     # what is shared changes with o only at these values
-    stops = np.unique(np.concatenate((shared_b + 1, length - shared_a, least, longest + 1)))
-    stops = stops[(stops >= max(0, int(least.min()))) & (stops <= int(longest.max()) + 1)]
+    end = int(longest.max(initial=-1)) + 1
+    stops = np.unique(np.concatenate((shared_b + 1, length - shared_a, least, longest + 1, [end])))
+    stops = stops[(stops >= max(0, int(least.min(initial=end)))) & (stops <= end)]
     group_b, group_a = np.empty(n, np.int64), np.empty(n, np.int64)
-    found: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-    for o, after_o in zip(stops.tolist(), [*stops[1:].tolist(), int(longest.max()) + 1]):
-        own = (least <= o) & (o <= longest)
-        if after_o <= o or own.sum() < 2:
+    hit = np.zeros((len(stops) + 1, n), bool)
+    for k, o in enumerate(stops.tolist()):
+        own = np.flatnonzero((least <= o) & (o <= longest))
+        if len(own) < 2:
             continue
         group_b[order_b] = np.cumsum(shared_b < o)
         group_a[order_a] = np.cumsum(shared_a < length - o)
-        key = group_b * (n + 1) + group_a
-        key[~own] = -1 - np.arange(int((~own).sum()))
-        back, count = np.unique(key, return_inverse=True, return_counts=True)[1:]
-        for i in np.flatnonzero(own & (count[back] > 1)).tolist():
-            if found[i] and found[i][-1][1] == o - 1:
-                found[i][-1] = (found[i][-1][0], after_o - 1)
-            else:
-                found[i].append((o, after_o - 1))
+        back, count = np.unique(group_b[own] * (n + 1) + group_a[own], return_inverse=True, return_counts=True)[1:]
+        hit[k, own] = count[back] > 1
+    found: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    edge = np.diff(np.concatenate((np.zeros((1, n), np.int8), hit.astype(np.int8))), axis=0).T
+    rows, first = np.nonzero(edge == 1)
+    last = np.nonzero(edge == -1)[1]
+    for i, a, b in zip(rows.tolist(), stops[first].tolist(), stops[last].tolist()):
+        found[i].append((a, b - 1))
     return found
 
 
@@ -256,9 +259,8 @@ def _bucket(length: int):
         group: list[tuple] = []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if group and row[0] != group[0][0]:
-                    if len(group) > 1:
-                        yield settle(group)
+                if len(group) >= BATCH and row[0] != group[-1][0]:
+                    yield settle(group)
                     group = []
                 group.append(row)
         if len(group) > 1:
@@ -288,7 +290,8 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     open_ = distinct.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("gram")
     wanted = distinct.join(open_, "gram", "left_semi").select("one.*", (F.col("n") > 1).alias("whole"))
     listed = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("place", "low", "high", "whole")).alias("wanted"))
-    own = _named(rows).join(listed.withColumnsRenamed({"doc_id": "d", "text_hash": "h"}), (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    listed = materialize(listed, "wanted")
+    own = _named(rows, membership(listed, "text_hash")).join(listed.withColumnsRenamed({"doc_id": "d", "text_hash": "h"}), (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d")))
     segments = own.select("doc_id", "text_hash", "text", "wanted").mapInArrow(_segments(length), f"lead binary, {_ROW}, place long, low long, high long, whole boolean, before binary, after binary")
     # rows that repeat a document brought its segments more than once
     segments = segments.repartitionByRange("lead").sortWithinPartitions("lead", "text_hash", "doc_id", "place")
@@ -297,14 +300,18 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return whole.unionByName(part)
 
 
-def _name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hashes = pa.array([text_hash(t) for t in utf8(batch.column(1))], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), hashes, batch.column(1)], ["doc_id", "text_hash", "text"])
+def _named(rows: DataFrame, known: np.ndarray, inside: bool = True) -> DataFrame:
+    """Rows with their hash: those that the map may hold, or the others."""
+    sent = rows.sparkSession.sparkContext.broadcast(known)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = np.array([text_hash(t) for t in utf8(batch.column(1))], np.int64)
+            own = pa.array(np.flatnonzero(member(sent.value, hashes) == inside))
+            if len(own):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), pa.array(hashes).take(own), batch.column(1).take(own)], ["doc_id", "text_hash", "text"])
 
-def _named(rows: DataFrame) -> DataFrame:
-    return rows.mapInArrow(_name, f"{_ROW}, text string")
+    return rows.mapInArrow(run, f"{_ROW}, text string")
 
 
 def removal_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -320,9 +327,12 @@ def removal_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def _with_spans(docs: DataFrame, length: int) -> DataFrame:
+    """doc_id, text and spans (null for none) of every row; only texts that may have spans are shuffled."""
     spans = materialize(removal_spans(docs, length), "spans").withColumnsRenamed({"doc_id": "d", "text_hash": "h"})
-    named = _named(docs.select("doc_id", "text"))
-    return named.join(spans, (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d")), "left").select("doc_id", "text", "spans")
+    known, rows = membership(spans, "h"), docs.select("doc_id", "text")
+    some = _named(rows, known).join(spans, (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d")), "left").select("doc_id", "text", "spans")
+    none = _named(rows, known, False).select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    return some.unionByName(none)
 
 
 def kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -338,7 +348,7 @@ def report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows: list[tuple] = []
             for t, s in zip(utf8(batch.column(1)), batch.column(2).to_pylist()):
                 spans = [(x["a"], x["b"]) for x in s or ()]
                 rows.append((len(t), sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept(t, spans)).hexdigest()))

@@ -52,7 +52,7 @@ def test_anchors_follow_the_window(length):
     offset = {}
     for p, a, b in zip(place, low, high):
         for i in range(a, b + 1):
-            assert i <= p <= i + length - length // 2
+            assert i <= p <= i + length - length // 3
             assert offset.setdefault(text[i : i + length], p - i) == p - i
 
 
