@@ -57,19 +57,24 @@ def extract_little(words: Column, position: Column | int, length: Column | int)
     return low_bits(low.bitwiseOR(high), length)
 
 
-def extract_big(words: Column, position: Column | int, length: Column | int) -> Column:
-    """``length`` bits on from ``position`` of the stream whose bytes run high bit first."""
+def big_words(words: Column) -> Column:
+    """The words with their bytes in reverse order: what ``extract_big`` reads. Make it a column once for each frame."""
+    return F.transform(words, swap_bytes)
+
+
+def extract_big(big: Column, position: Column | int, length: Column | int) -> Column:
+    """``length`` bits on from ``position`` of the stream whose bytes run high bit first; ``big`` as of ``big_words``."""
     position, length = col_of(position), col_of(length)
     index, shift = F.floor(position / 64), position % 64
-    high = _shift("shiftleft", swap_bytes(word_at(words, index)), shift)
-    low = F.when(shift > 0, _shift("shiftrightunsigned", swap_bytes(word_at(words, index + 1)), 64 - shift)).otherwise(F.lit(0).cast("long"))
+    high = _shift("shiftleft", word_at(big, index), shift)
+    low = F.when(shift > 0, _shift("shiftrightunsigned", word_at(big, index + 1), 64 - shift)).otherwise(F.lit(0).cast("long"))
     return _shift("shiftrightunsigned", high.bitwiseOR(low), 64 - length)
 
 
-def extract(words: Column, position: Column | int, length: Column | int, little: Column | bool) -> Column:
+def extract(words: Column, big: Column, position: Column | int, length: Column | int, little: Column | bool) -> Column:
     if isinstance(little, bool):
-        return (extract_little if little else extract_big)(words, position, length)
-    return F.when(little, extract_little(words, position, length)).otherwise(extract_big(words, position, length))
+        return extract_little(words, position, length) if little else extract_big(big, position, length)
+    return F.when(little, extract_little(words, position, length)).otherwise(extract_big(big, position, length))
 
 
 def sign_extend(value: Column, length: Column | int) -> Column:

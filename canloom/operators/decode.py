@@ -37,10 +37,10 @@ def plan_table(spark: SparkSession, catalogs: list[Catalog]) -> DataFrame:
     return spark.createDataFrame([r for c in catalogs for r in plan_rows(c)], PLAN)
 
 
-def _selector_value(words: Column) -> Column:
+def _selector_value() -> Column:
     """The number that routes: raw, or scaled where the selector has a scale (null without selector)."""
     c = F.col
-    raw = bits.extract(words, c("sel_position"), c("sel_length"), c("sel_little"))
+    raw = bits.extract(c("words"), c("_big"), c("sel_position"), c("sel_length"), c("sel_little"))
     number = bits.integer_value(raw, c("sel_length"), c("sel_signed")).cast("double")
     number = F.when(c("sel_float"), bits.float_value(raw, c("sel_length"))).otherwise(number)
     return F.when(c("sel_position").isNotNull(), number * c("sel_scale") + c("sel_offset"))
@@ -53,9 +53,9 @@ def long(classified: DataFrame, plan: DataFrame) -> DataFrame:
     is unknown: routed_ok is false on its rows, and ``drop_unrouted`` removes them.
     """
     c = F.col
-    own = classified.where("valid").select("channel", "dbc", "arb_norm", "arb_id", "message_name", "seq", "ts", "words")
+    own = classified.where("valid").select("channel", "dbc", "arb_norm", "arb_id", "message_name", "seq", "ts", "words", bits.big_words(c("words")).alias("_big"))
     joined = own.join(small(plan), ["dbc", "arb_norm"])
-    selected = joined.withColumn("_selector", _selector_value(c("words"))).withColumn("_bits", bits.extract(c("words"), c("position"), c("length"), c("little")))
+    selected = joined.withColumn("_selector", _selector_value()).withColumn("_bits", bits.extract(c("words"), c("_big"), c("position"), c("length"), c("little")))
     active = c("multiplexer_ids").isNull() | F.coalesce(F.exists("multiplexer_ids", lambda k: k.cast("double") == c("_selector")), F.lit(False))
     raw = bits.integer_value(c("_bits"), c("length"), c("is_signed"))
     value = F.when(c("is_float"), bits.float_value(c("_bits"), c("length")) * c("scale") + c("offset")).when(c("kind") == "scaled", bits.physical(raw, c("scale"), c("offset"))).otherwise(raw.cast("double"))
@@ -80,18 +80,18 @@ def long(classified: DataFrame, plan: DataFrame) -> DataFrame:
 def routed_frames(classified: DataFrame, plan: DataFrame) -> DataFrame:
     """classified, with frames whose selector has a value without children made unknown (valid = false)."""
     selectors = plan.where("sel_position is not null").select("dbc", "arb_norm", *(x for x in plan.columns if x.startswith("sel_")), "routed").dropDuplicates(["dbc", "arb_norm"])
-    joined = classified.join(small(selectors), ["dbc", "arb_norm"], "left")
-    ok = F.col("sel_position").isNull() | F.array_contains("routed", _selector_value(F.col("words")))
+    joined = classified.withColumn("_big", bits.big_words(F.col("words"))).join(small(selectors), ["dbc", "arb_norm"], "left").withColumn("_selector", _selector_value())
+    ok = F.col("sel_position").isNull() | F.array_contains("routed", F.col("_selector"))
     return joined.withColumn("valid", F.col("valid") & F.coalesce(ok, F.lit(False))).select(*classified.columns)
 
 
-def signal_bits(words: Column, s: SignalDef) -> Column:
-    return bits.extract(words, *s.kept, s.byte_order == "little")
+def signal_bits(words: Column, big: Column, s: SignalDef) -> Column:
+    return bits.extract(words, big, *s.kept, s.byte_order == "little")
 
 
-def signal_value(words: Column, s: SignalDef) -> Column:
+def signal_value(words: Column, big: Column, s: SignalDef) -> Column:
     """The stored value of an active signal, in its own type."""
-    own, (_, length) = signal_bits(words, s), s.kept
+    own, (_, length) = signal_bits(words, big, s), s.kept
     if s.is_float:
         return (bits.float32_value(own) if s.length == 32 else bits.float64_value(own)) * F.lit(s.scale) + F.lit(s.offset)
     number = bits.sign_extend(own, length) if s.is_signed else own if length < 64 else bits.unsigned(own)
@@ -102,20 +102,21 @@ def signal_value(words: Column, s: SignalDef) -> Column:
 
 def wide(classified: DataFrame, message: MessageDef, dbc: str | None = None) -> DataFrame:
     """Samples of one message: channel, seq, ts and a column for each signal; unrouted frames are left out."""
-    words = F.col("words")
+    words, big = F.col("words"), F.col("_big")
     own = classified.where(F.col("valid") & (F.col("arb_norm") == message.arb_norm))
     if dbc is not None:
         own = own.where(F.col("dbc") == dbc)
+    own = own.withColumn("_big", bits.big_words(words))
     sel = message.selector
     selector = None
     if sel is not None:
-        number = signal_bits(words, sel)
+        number = signal_bits(words, big, sel)
         number = bits.float_value(number, sel.kept[1]) if sel.is_float else bits.integer_value(number, sel.kept[1], sel.is_signed).cast("double")
         selector = number * F.lit(sel.scale) + F.lit(sel.offset)
         own = own.where(selector.isin(*map(float, message.routes())) if message.routes() else F.lit(False))
     columns = []
     for s in message.signals:
-        value = signal_value(words, s)
+        value = signal_value(words, big, s)
         if s.multiplexer_ids is not None:
             idle = F.lit(float("nan")) if s.kind in ("float", "scaled") else F.lit(0).cast(s.spark_type)
             value = F.when(selector.isin(*map(float, s.multiplexer_ids)), value).otherwise(idle) if selector is not None else idle
