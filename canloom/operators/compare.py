@@ -62,10 +62,14 @@ def signal_sets(samples_meta: DataFrame) -> DataFrame:
 
 
 def missing_groups(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Groups of one measurement whose signal set the other lacks: side (a or b), group_name, n_signals."""
-    sa, sb = (signal_sets(x.where(F.col("group_name") != STATS_GROUP)) for x in (a, b))
+    """Groups of one measurement that the other has no counterpart of: side (a or b), group_name, n_signals.
+
+    Counterparts have equal signal sets; of several groups with one set, each needs its own.
+    """
+    nth = F.row_number().over(Window.partitionBy("signal_set").orderBy("group_name"))
+    sa, sb = (signal_sets(x.where(F.col("group_name") != STATS_GROUP)).withColumn("nth", nth) for x in (a, b))
     n = F.size(F.split("signal_set", "\x1f")).cast("long").alias("n_signals")
-    only = lambda x, y, side: x.join(y, "signal_set", "left_anti").select(F.lit(side).alias("side"), "group_name", n)
+    only = lambda x, y, side: x.join(y, ["signal_set", "nth"], "left_anti").select(F.lit(side).alias("side"), "group_name", n)
     return only(sa, sb, "a").unionByName(only(sb, sa, "b"))
 
 

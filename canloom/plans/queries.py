@@ -456,7 +456,12 @@ def compare_tolerance(spark, sf_dir):
 
 @query(
     "compare_missing_groups",
-    sql("SELECT 'a' AS side, group_name, n AS n_signals FROM set_a WHERE s NOT IN (SELECT s FROM set_b) UNION ALL SELECT 'b', group_name, n FROM set_b WHERE s NOT IN (SELECT s FROM set_a)", *_PAIR, *_SETS),
+    sql(
+        "SELECT 'a' AS side, group_name, n AS n_signals FROM nth_a WHERE NOT EXISTS (SELECT 1 FROM nth_b WHERE nth_b.s = nth_a.s AND nth_b.k = nth_a.k) UNION ALL SELECT 'b', group_name, n FROM nth_b WHERE NOT EXISTS (SELECT 1 FROM nth_a WHERE nth_b.s = nth_a.s AND nth_b.k = nth_a.k)",
+        *_PAIR,
+        *_SETS,
+        *(f"nth_{x} AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY group_name) AS k FROM set_{x})" for x in "ab"),
+    ),
 )
 def compare_missing_groups(spark, sf_dir):
     return compare.missing_groups(*_pair(spark, sf_dir))

@@ -80,11 +80,7 @@ class BlfReader(DataSourceReader):
     def _read(self, path: str) -> Iterator[pa.RecordBatch]:
         with open(path, "rb") as stream:
             if self.mode == "file_info":
-                start, _ = blf_read.start_ns(stream)
-                stream.seek(0)
-                n, latest = 0, 0
-                for _, at in blf_read.batches(stream, path):
-                    n, latest = n + 1, max(latest, at)
+                start, latest, n = blf_read.extent(stream)
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([start]), pa.array([L.ms_part(start)]), pa.array([latest]), pa.array([n], pa.int32())], model.FILE_INFO.names)
                 return
             seen: set[int] = set()

@@ -246,3 +246,14 @@ def batches(stream: BinaryIO, name: str) -> Iterator[tuple[pa.RecordBatch, int]]
             ["file", "seq", "container", "channel", "abs_ns", "ts", "arb_id", "is_extended", "is_fd", "is_remote", "is_error", "dlc", "data_len", "data", "words"],
         ), latest
         seq += n
+
+
+def extent(stream: BinaryIO) -> tuple[int, int, int]:
+    """(start in ns, latest time of any timed object, containers) of a log; payloads aren't built."""
+    start, _ = start_ns(stream)
+    stream.seek(0)
+    part, tail, n, latest = L.ms_part(start), b"", 0, 0
+    for data in containers(stream):
+        _, tail, at = parse(tail + data, part)
+        n, latest = n + 1, max(latest, at)
+    return start, latest, n
