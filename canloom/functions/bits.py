@@ -88,12 +88,28 @@ def unsigned(value: Column) -> Column:
     return F.when(value < 0, (wide + F.lit(TWO_64).cast(U64)).cast(U64)).otherwise(wide)
 
 
+def integer_long(bits: Column, length: Column | int, is_signed: Column | bool) -> Column:
+    """Extracted bits as a long: signed ones extended, others as they are (negative means 2**63 and more)."""
+    if isinstance(is_signed, bool):
+        return sign_extend(bits, length) if is_signed else bits
+    return F.when(is_signed, sign_extend(bits, length)).otherwise(bits)
+
+
+def beyond_long(number: Column, is_signed: Column | bool) -> Column:
+    """Whether a long of ``integer_long`` stands for an unsigned number of 2**63 or more."""
+    return (number < 0) & ~col_of(is_signed)
+
+
 def integer_value(bits: Column, length: Column | int, is_signed: Column | bool) -> Column:
     """Extracted bits as a number, decimal(20,0)."""
-    signed, plain = sign_extend(bits, length).cast(U64), unsigned(bits)
-    if isinstance(is_signed, bool):
-        return signed if is_signed else plain
-    return F.when(is_signed, signed).otherwise(plain)
+    number = integer_long(bits, length, is_signed)
+    return F.when(beyond_long(number, is_signed), unsigned(number)).otherwise(number.cast(U64))
+
+
+def integer_double(bits: Column, length: Column | int, is_signed: Column | bool) -> Column:
+    """Extracted bits as a double; decimals are used for numbers beyond a long alone."""
+    number = integer_long(bits, length, is_signed)
+    return F.when(beyond_long(number, is_signed), unsigned(number).cast("double")).otherwise(number.cast("double"))
 
 
 def float32_value(bits: Column) -> Column:
@@ -126,17 +142,18 @@ def float_value(bits: Column, length: Column | int) -> Column:
     return F.when(length == 32, float32_value(bits)).otherwise(float64_value(bits))
 
 
-def physical(raw: Column, scale: Column | float, offset: Column | float) -> Column:
+def physical(raw: Column, scale: Column | float, offset: Column | float, as_double: Column | None = None) -> Column:
     """raw * scale + offset in doubles; where these could round twice, exactly in decimals with one rounding at the end.
 
-    Below 2**53 both ways are exact for integral factors, so deciding by row equals deciding by signal.
+    Below 2**53 both ways are exact for integral factors, so deciding by row equals deciding by signal. ``as_double`` is
+    raw as a double, where it is at hand.
     """
     scale, offset = col_of(scale), col_of(offset)
-    plain = raw.cast("double") * scale + offset
+    number = raw.cast("double") if as_double is None else as_double
     integral = (scale == F.rint(scale)) & (offset == F.rint(offset)) & (F.abs(scale) < 1e15) & (F.abs(offset) < 1e15)
-    large = F.abs(raw.cast("double")) * F.abs(scale) + F.abs(offset) >= F.lit(2.0**53)
-    exact = (raw.cast("decimal(20,0)") * F.when(integral, scale).otherwise(F.lit(0.0)).cast("decimal(16,0)") + F.when(integral, offset).otherwise(F.lit(0.0)).cast("decimal(16,0)")).cast("double")
-    return F.when(integral & large, exact).otherwise(plain)
+    large = F.abs(number) * F.abs(scale) + F.abs(offset) >= F.lit(2.0**53)
+    exact = (raw.cast(U64) * scale.cast("decimal(16,0)") + offset.cast("decimal(16,0)")).cast("double")
+    return F.when(large & integral, exact).otherwise(number * scale + offset)
 
 
 def words_of(data: Column, n_words: int) -> Column:
@@ -162,7 +179,7 @@ def clean_text(text: Column) -> Column:
 
 def display_name(path: Column) -> Column:
     """File name with its folder in full-width brackets."""
-    parts = F.split(F.regexp_replace(path, r"\\\\", "/"), "/")
+    parts = F.split(F.translate(path, "\\", "/"), "/")
     return F.concat(F.element_at(parts, -1), F.lit("（"), F.coalesce(F.try_element_at(parts, F.lit(-2)), F.lit("")), F.lit("）"))
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canloom.functions.tables import local
 from canloom.functions import bits
 from canloom.model import Catalog, MessageDef, SignalDef
 from canloom.operators.frames import small
@@ -34,20 +35,22 @@ def plan_rows(catalog: Catalog) -> list[tuple]:
 
 def plan_table(spark: SparkSession, catalogs: list[Catalog]) -> DataFrame:
     """Signals of all catalogs with what their extraction needs, and their message's selector."""
-    return spark.createDataFrame([r for c in catalogs for r in plan_rows(c)], PLAN)
+    return local(spark, [r for c in catalogs for r in plan_rows(c)], PLAN)
 
 
 def _selector_value() -> Column:
     """The number that routes: raw, or scaled where the selector has a scale (null without selector)."""
     c = F.col
     raw = bits.extract(c("words"), c("_big"), c("sel_position"), c("sel_length"), c("sel_little"))
-    number = bits.integer_value(raw, c("sel_length"), c("sel_signed")).cast("double")
+    number = bits.integer_double(raw, c("sel_length"), c("sel_signed"))
     number = F.when(c("sel_float"), bits.float_value(raw, c("sel_length"))).otherwise(number)
     return F.when(c("sel_position").isNotNull(), number * c("sel_scale") + c("sel_offset"))
 
 
 def long(classified: DataFrame, plan: DataFrame) -> DataFrame:
-    """Samples of all valid frames: channel, message_name, signal_name, ordinal, seq, ts, raw, phys, active, routed_ok.
+    """Samples of all valid frames: channel, message_name, signal_name, ordinal, seq, ts, bits, raw, phys, active, routed_ok.
+
+    raw is the number in decimal(20,0), bits the same as a long (negative for unsigned numbers of 2**63 and more).
 
     A child of another branch is inactive: raw 0, phys 0 (NaN for a float). A frame whose selector value has no children
     is unknown: routed_ok is false on its rows, and ``drop_unrouted`` removes them.
@@ -57,8 +60,9 @@ def long(classified: DataFrame, plan: DataFrame) -> DataFrame:
     joined = own.join(small(plan), ["dbc", "arb_norm"])
     selected = joined.withColumn("_selector", _selector_value()).withColumn("_bits", bits.extract(c("words"), c("_big"), c("position"), c("length"), c("little")))
     active = c("multiplexer_ids").isNull() | F.coalesce(F.exists("multiplexer_ids", lambda k: k.cast("double") == c("_selector")), F.lit(False))
-    raw = bits.integer_value(c("_bits"), c("length"), c("is_signed"))
-    value = F.when(c("is_float"), bits.float_value(c("_bits"), c("length")) * c("scale") + c("offset")).when(c("kind") == "scaled", bits.physical(raw, c("scale"), c("offset"))).otherwise(raw.cast("double"))
+    exact = bits.integer_value(c("_bits"), c("length"), c("is_signed"))
+    number = bits.integer_double(c("_bits"), c("length"), c("is_signed"))
+    value = F.when(c("is_float"), bits.float_value(c("_bits"), c("length")) * c("scale") + c("offset")).when(c("kind") == "scaled", bits.physical(exact, c("scale"), c("offset"), number)).otherwise(number)
     real = c("kind").isin("float", "scaled")
     return selected.withColumn("active", active).select(
         "channel",
@@ -70,7 +74,8 @@ def long(classified: DataFrame, plan: DataFrame) -> DataFrame:
         "ordinal",
         "seq",
         "ts",
-        F.when(c("active"), raw).otherwise(F.lit(0).cast(bits.U64)).alias("raw"),
+        F.when(c("active"), bits.integer_long(c("_bits"), c("length"), c("is_signed"))).otherwise(F.lit(0).cast("long")).alias("bits"),
+        F.when(c("active"), exact).otherwise(F.lit(0).cast(bits.U64)).alias("raw"),
         F.when(c("active"), value).when(real, F.lit(float("nan"))).otherwise(F.lit(0.0)).alias("phys"),
         "active",
         (c("_selector").isNull() | F.coalesce(F.array_contains("routed", c("_selector")), F.lit(False))).alias("routed_ok"),
@@ -111,7 +116,7 @@ def wide(classified: DataFrame, message: MessageDef, dbc: str | None = None) ->
     selector = None
     if sel is not None:
         number = signal_bits(words, big, sel)
-        number = bits.float_value(number, sel.kept[1]) if sel.is_float else bits.integer_value(number, sel.kept[1], sel.is_signed).cast("double")
+        number = bits.float_value(number, sel.kept[1]) if sel.is_float else bits.integer_double(number, sel.kept[1], sel.is_signed)
         selector = number * F.lit(sel.scale) + F.lit(sel.offset)
         own = own.where(selector.isin(*map(float, message.routes())) if message.routes() else F.lit(False))
     columns = []

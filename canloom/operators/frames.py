@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from canloom.functions.bits import normalize_id, padded
 
-#: Catalog tables up to so many rows are broadcast; beyond, Spark plans the join by its own sizes.
-BROADCAST_ROWS = 200_000
+#: Catalog tables are broadcast if the plan bounds them by so many bytes, or else if they have at most so many rows;
+#: beyond, Spark plans the join by its own sizes.
+BROADCAST_BYTES, BROADCAST_ROWS = 8 << 20, 200_000
 
 
 def small(df: DataFrame) -> DataFrame:
-    """df, broadcast if it is known to be small: its rows are counted first."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """df, broadcast if it is known to be small: by the plan's size, else its rows are counted first."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) <= BROADCAST_BYTES or df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return F.broadcast(df)
+    return df
 
 
 def classify(frames: DataFrame, bindings: DataFrame, messages: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """The measurement sink: a folder of Parquet tables with what a measurement file says about its groups.
 
-    samples/      group_ordinal, group_name, channel, signal, seq, ts, raw, value; partitioned by channel
+    samples/      group_ordinal, group_name, channel, signal, seq, ts, bits, value; partitioned by channel
     raw/          frames of unbound channels, data padded to the channel's longest
     stats/        the ten items of each of 16 channels
     channels/     one row for each signal: unit, storage type, kind, place
@@ -17,11 +17,14 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canloom.functions.tables import local
 from canloom.functions import timegrid
 from canloom.model import Catalog
 from canloom.operators import decode
@@ -127,26 +130,32 @@ def write_measurement(
     spark = classified.sparkSession
     put = lambda df, name, *by: df.write.option("compression", "zstd").partitionBy(*by).parquet(f"{folder}/{name}")
     plan = decode.plan_table(spark, catalogs)
-    routed = decode.routed_frames(classified, plan)
+    routed = decode.routed_frames(classified, plan) if any(m.selector for c in catalogs for m in c.messages.values()) else classified
     named = fr.group_names(fr.buckets(routed)).join(fr.small(routed.where("valid").groupBy("channel", "arb_norm").agg(F.first("dbc").alias("dbc"))), ["channel", "arb_norm"])
     groups = [
         {"group_ordinal": i, "group_name": r.group_name, "channel": r.channel, "arb_norm": r.arb_norm, "message_name": r.message_name, "dbc": r.dbc, "n_frames": r.n_frames, "first_ts": r.first_ts, "last_ts": r.last_ts}
         for i, r in enumerate(named.orderBy("channel", "series_order").collect())  # one row for each channel and message
     ]
-    table = spark.createDataFrame([(g["group_ordinal"], g["group_name"], g["channel"], g["arb_norm"]) for g in groups], "group_ordinal int, group_name string, channel int, arb_norm long")
+    table = local(spark, [(g["group_ordinal"], g["group_name"], g["channel"], g["arb_norm"]) for g in groups], "group_ordinal int, group_name string, channel int, arb_norm long")
     samples = decode.long(aligned(routed), plan).join(fr.small(table), ["channel", "arb_norm"])
-    put(samples.select("group_ordinal", "group_name", "channel", F.col("signal_name").alias("signal"), "ordinal", "seq", "ts", "raw", F.col("phys").alias("value"), "active"), "samples", "channel")
-    put(spark.createDataFrame(channel_rows(catalogs, groups), CHANNEL_COLUMNS).coalesce(1), "channels")
-    put(decode.conversions(_signals(spark, catalogs)).coalesce(1), "conversions")
+    work = [
+        lambda: put(samples.select("group_ordinal", "group_name", "channel", F.col("signal_name").alias("signal"), "ordinal", "seq", "ts", "bits", F.col("phys").alias("value"), "active"), "samples", "channel"),
+        lambda: put(local(spark, channel_rows(catalogs, groups), CHANNEL_COLUMNS), "channels"),
+        lambda: put(decode.conversions(_signals(spark, catalogs)), "conversions"),
+    ]
     raw_channels = []
     if raw is not None:
         own = timegrid.align(raw.where("exported"), ["channel"])
-        put(fr.raw_groups(own), "raw", "channel")
+        work.append(lambda: put(fr.raw_groups(own), "raw", "channel"))
         raw_channels = [r.channel for r in own.select("channel").distinct().orderBy("channel").collect()]
     if stats is not None:
-        put(stats.coalesce(1), "stats")
+        work.append(lambda: put(stats.coalesce(1), "stats"))
     if summary is not None:
-        put(summary.coalesce(1), "summary")
+        work.append(lambda: put(summary.coalesce(1), "summary"))
+    # the parts are independent jobs over the same frames; threads keep the caller's job tags
+    with ThreadPoolExecutor(len(work)) as pool:
+        for done in [pool.submit(inheritable_thread_target(spark)(w)) for w in work]:
+            done.result()
     manifest = {"format": FORMAT, "start_ns": start_ns, "master": "t", "groups": groups, "raw_groups": [f"Raw::CAN{c}" for c in raw_channels], "stats_groups": 160 if stats is not None else 0}
     Folder(spark, f"{folder}/{MANIFEST}").write_text(json.dumps(manifest, ensure_ascii=False, indent=1))
     return groups

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canloom.functions.tables import local
 from canloom.model import Catalog
 from canloom.sources import dbc
 
@@ -49,7 +50,7 @@ def catalogs() -> list[Catalog]:
 
 
 def bindings(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(c, (PATH_A, PATH_B)[c % 2] if c < BOUND else None) for c in range(16)], "channel int, dbc string")
+    return local(spark, [(c, (PATH_A, PATH_B)[c % 2] if c < BOUND else None) for c in range(16)], "channel int, dbc string")
 
 
 def frames(spark: SparkSession, sf_dir: str, table: str = "events") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from canloom.functions.tables import local
 from canloom.functions import bits, timegrid
 from canloom.operators import batch as batch_ops
 from canloom.operators import bindings as bind
@@ -270,7 +271,7 @@ def channel_duration(spark, sf_dir):
 def ingest_summary(spark, sf_dir):
     catalogs = view.catalogs()
     messages, bound, frames = dbc.messages_table(spark, catalogs), view.bindings(spark), view.frames(spark, sf_dir)
-    counts = spark.createDataFrame([(c.path, m.arb_norm, len(m.signals)) for c in catalogs for m in c.messages.values()], "dbc string, arb_norm long, n_signals long")
+    counts = local(spark, [(c.path, m.arb_norm, len(m.signals)) for c in catalogs for m in c.messages.values()], "dbc string, arb_norm long, n_signals long")
     return fr.ingest_summary(bound, classified(spark, sf_dir), counts, fr.raw_frames(frames, bound, messages))
 
 

@@ -12,6 +12,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from canloom.functions.tables import local
 from canloom.model import EFF_BIT, ID_MASK, MESSAGES, SIGNALS, Catalog, MessageDef, SignalDef
 
 _NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
@@ -23,6 +24,11 @@ _VALUES = re.compile(r"VAL_\s+(\d+)\s+(\w+)\s+(.*);\s*$", re.S)
 _PAIR = re.compile(r'([-+]?\d+)\s+"([^"]*)"')
 _VALTYPE = re.compile(r"SIG_VALTYPE_\s+(\d+)\s+(\w+)\s*:\s*([0-3])\s*;")
 _RANGES = re.compile(r"SG_MUL_VAL_\s+(\d+)\s+(\w+)\s+(\w+)\s+(.*);\s*$", re.S)
+#: Sections that are skipped.
+_SECTIONS = set(
+    "VERSION NS_ NS_DESC_ BS_ BU_ CM_ BA_DEF_ BA_ VAL_ CAT_DEF_ CAT_ FILTER BA_DEF_DEF_ EV_DATA_ ENVVAR_DATA_ SGTYPE_ SGTYPE_VAL_ BA_DEF_SGTYPE_ BA_SGTYPE_ SIG_TYPE_REF_ VAL_TABLE_ SIG_GROUP_ SIG_VALTYPE_ SIGTYPE_VALTYPE_ "
+    "BO_TX_BU_ BA_DEF_REL_ BA_REL_ BA_DEF_DEF_REL_ BA_SGTYPE_REL_ BU_SG_REL_ BU_EV_REL_ BU_BO_REL_ SG_MUL_VAL_ EV_".split()
+)
 #: A message that stands for signals of no message.
 _UNASSIGNED = "VECTOR__INDEPENDENT_SIG_MSG"
 _NOBODY = "Vector__XXX"
@@ -100,7 +106,7 @@ def parse(text: str, path: str = "") -> Catalog:
                 changes.append((_key(int(m[1])), m[2], {"multiplexer_ids": tuple(sorted(ids))}))
             elif re.match(r"(VAL_|SIG_VALTYPE_|SG_MUL_VAL_)\s+\d", s):
                 raise ValueError(f"line: {s[:80]}")
-            elif s and not re.match(r"[A-Z_]+[ :\d]|[A-Z_]+_?\s*:|[A-Z_]+$|//", s) and here is None:
+            elif s and not s.startswith("//") and s.split()[0].rstrip(":") not in _SECTIONS:
                 raise ValueError(f"line: {s[:80]}")
         for key, name, change in changes:
             signals = found[key][3] if key in found else []
@@ -123,7 +129,7 @@ def load(path: str) -> Catalog:
 
 def messages_table(spark: SparkSession, catalogs: list[Catalog]) -> DataFrame:
     rows = [(c.path, m.arb_norm, m.name, m.node, m.is_extended, m.frame_length) for c in catalogs for m in c.messages.values()]
-    return spark.createDataFrame(rows, MESSAGES)
+    return local(spark, rows, MESSAGES)
 
 
 def signals_table(spark: SparkSession, catalogs: list[Catalog]) -> DataFrame:
@@ -133,4 +139,4 @@ def signals_table(spark: SparkSession, catalogs: list[Catalog]) -> DataFrame:
         for m in c.messages.values()
         for i, s in enumerate(m.signals)
     ]
-    return spark.createDataFrame(rows, SIGNALS)
+    return local(spark, rows, SIGNALS)
