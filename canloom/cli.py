@@ -1,19 +1,24 @@
 """Command line: convert, channels, compare and verify.
 
-    python -m canloom.cli convert OUT_FOLDER_OF_CATALOGS PROJECT PATH... [--raw] [--no-overwrite]
+    python -m canloom.cli convert CATALOGS PROJECT PATH... [--raw] [--no-overwrite]
     python -m canloom.cli channels PATH
     python -m canloom.cli compare A B [--tolerance] [--dims header,values]
+    python -m canloom.cli export MEASUREMENT FILE.mdf
+    python -m canloom.cli verify SAMPLES CATALOGS OUT [--mapping FILE]
 """
 
 from __future__ import annotations
 
 import argparse
 import sys
+import time
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 from canloom.operators import compare as cmp
 from canloom.operators import convert as conv
+from canloom.operators import export, verify
 from canloom.sources import blf, project, resolver
 
 
@@ -40,11 +45,31 @@ def main(args: list[str] | None = None) -> int:
     d.add_argument("b")
     d.add_argument("--tolerance", action="store_true")
     d.add_argument("--dims", default=",".join(cmp.DIMENSIONS))
+    e = sub.add_parser("export")
+    e.add_argument("measurement")
+    e.add_argument("file")
+    v = sub.add_parser("verify")
+    v.add_argument("samples")
+    v.add_argument("catalogs")
+    v.add_argument("out")
+    v.add_argument("--mapping")
     o = top.parse_args(args)
     spark = SparkSession.builder.appName("canloom").getOrCreate()
     if o.command == "channels":
         print(*blf.list_channels(spark, o.path))
         return 0
+    if o.command == "export":
+        export.write_mdf(spark, o.measurement, o.file)
+        return 0
+    if o.command == "verify":
+        bad = 0
+        for s in verify.discover_samples(o.samples):
+            out = str(Path(o.out) / verify.artifact_name(time.strftime("%Y%m%d_%H%M%S"), s))
+            conv.convert(spark, str(s.source), verify.bound_catalogs(spark, o.catalogs, s.project, str(s.source), o.mapping), out)
+            ok = verify.passes(spark, out, str(s.reference))
+            bad += not ok
+            print("ok" if ok else "differs", s.platform, s.project, s.name)
+        return int(bool(bad))
     if o.command == "compare":
         found = conv.differences(spark, o.a, o.b, dims=set(o.dims.split(",")), exact=not o.tolerance)
         rows = found.limit(200).collect()
