@@ -21,7 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canloom.llm.common import small_batches
+from canloom.llm.common import materialize, small_batches
 
 CACHE_SCHEMA = "content binary, tokenizer string, n_tokens long"
 
@@ -89,5 +89,5 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
         texts = texts.join(stored.select("content"), "content", "left_anti")
     fresh = texts.repartition("content").mapInArrow(_encoder(body), "content binary, n_tokens long")
     fresh.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
-    counts = read_cache(spark, cache_path, version)
+    counts = materialize(read_cache(spark, cache_path, version), "counts")  # two plain sides: Spark can split a hot content
     return keys.join(counts, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
