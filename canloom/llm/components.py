@@ -54,12 +54,14 @@ def _large_star(e: DataFrame) -> DataFrame:
     """Every neighbour above u points at the smallest of u and its neighbours."""
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    # written, so that both sides of the join are plain and Spark can split the edges of a hot node
+    least = materialize(least, "least")
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     """Every neighbour below u, and u, point at the smallest of these neighbours (edges run downwards)."""
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialize(e.groupBy("u").agg(F.min("v").alias("m")), "least")
     return e.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
