@@ -142,6 +142,7 @@ def mixed(docs: DataFrame, seed: int = 1) -> DataFrame:
     """
     plan = mix(docs, seed).groupBy("doc_id").agg(*(F.max(c).alias(c) for c in ("size", "source_size", "target", "copies", "taken")))
     names = {c: fresh_name(docs, c) for c in plan.columns[1:]}
-    plan = plan.where("copies > 0").withColumnsRenamed({"doc_id": "_doc_id", **names})
+    key = fresh_name(docs, "mixed_id")
+    plan = plan.where("copies > 0").withColumnsRenamed({"doc_id": key, **names})
     # by shuffle at every size, as the plan grows with the corpus
-    return docs.join(plan.hint("merge"), docs["doc_id"].eqNullSafe(plan["_doc_id"])).drop("_doc_id")
+    return docs.join(plan.hint("merge"), docs["doc_id"].eqNullSafe(plan[key])).drop(key)

@@ -203,8 +203,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, segments: int = SEGME
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each component: the smallest doc_id; of rows that repeat it, any one.
 
-    The join is by shuffle at every size, as what is kept grows with the corpus.
+    Rows without a doc_id can't be told apart, and stay. The join is by shuffle at every size, as what is kept grows with
+    the corpus.
     """
-    kept = materialize(near_duplicates(docs).where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
-    out = docs.join(kept.hint("merge"), "doc_id", "left_semi")
-    return out.dropDuplicates(["doc_id"]) if kept.where("rows > 1").limit(1).count() else out
+    kept = materialize(near_duplicates(docs).where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
+    out = docs.join(kept.select("doc_id").hint("merge"), "doc_id", "left_semi")
+    if kept.where("n > 1").limit(1).count():
+        out = out.dropDuplicates(["doc_id"])
+    return out.unionByName(docs.where("doc_id is null"))

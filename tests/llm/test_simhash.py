@@ -93,7 +93,10 @@ def test_query_form(spark):
     want = sorted((i, f"{p:016x}", c) for (i, p), c in zip(prints, brute_components(prints)))
     assert sorted(map(tuple, simhash.near_duplicates(docs).collect())) == want
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
-    kept = sorted(r.doc_id for r in simhash.one_of_each(docs).collect())
+    extra = docs.selectExpr("doc_id", "text", "fp", "1 as n", "2 as rows", "3 as component_id").unionByName(docs.limit(1).selectExpr("cast(null as long) doc_id", "text", "fp", "1 as n", "2 as rows", "3 as component_id"))
+    one = simhash.one_of_each(extra).collect()
+    assert sum(r.doc_id is None for r in one) == 1
+    kept = sorted(r.doc_id for r in one if r.doc_id is not None)
     assert kept == sorted({c for _, _, c in want})
     some = docs.selectExpr("cast(null as long) doc_id", "text").union(docs.where("doc_id = 993").select("doc_id", "text"))
     assert {r.component_id for r in simhash.near_duplicates(some).where("fingerprint <> '0000000000000000'").collect()} >= {None, 993}
