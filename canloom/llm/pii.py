@@ -34,14 +34,15 @@ BASE = {
 }
 #: Looser formats, by the kind that they would be.
 LOOSE = {
-    "email": r"(?<![\w.])[A-Za-z0-9_%+-]{1,64}(?:\.[A-Za-z0-9_%+-]{1,64}){0,8} ?[\[(<] ?(?:at|AT) ?[\])>] ?[A-Za-z0-9-]{1,64}(?: ?[\[(<] ?(?:dot|DOT) ?[\])>] ?[A-Za-z0-9-]{1,64}|\.[A-Za-z0-9-]{1,64}){1,8}",
+    "email": r"(?<![\w.])[A-Za-z0-9_%+-]{1,64}(?:\.[A-Za-z0-9_%+-]{1,64}){0,8}"
+    r"(?: ?[\[(<] ?(?:at|AT) ?[\])>] ?[A-Za-z0-9-]{1,64}(?: ?[\[(<] ?(?:dot|DOT) ?[\])>] ?[A-Za-z0-9-]{1,64}|\.[A-Za-z0-9-]{1,64}){1,8}| (?:at|AT) [A-Za-z0-9-]{1,64}(?: (?:dot|DOT) [A-Za-z0-9-]{1,64}){1,8})",
     "ip": r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
     "card": r"(?<![0-9])[0-9]{4}(?:[._/][0-9]{4}){3}(?![0-9])",
     "phone": r"(?<![0-9+()-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])",
 }
 #: What a text holds that has any span of a format: keeps most texts off the searches.
 NEEDS = {
-    "email": ("contains(t, '@')", "t rlike '[\\\\[(<] ?(?:at|AT) ?[\\\\])>]'"),
+    "email": ("contains(t, '@')", "t rlike '[\\\\[(<] ?(?:at|AT) ?[\\\\])>]| (?:dot|DOT) '"),
     "ip": ("t rlike '[0-9]\\\\.[0-9]'", "t rlike '[0-9A-Fa-f]:[0-9A-Fa-f]'"),
     "card": ("t rlike '[0-9][ -]?[0-9]'", "t rlike '[0-9][._/][0-9]'"),
     "phone": ("t rlike '\\\\+[0-9]'", "t rlike '[0-9][ .-][0-9]'"),

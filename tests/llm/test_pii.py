@@ -85,10 +85,11 @@ def test_boosting_separates_and_sql_agrees(spark):
 
 def test_loose_spans_and_redaction(spark):
     texts = [f"word {i} mail x{i}@host.org and call +1 (234) 555-{1000 + i} from 10.0.0.{i % 250} with 4111 1111 1111 1111 or 999.1.2.{i} today" for i in range(60)]
-    texts += ["write to jo (at) host (dot) org now", "call (234) 555-1234 now", None, "plain text of 12 words"]
+    texts += ["write to jo (at) host (dot) org now", "call (234) 555-1234 now", None, "plain text of 12 words", "jo at host dot org", "look at it. dot it"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     out = {r.doc_id: r.text for r in pii.redact(docs).collect()}
     assert out[0] == "word 0 mail [EMAIL] and call [PHONE] from [IP] with [CARD] or 999.1.2.0 today"
     assert out[60] == "write to [EMAIL] now" and out[61] == "call [PHONE] now"
+    assert out[64] == "[EMAIL]" and out[65] == texts[65]
     assert out[62] is None and out[63] == texts[63]
     assert pii.redact(docs.limit(0)).count() == 0 and pii.report(docs.limit(0)).count() == 0
