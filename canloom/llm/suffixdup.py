@@ -15,7 +15,8 @@ the stretch of all windows that it is the anchor of.
    one bucket, and the last suffixes of a bucket's batch are carried over to the next, so none is parted.
 3. Windows found repeated are merged into spans for each document.
 
-* Steps 1 compares 128 bits of two independent polynomial hashes; step 2 compares bytes.
+* Step 1 compares 128 bits of two independent polynomial hashes; step 2 compares bytes, but for grams with over
+  ``HOT_KINDS`` distinct segments, whose windows are counted by 128-bit hashes so that no task holds them all.
 * Matches never cross texts; null counts as empty. A repeated row repeats all of its windows. Rows are told apart by
   doc_id (which may be null) and a hash of the text.
 """
@@ -39,6 +40,8 @@ CHUNK = 1 << 20
 LEAD = 32
 #: Suffixes that are sorted together at least; a bucket has many such batches.
 BATCH = 2048
+#: Grams with more distinct segments than this are too many for one task; see ``_window_hashes``.
+HOT_KINDS = 20_000
 PLACE_BITS = 22
 assert CHUNK + LENGTH < 1 << PLACE_BITS
 
@@ -155,10 +158,10 @@ def _segments(length: int):
             for d, h, t, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), batch.column(3).to_pylist()):
                 for w in wanted:
                     place, low, high = w["place"], w["low"], w["high"]
-                    rows.append((t[place : place + LEAD], d, h, place, low, high, w["whole"], t[low:place], t[place : high + length]))
+                    rows.append((t[place : place + LEAD], d, h, place, low, high, w["whole"], w["hot"], t[low:place], t[place : high + length]))
             if rows:
-                kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["lead", "doc_id", "text_hash", "place", "low", "high", "whole", "before", "after"])
+                kinds = [pa.binary(), *[pa.int64()] * 5, pa.bool_(), pa.bool_(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["lead", "doc_id", "text_hash", "place", "low", "high", "whole", "hot", "before", "after"])
 
     return run
 
@@ -249,7 +252,7 @@ def _bucket(length: int):
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
         out = []
-        for r, ranges in zip(rows, repeated([x[7] for x in rows], [x[8] for x in rows], length)):
+        for r, ranges in zip(rows, repeated([x[8] for x in rows], [x[9] for x in rows], length)):
             if not r[6]:  # a segment that is repeated as a whole is known already
                 out += [(r[1], r[2], r[3] - b, r[3] - a) for a, b in ranges]
         cols = list(zip(*out)) or [[]] * 4
@@ -269,6 +272,25 @@ def _bucket(length: int):
     return run
 
 
+def _window_hashes(length: int):
+    """Segments to a 128-bit hash of each of their windows: for grams that are too hot for a bucket, whose windows are
+    then counted instead of sorted. (A segment that is repeated as a whole comes once, and is known already.)"""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                _, doc_id, text_hash_, place, low, high, _, _, before, after = row
+                data = before + after
+                digests = b"".join(hashlib.blake2b(data[i : i + length], digest_size=16).digest() for i in range(high - low + 1))
+                n = high - low + 1
+                pair = np.frombuffer(digests, "<i8").reshape(n, 2)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array([doc_id] * n, pa.int64()), pa.array(np.full(n, text_hash_)), pa.array(np.arange(low, high + 1))], ["one", "two", "doc_id", "text_hash", "start"]
+                )
+
+    return run
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted(spans):
@@ -287,16 +309,24 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     one = F.struct("doc_id", "text_hash", "place", "low", "high")
     distinct = materialize(found.groupBy("gram", "segment").agg(F.count("*").alias("n"), F.min(one).alias("one")), "segments")
     # grams with more than one segment, one of which isn't repeated as a whole, are compared by bytes
-    open_ = distinct.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("gram")
-    wanted = distinct.join(open_, "gram", "left_semi").select("one.*", (F.col("n") > 1).alias("whole"))
-    listed = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("place", "low", "high", "whole")).alias("wanted"))
+    open_ = materialize(distinct.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1"), "open")
+    # joins are by shuffle at every size, as both sides grow with the corpus
+    wanted = distinct.join(open_.select("gram", (F.col("kinds") > HOT_KINDS).alias("hot")).hint("merge"), "gram").select("one.*", (F.col("n") > 1).alias("whole"), "hot")
+    listed = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("place", "low", "high", "whole", "hot")).alias("wanted"))
     listed = materialize(listed, "wanted")
-    own = _named(rows, membership(listed, "text_hash")).join(listed.withColumnsRenamed({"doc_id": "d", "text_hash": "h"}), (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d")))
-    segments = own.select("doc_id", "text_hash", "text", "wanted").mapInArrow(_segments(length), f"lead binary, {_ROW}, place long, low long, high long, whole boolean, before binary, after binary")
+    own = _named(rows, membership(listed, "text_hash")).join(listed.withColumnsRenamed({"doc_id": "d", "text_hash": "h"}).hint("merge"), (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    segments = own.select("doc_id", "text_hash", "text", "wanted").mapInArrow(_segments(length), f"lead binary, {_ROW}, place long, low long, high long, whole boolean, hot boolean, before binary, after binary")
+    hot = None
+    if open_.where(F.col("kinds") > HOT_KINDS).limit(1).count():
+        segments = materialize(segments, "suffixes")
+        hashed = materialize(segments.where("hot").mapInArrow(_window_hashes(length), f"one long, two long, {_ROW}, start long"), "windows")
+        twice = hashed.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1")
+        hot = hashed.join(twice.hint("merge"), ["one", "two"]).select("doc_id", "text_hash", F.col("start").alias("low"), F.col("start").alias("high"))
     # rows that repeat a document brought its segments more than once
-    segments = segments.repartitionByRange("lead").sortWithinPartitions("lead", "text_hash", "doc_id", "place")
-    part = segments.mapInArrow(_bucket(length), f"{_ROW}, low long, high long")
-    whole = found.join(distinct.where("n > 1").select("gram", "segment"), ["gram", "segment"]).select("doc_id", "text_hash", "low", "high")
+    sorted_ = segments.where("not hot").repartitionByRange("lead").sortWithinPartitions("lead", "text_hash", "doc_id", "place")
+    part = sorted_.mapInArrow(_bucket(length), f"{_ROW}, low long, high long")
+    part = part if hot is None else part.unionByName(hot)
+    whole = found.join(distinct.where("n > 1").select("gram", "segment").hint("merge"), ["gram", "segment"]).select("doc_id", "text_hash", "low", "high")
     return whole.unionByName(part)
 
 
@@ -330,7 +360,7 @@ def _with_spans(docs: DataFrame, length: int) -> DataFrame:
     """doc_id, text and spans (null for none) of every row; only texts that may have spans are shuffled."""
     spans = materialize(removal_spans(docs, length), "spans").withColumnsRenamed({"doc_id": "d", "text_hash": "h"})
     known, rows = membership(spans, "h"), docs.select("doc_id", "text")
-    some = _named(rows, known).join(spans, (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d")), "left").select("doc_id", "text", "spans")
+    some = _named(rows, known).join(spans.hint("merge"), (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d")), "left").select("doc_id", "text", "spans")
     none = _named(rows, known, False).select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
     return some.unionByName(none)
 

@@ -69,8 +69,9 @@ def texts(rng, alphabet, n):
     return out
 
 
-@pytest.mark.parametrize("length,alphabet", [(20, "ab"), (32, "abcdefghij é"), (41, "xyz\U0001f600")])
-def test_report(spark, monkeypatch, length, alphabet):
+@pytest.mark.parametrize("length,alphabet,hot", [(20, "ab", 10**9), (32, "abcdefghij é", 10**9), (41, "xyz\U0001f600", 10**9), (32, "abcdefghij é", 3)])
+def test_report(spark, monkeypatch, length, alphabet, hot):
+    monkeypatch.setattr(s, "HOT_KINDS", hot)
     monkeypatch.setattr(s, "CHUNK", 300)
     monkeypatch.setattr(s, "LEAD", 8)
     rng = random.Random(length)
