@@ -1,7 +1,6 @@
 """Language-model scores by a hidden Markov model.
 
-Symbols. Words with at least 1 / ``HEAVY`` of all training tokens are symbols of their own (so at most HEAVY are);
-all others belong to one of ``CLASSES`` classes by their last three bytes. A rare word's probability is that of its
+Symbols. The ``FREQUENT`` words that training texts have most often are symbols of their own; all others belong to one of ``CLASSES`` classes by their last three bytes. A rare word's probability is that of its
 class, which the hidden states emit, times its own share of the class: (c + 1) / (tokens + words + 1) of the class,
 where c is its count over all training documents; one share is left for words never seen.
 
@@ -32,7 +31,7 @@ from canloom.llm.common import materialize, small_batches, utf8
 
 FOLDS, HELD = 7, 2
 STATES, ROUNDS = 8, 6
-HEAVY, CLASSES, TAIL = 8192, 1024, 3
+FREQUENT, CLASSES, TAIL = 16384, 1024, 3
 STRETCH = 128
 #: How much likelier than another a state follows itself before training.
 LASTING = 200.0
@@ -119,33 +118,42 @@ class Model:
     def expect(self, x: np.ndarray, length: np.ndarray, opening: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
         """Expected counts of stretches x[n, t] (``length`` symbols each, longest first): starts, later starts, moves, emissions; and log-likelihood."""
         n, steps = x.shape
-        emit = self.emit.astype(np.float32)
+        # states first, stretches last: every step works on long rows
         move = self.move.astype(np.float32)
-        alpha, scale = np.zeros((steps, n, STATES), np.float32), np.ones((steps, n), np.float32)
-        live = [int(np.searchsorted(-length, -t)) for t in range(steps)]  # stretches with more than t symbols
-        a = np.where(opening[:, None], self.start, self.later).astype(np.float32) * emit[x[:, 0]]
+        back = np.ascontiguousarray(move.T)
+        by_step = np.ascontiguousarray(x.T)
+        table = self.emit.astype(np.float32)
+        live = np.searchsorted(-length, -np.arange(steps + 1)).tolist()  # stretches with more than t symbols
+        alpha, emitted = np.empty((steps, STATES, n), np.float32), np.empty((steps, STATES, n), np.float32)
+        scale = np.ones((steps, n), np.float32)
         for t in range(steps):
             k = live[t]
+            emitted[t, :, :k] = table[by_step[t, :k]].T
             if t:
-                a = (alpha[t - 1, :k] @ move) * emit[x[:k, t]]
-            c = a.sum(1)
-            scale[t, :k] = c
-            alpha[t, :k] = a / c[:, None]
-        beta = np.ones((n, STATES), np.float32)
-        moves = np.zeros((STATES, STATES))
-        gammas = np.zeros((steps, n, STATES), np.float32)
+                a = back @ alpha[t - 1, :, :k]
+                a *= emitted[t, :, :k]
+            else:
+                a = np.where(opening, self.start[:, None], self.later[:, None]).astype(np.float32) * emitted[0]
+            np.sum(a, axis=0, out=scale[t, :k])
+            np.divide(a, scale[t, :k], out=alpha[t, :, :k])
+        # emitted becomes, step by step from the end, what the next step's symbol and the rest say of its state
+        total = np.zeros((STATES, STATES))
+        beta = np.ones((STATES, n), np.float32)
         for t in range(steps - 1, -1, -1):
+            if j := live[t + 1]:
+                right = emitted[t + 1, :, :j]
+                total += alpha[t, :, :j] @ right.T
+                beta[:, :j] = move @ right
             k = live[t]
-            if t + 1 < steps and (j := live[t + 1]):
-                right = emit[x[:j, t + 1]] * beta[:j] / scale[t + 1, :j, None]
-                moves += (alpha[t, :j].T @ right).astype(np.float64) * self.move
-                beta[:j] = right @ move.T
-            gammas[t, :k] = alpha[t, :k] * beta[:k]
-        mask = np.arange(steps)[:, None] < length[None, :]
-        flat, own = gammas[mask], x.T[mask]
-        emissions = np.stack([np.bincount(own, flat[:, k], len(self.emit)) for k in range(STATES)], 1)
-        first = gammas[0].astype(np.float64)
-        return first[opening].sum(0), first[~opening].sum(0), moves, emissions, float(np.log(scale[mask]).sum())
+            emitted[t, :, :k] *= beta[:, :k]
+            emitted[t, :, :k] /= scale[t, :k]
+            alpha[t, :, :k] *= beta[:, :k]
+        own = np.concatenate([by_step[t, : live[t]] for t in range(steps)])
+        flat = np.concatenate([alpha[t, :, : live[t]] for t in range(steps)], axis=1)
+        emissions = np.stack([np.bincount(own, f, len(self.emit)) for f in flat], 1)
+        gamma = alpha[0].astype(np.float64)
+        logs = sum(float(np.log(scale[t, : live[t]]).sum(dtype=np.float64)) for t in range(steps))
+        return gamma[:, opening].sum(1), gamma[:, ~opening].sum(1), total * self.move, emissions, logs
 
     def likelihood(self, texts: list[np.ndarray]) -> np.ndarray:
         """log10 of the probability of each whole sequence, by the scaled forward recursion."""
@@ -193,14 +201,17 @@ def _rare(lexicon):
     """(key, text) to pairs (key, hash of a rare word, its number in the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = lexicon.value.symbol
+        known, hash_of = lexicon.value.symbol, {}
         for batch in batches:
             keys, hashes, times, size = [], [], [], []
             for k, t in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
-                own = Counter(w for w in words(t) if w not in known)
+                own = Counter([w for w in words(t) if w not in known])
+                if len(hash_of) > GATHERED:
+                    hash_of.clear()
+                hash_of |= {w: word_hash(w) for w in own if w not in hash_of}
                 keys.append(k)
                 size.append(len(own))
-                hashes += map(word_hash, own)
+                hashes += map(hash_of.__getitem__, own)
                 times += own.values()
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(keys, np.int64), size)), pa.array(hashes, pa.int64()), pa.array(times, pa.int32())], ["key", "word", "times"])
 
@@ -301,10 +312,12 @@ def score(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit(""))).alias("key"), "doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     counts = materialize(rows.where("not held_out").select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    often = F.col("n") * HEAVY >= total
     end = F.col("word") == F.lit(END)
-    heavy = {END: 0} | {bytes(r.word): r.n for r in counts.where(often | end).collect()}  # at most HEAVY + 1 rows
-    rare = counts.where(~often & ~end)
+    top = counts.where(~end).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+    heavy = {bytes(r.word): r.n for r in top} | {END: next((r.n for r in counts.where(end).collect()), 0)}
+    # the others come behind the last of these
+    last = (top[-1].n, bytes(top[-1].word)) if top else (0, b"")
+    rare = counts.where(~end & ((F.col("n") < last[0]) | (F.col("n") == last[0]) & (F.col("word") > F.lit(last[1]))))
     sizes = rare.mapInArrow(_class_sizes, "class int, tokens long, words long").groupBy("class").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).collect()
     tokens, distinct = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in sizes:

@@ -54,7 +54,7 @@ def test_forward_and_expected_counts(monkeypatch):
 
 
 def test_score(spark, monkeypatch):
-    monkeypatch.setattr(hmm, "HEAVY", 60)
+    monkeypatch.setattr(hmm, "FREQUENT", 8)
     rng = random.Random(4)
     tongues = [["the", "dog", "runs", "Over", "a", "hill"], ["der", "hund", "läuft", "über", "den", "berg"]]
     sentence = lambda k: " ".join([*rng.choices(tongues[k], k=7), f"x{rng.randrange(300)}"])
