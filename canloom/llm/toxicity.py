@@ -8,7 +8,8 @@ then scores the text.
 
 * The character model is counted over all documents, whatever their language.
 * Labels are learnt only from rows whose crc32(doc_id as text) mod 5 is not 0, on at most ``SAMPLE`` rows of
-  each label (the smallest hashes of doc_id). Features are the text alone.
+  each label (the smallest hashes of doc_id), each with the weight of the rows that it stands for, so that the share
+  learnt is that of all learnable labels at every size. Features are the text alone.
 * Null and empty texts have no words and get the score of the intercept. Without labelled rows, or with one
   label only, every score is that label's share (0 without any). Labels that repeat a doc_id: the largest counts.
 """
@@ -120,10 +121,11 @@ def features(word: str) -> list[int]:
 class Model:
     """A logistic model over the features kept; ``weights`` by feature.
 
-    Rows are the stretches of ``values`` (features below SPACE, distinct in a row) between ``offsets``.
+    Rows are the stretches of ``values`` (features below SPACE, distinct in a row) between ``offsets``; a row of label y
+    stands for ``stands_for[y]`` rows.
     """
 
-    def __init__(self, values: np.ndarray, offsets: np.ndarray, labels: np.ndarray):
+    def __init__(self, values: np.ndarray, offsets: np.ndarray, labels: np.ndarray, stands_for: tuple[float, float] = (1.0, 1.0)):
         self.weights: dict[int, float] = {}
         positive = int(labels.sum())
         if not positive or positive == len(labels):
@@ -142,11 +144,13 @@ class Model:
         place[kept] = np.arange(len(kept))
         own = place[values]
         at, own = rows[own >= 0], own[own >= 0]
-        w, b = np.zeros(len(kept)), float(np.log(positive / (len(labels) - positive)))
+        weight = np.where(labels == 1, stands_for[1], stands_for[0])
+        weight = weight / weight.sum()
+        w, b = np.zeros(len(kept)), float(np.log(weight[labels == 1].sum() / weight[labels != 1].sum()))
         gw, gb = np.full(len(kept), 1e-6), 1e-6
         for _ in range(300):
             margin = b + np.bincount(at, w[own], len(labels))
-            error = (1 / (1 + np.exp(-np.clip(margin, -36, 36))) - labels) / len(labels)
+            error = (1 / (1 + np.exp(-np.clip(margin, -36, 36))) - labels) * weight
             g = np.bincount(own, error[at], len(kept)) + 1e-4 * w
             gw += g * g
             gb += error.sum() ** 2
@@ -169,9 +173,14 @@ def character_model(docs: DataFrame) -> KneserNey | None:
     return KneserNey(code[order], n[order], 3) if len(code) else None
 
 
+def learnt(labels: DataFrame) -> DataFrame:
+    """doc_id and toxic of all labels that may be learnt from."""
+    return labels.where("doc_id is not null and toxic is not null").where(learnable(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
 def sample(labels: DataFrame) -> DataFrame:
-    """doc_id and toxic of the rows that the classifier may be fitted on."""
-    known = labels.where("doc_id is not null and toxic is not null").where(learnable(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    """doc_id and toxic of the rows that the classifier is fitted on."""
+    known = learnt(labels)
     parts = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for y in (0, 1)]
     return parts[0].unionByName(parts[1])
 
@@ -198,7 +207,9 @@ def fit(docs: DataFrame, labels: DataFrame, restorer) -> Model:
     if not table.num_rows:
         return Model(np.empty(0, np.int32), np.zeros(1, np.int64), np.empty(0, np.int64))
     lists = table.column("features").chunk(0)
-    return Model(lists.values.to_numpy(), lists.offsets.to_numpy(), table.column("toxic").to_numpy().astype(np.int64))
+    known = {r.toxic: r.n for r in learnt(labels).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    stands_for = tuple(max(1.0, known.get(y, 0) / SAMPLE) for y in (0, 1))
+    return Model(lists.values.to_numpy(), lists.offsets.to_numpy(), table.column("toxic").to_numpy().astype(np.int64), stands_for)
 
 
 def score(docs: DataFrame, labels: DataFrame, column: str = "toxicity") -> DataFrame:

@@ -57,3 +57,15 @@ def test_held_out(spark):
     assert kept.columns == d.columns and {9000, 9001} <= {r.doc_id for r in kept.collect()}
     assert max(r.score for r in toxicity.report(d, y.limit(0)).collect()) < 1e-9
     assert toxicity.report(d.limit(0), y).count() == 0
+
+
+def test_share_is_the_same_at_every_size(spark, monkeypatch):
+    """Labels that texts tell little about: the mean score is the share of label 1, also where one label is sampled."""
+    rng = random.Random(12)
+    docs = [(i, " ".join(rng.choice(["some", "plain", "words", "here"]) for _ in range(8)) + (" idiot" if i % 10 == 1 and i % 30 != 1 or i % 10 == 2 else ""), int(i % 10 == 1)) for i in range(1000)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    means = []
+    for most in (4000, 60):
+        monkeypatch.setattr(toxicity, "SAMPLE", most)
+        means.append(np.mean([r.score for r in toxicity.report(d, d.select("doc_id", "toxic")).collect()]))
+    assert all(0.06 < m < 0.15 for m in means), means
