@@ -2,7 +2,7 @@
 
 A word that looks disguised (signs or digits among letters, letters three times in a row, letters set apart)
 is a lattice: each observed character may stand for itself, for the letters it resembles, for nothing if it
-parts letters, and a run of one letter for one or two of it. Viterbi decoding under a character trigram model
+parts letters, for a blank if it parts words, and a run of one letter for one or two of it. Viterbi decoding under a character trigram model
 with channel costs restores the likeliest word. A logistic model over restored words and their beginnings
 then scores the text.
 
@@ -39,11 +39,13 @@ REMEMBERED = 300_000
 
 #: What a sign or digit may stand for.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
-#: Bits that a stand-in, a dropped sign and a shortened run cost.
-STAND_IN, DROPPED, SHORTENED = 1.0, 1.0, 0.5
+#: Bits that a stand-in, a dropped sign, a sign as a blank and a shortened run cost.
+STAND_IN, DROPPED, PARTED, SHORTENED = 1.0, 1.0, 1.0, 0.5
 
-_APART = re.compile(r"(?<!\S)(?:\w[ \t._*\-]{1,2}){3,}\w(?!\S)")
+_APART = re.compile(r"(?<!\S)(?:(?:[^\W_]|[@$!|+(€£])[ \t._*\-]+){2,}(?:[^\W_]|[@$!|+(€£])(?![^\W_])")
 _EDGE = re.compile(r"^[^\w@$!|+€£]+|[\W_]+$")
+#: The edge less the stand-ins at the end.
+_BARE = re.compile(r"^[^\w@$!|+€£]+|(?:(?![@$!|+(€£])[\W_])+$")
 _ODD = re.compile(r"[^\w]|[\d_]|(\w)\1\1")
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -74,17 +76,22 @@ class Restorer:
             else:
                 options = [(x, STAND_IN) for x in LOOKS.get(c, "")] + [(x + x, STAND_IN) for x in LOOKS.get(c, "") if n > 1]
                 if not c.isdigit():
-                    options.append(("", DROPPED))
+                    options += [("", DROPPED), (" ", PARTED)]
                 out.append(options or [(c, 0.0)])
             i += n
         return out
 
-    def decode(self, word: str) -> str:
+    def decode(self, word: str, ending: bool = False) -> str:
+        """The likeliest word; with ``ending``, a stand-in at the end must stand for letters."""
         blank = self.symbol(" ")
-        best = {(0, blank): (0.0, "")}
-        for options in self.lattice(word):
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (value, text) in best.items():
+        # values with the way that led there, as (what came before, letters)
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, blank): (0.0, None)}
+        lattice = self.lattice(word)
+        if ending:
+            lattice[-1] = [o for o in lattice[-1] if o[0].strip()] or lattice[-1]
+        for options in lattice:
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (value, way) in best.items():
                 for letters, cost in options:
                     x, y, v = a, b, value - cost
                     for c in letters:
@@ -92,23 +99,41 @@ class Restorer:
                         v += float(self.cube[x, y, s])
                         x, y = y, s
                     if (x, y) not in new or new[x, y][0] < v:
-                        new[x, y] = (v, text + letters)
+                        new[x, y] = (v, (way, letters))
             best = new
-        return max((v + float(self.cube[a, b, blank]), t) for (a, b), (v, t) in best.items())[1]
+        way, text = max(((v + float(self.cube[a, b, blank]), w) for (a, b), (v, w) in best.items()), key=lambda x: x[0])[1], []
+        while way:
+            way, letters = way
+            text.append(letters)
+        return "".join(reversed(text))
 
-    def restore(self, word: str) -> str:
-        """The word in small letters, restored if it looks disguised."""
-        word = _EDGE.sub("", word.lower())
+    def _read(self, word: str) -> str:
         if word.isalpha():
             return self.decode(word) if _ODD.search(word) else word
-        return self.decode(word[:64]) + word[64:] if _LETTER.search(word) else ""
+        return self.decode(word) if _LETTER.search(word) else ""
+
+    def restore(self, word: str) -> str:
+        """The word in small letters, restored if it looks disguised; several words have blanks between."""
+        return self._read(_EDGE.sub("", word.lower()))
+
+    def readings(self, word: str) -> set[str]:
+        """All words that a token may be: restored, its parts by blanks, and with the stand-ins at its end."""
+        low = word.lower()
+        shorn, bare = _EDGE.sub("", low), _BARE.sub("", low)
+        found = set()
+        for text in [self._read(shorn), *([self.decode(bare, True)] if bare != shorn and _LETTER.search(bare) else [])]:
+            parts = text.split()
+            found.update(parts)
+            if len(parts) > 1:
+                found.add("".join(parts))
+        return found
 
 
 def words_of(text: str) -> set[str]:
     """The distinct words of a text, those set apart letter by letter also as one."""
     found = set(text.split())
     for m in _APART.finditer(text):
-        found.add(re.sub(r"[ \t]", "", m[0]))
+        found.add(re.sub(r"[ \t._*\-]", "", m[0]))
     return found
 
 
@@ -118,6 +143,10 @@ def features(word: str) -> list[int]:
     return [crc32(x.encode()) % SPACE for x in [word, *(f"{word[:n]}*" for n in (4, 5, 6, 7) if len(word) > n)]]
 
 
+def features_of(words: set[str]) -> list[int]:
+    return sorted({x for w in words for x in features(w)})
+
+
 class Model:
     """A logistic model over the features kept; ``weights`` by feature.
 
@@ -198,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, restorer) -> Model:
                     if (f := known.get(w)) is None:
                         if len(known) >= REMEMBERED:
                             known.clear()
-                        f = known[w] = features(r.restore(w))
+                        f = known[w] = features_of(r.readings(w))
                     own.update(f)
                 rows.append(sorted(own))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), batch.column(1), pa.array(rows, pa.list_(pa.int32()))], ["toxic", "row", "features"])
@@ -231,7 +260,7 @@ def score(docs: DataFrame, labels: DataFrame, column: str = "toxicity") -> DataF
                     if (f := get(w)) is None:
                         if len(known) >= REMEMBERED:
                             known.clear()
-                        f = known[w] = tuple(x for x in features(r.restore(w)) if x in m.weights)
+                        f = known[w] = tuple(x for x in features_of(r.readings(w)) if x in m.weights)
                     if f:
                         own.update(f)
                 margins.append(m.bias + sum(m.weights[x] for x in sorted(own)))

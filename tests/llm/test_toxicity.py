@@ -69,3 +69,17 @@ def test_share_is_the_same_at_every_size(spark, monkeypatch):
         monkeypatch.setattr(toxicity, "SAMPLE", most)
         means.append(np.mean([r.score for r in toxicity.report(d, d.select("doc_id", "toxic")).collect()]))
     assert all(0.06 < m < 0.15 for m in means), means
+
+
+def test_named_disguises():
+    r = toxicity.Restorer(model_of(["hello you idiot said that a stupid clown well is a moron and an ass or ass or ass is bad in the rest of it"] * 5))
+    read = lambda text: {x for w in toxicity.words_of(text) for x in r.readings(w)}
+    for text, word in [
+        ("hello:idiot", "idiot"), ("you/idiot", "idiot"), ("well...moron", "moron"), ("hello/you/1d10t", "idiot"),
+        ("i d ! o t", "idiot"), ("$ t u p i d", "stupid"), ("b a d", "bad"), ("i   d...i  -  o t!", "idiot"), ("a$$", "ass"),
+        ("the-" * 40 + "m0r0n", "moron"),
+    ]:
+        assert word in read(text), (text, read(text))
+    assert "stupid" in read("s.t-u+p1d") and "idiot" in read("Idi0t!!!")
+    assert len(r.decode("ab-" * 5000)) >= 10000  # in time linear to the length
+    toxicity.words_of("_ " * 5000 + "x " * 5000 + "_" * 5000)
