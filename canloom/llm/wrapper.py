@@ -5,6 +5,7 @@ after the other into a wrapper: a regular expression without unions, whose parts
 differs), constants (text that doesn't), optional groups (a part that one side lacks) and repeated groups (parts
 of the same shape in a row, of up to ``PERIOD`` members). Wrappers carry counts, and two wrappers align like two
 pages, so each partition infers its own and these are merged by host: a hot host costs one wrapper a partition.
+Pages of one host with equal texts outside of menus and the like are copies, of which one is taken.
 
 From a wrapper comes a rule: the part that holds most of the slots' text, outside of menus, notices and the like,
 is the main text, less the parts inside it that are such, or constant over the host's pages, or mostly links. The
@@ -20,6 +21,7 @@ import html
 import json
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,8 +45,8 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th
 HEADS = set("h1 h2 h3 h4 h5 h6".split())
 PERIOD = 3
 DEPTH = 120
-#: A text is constant once so many pages agree on it.
-AGREE = 3
+#: A text is constant once so many pages agree on it, and one in SHARE pages of the host that have distinct texts.
+AGREE, SHARE = 3, 2
 #: Rules up to so many bytes together are broadcast; beyond, pages are joined with them by host.
 BROADCAST_BYTES = 16 << 20
 
@@ -191,22 +193,27 @@ def align_lists(a: list, b: list, same_page: bool) -> list:
     return out + [[*p[:2], 1, *p[3:]] for p in a[at:]]
 
 
-def _slots(part: list) -> int:
+def _constant(part: list, pages: int) -> bool:
+    """Whether a text run is the same on a large share of the host's pages."""
+    return part[6] is not None and part[1] >= AGREE and SHARE * part[1] >= pages
+
+
+def _slots(part: list, pages: int) -> int:
     """Characters of a part's text slots that may be main text."""
     if aside(part[0]):
         return 0
-    own = 0 if part[0] != "#" or 2 * part[5] > part[4] or part[6] is not None and part[1] >= AGREE else part[4]
-    return own + sum(map(_slots, part[7]))
+    own = 0 if part[0] != "#" or 2 * part[5] > part[4] or _constant(part, pages) else part[4]
+    return own + sum(_slots(p, pages) for p in part[7])
 
 
 def rule(wrapper: list) -> dict:
     """The path of the main part; the paths of parts inside it to leave out; constants by path."""
     path: list[str] = []
-    part = wrapper
+    part, pages = wrapper, wrapper[1]
     while True:
-        total, best, at = _slots(part), None, 0
+        total, best, at = _slots(part, pages), None, 0
         for p in part[7]:
-            if (n := _slots(p)) > at:
+            if (n := _slots(p, pages)) > at:
                 best, at = p, n
         # the holder of repeated parts, or of blocks, is as deep as it goes
         if best is None or 2 * at < total or best[3] or best[0].split(".")[0] in LEAVES or all(p[0] == "#" for p in best[7]):
@@ -217,7 +224,7 @@ def rule(wrapper: list) -> dict:
 
     def walk(p: list, at: tuple[str, ...]) -> None:
         for q in p[7]:
-            if q[0] == "#" and q[6] is not None and q[1] >= AGREE:
+            if q[0] == "#" and _constant(q, pages):
                 constants.append(["/".join(at), q[6]])
             walk(q, at if q[0] in ("()", "#") else (*at, q[0]))
 
@@ -252,12 +259,42 @@ def host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+def body_print(tree: list) -> int:
+    """A hash of a page's texts outside of menus, notices and links: copies of one main text agree in it."""
+    texts, stack = [], [tree]
+    while stack:
+        node = stack.pop()
+        if node[0] == "#":
+            if 2 * node[3] <= len(node[2]):
+                texts.append(node[2])
+        elif not aside(node[0]):
+            stack.extend(reversed(node[1]))
+    return int.from_bytes(blake2b("\n".join(texts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages (url, html) with host and print; those that repeat both in a partition only once."""
+    seen: set[tuple[str, int]] = set()
+    for batch in batches:
+        own = [(host(u), body_print(parse(p or ""))) for u, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        at = []
+        for i, x in enumerate(own):
+            if x not in seen:
+                seen.add(x)
+                at.append(i)
+        yield pa.RecordBatch.from_arrays([pa.array([own[i][0] for i in at], pa.string()), pa.array([own[i][1] for i in at], pa.int64()), batch.column(1).take(pa.array(at, pa.int64()))], ["host", "print", "html"])
+
+
 def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by host and print: a wrapper for each host, copies counted once."""
     found: dict[str, list] = {}
+    last = None
     for batch in batches:
-        for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for h, mark, page in zip(*(c.to_pylist() for c in batch.columns)):
+            if (h, mark) == last:
+                continue
+            last = (h, mark)
             own = shape(parse(page or ""))
-            h = host(url)
             found[h] = align(found[h], own) if h in found else own
     if found:
         yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array([json.dumps(w, ensure_ascii=False) for w in found.values()])], ["host", "wrapper"])
@@ -315,7 +352,8 @@ def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of pages(page_id, url, html)."""
     spark = pages.sparkSession
     small_batches(spark)
-    partial = pages.select("url", "html").mapInArrow(_infer, "host string, wrapper string").distinct()
+    distinct = pages.select("url", "html").mapInArrow(_printed, "host string, print long, html string").repartition("host", "print").sortWithinPartitions("host", "print", "html")
+    partial = distinct.mapInArrow(_infer, "host string, wrapper string")
     rules = materialize(partial.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(_merge, "host string, rule string"), "wrappers")
     rows = pages.select("page_id", "url", "html")
     schema = "page_id long, url string, text string"

@@ -61,3 +61,29 @@ def test_sites(spark, monkeypatch):
         for r in got:
             assert r.text == want[r.page_id] and r.n_chars == len(r.text), (r.page_id, r.text, want[r.page_id])
     assert w.main_texts(pages.limit(0)).count() == 0
+
+
+def test_optional_parts_of_copies_stay(spark):
+    """A quote that only copies of one article have, and a subheading that three articles share, are main text."""
+    rng, words = random.Random(7), "alpha beta gamma delta epsilon zeta eta theta".split()
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows, want = [], {}
+
+    def add(host, parts, kept):
+        body = "".join(f"<{tag}>{t}</{tag}>" for tag, t in parts)
+        rows.append((len(rows), f"https://{host}/{len(rows)}", f"<html><body><nav>{text(2)}</nav><article>{body}<div>Kept by us.</div></article></body></html>"))
+        want[rows[-1][0]] = " ".join(t for _, t in kept)
+
+    for host, n in (("many.org", 40), ("few.org", 3)):
+        for _ in range(n):
+            parts = [("h1", text(4)), ("p", text(30)), ("p", text(30))]
+            add(host, parts, parts)
+        copy = [("h1", text(4)), ("blockquote", text(12)), ("p", text(30)), ("p", text(30))]
+        for _ in range(4):
+            add(host, copy, copy)
+    for _ in range(3):
+        parts = [("h1", text(4)), ("h3", "In short"), ("p", text(30)), ("p", text(30))]
+        add("many.org", parts, parts)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in w.main_texts(pages).collect()}
+    assert got == want
