@@ -39,6 +39,8 @@ ASIDE_NAMES = set(
     "ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored nav navbar navigation menu header masthead footer sidebar sidenav aside cookie cookies consent gdpr notice notices alert popup modal overlay "
     "comment comments commentlist disqus reply replies respond share sharing social related recommended breadcrumb breadcrumbs widget newsletter subscribe subscription signup login search toolbar pagination pager".split()
 )
+#: Tags whose names never make them a menu or notice.
+HOLDERS = set("html body main article".split())
 #: Tags that hold a block of text rather than the text of a page.
 LEAVES = set("p h1 h2 h3 h4 h5 h6 li dt dd td th tr blockquote pre figcaption caption # ()".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
@@ -130,7 +132,25 @@ def parse(page: str) -> list:
 
 def aside(signature: str) -> bool:
     name, *kinds = signature.split(".")
-    return name in ASIDE_TAGS or any(k in ASIDE_NAMES for k in kinds)
+    return name in ASIDE_TAGS or name not in HOLDERS and any(k in ASIDE_NAMES for k in kinds)
+
+
+def unnamed(tree: list) -> list:
+    """The tree without the names of blocks that hold a heading or article and most of the page's text."""
+
+    def sized(node: list) -> tuple[int, bool]:
+        name, below = node[0].split(".")[0], [sized(c) for c in node[1]]
+        found = (0 if name in ASIDE_TAGS else len(node[2]) + sum(n for n, _ in below), name in HOLDERS or name == "h1" or any(h for _, h in below))
+        sizes[id(node)] = found
+        return found
+
+    def made(node: list) -> list:
+        n, holds = sizes[id(node)]
+        return [node[0].split(".")[0] if holds and 2 * n > total else node[0], [made(c) for c in node[1]], *node[2:]]
+
+    sizes: dict[int, tuple[int, bool]] = {}
+    total = sized(tree)[0]
+    return made(tree)
 
 
 # A wrapper part is [signature, pages, optional, repeated, characters, link characters, constant, parts]. constant is
@@ -325,6 +345,9 @@ def main_text(page: str | None, found: dict | None) -> str:
     blocks = extract(tree, found) if found else None
     if not blocks:
         blocks = extract(tree, rule(shape(tree)))
+    if not blocks:
+        tree = unnamed(tree)
+        blocks = extract(tree, rule(shape(tree)))
     return " ".join(blocks or ())
 
 

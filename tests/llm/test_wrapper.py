@@ -87,3 +87,11 @@ def test_optional_parts_of_copies_stay(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
     got = {r.page_id: r.text for r in w.main_texts(pages).collect()}
     assert got == want
+
+
+def test_names_of_what_holds_the_article():
+    body = "<h1>Title here</h1><p>one two three four five</p><p>six seven eight nine ten</p>"
+    want = "Title here one two three four five six seven eight nine ten"
+    for page in (f'<body class="no-sidebar"><article>{body}</article></body>', f'<body><div class="content has-sidebar"><div>{body}</div><div id="sidebar"><p>aside</p></div></div></body>'):
+        assert w.main_text(page, None) == want == w.main_text(page, w.rule(w.shape(w.parse(page))))
+    assert w.main_text('<div class="cookie-notice"><p>We use cookies</p></div>', None) == ""
