@@ -4,15 +4,20 @@ A page is a stream of block tags and text runs (inline tags only join text). Str
 after the other into a wrapper: a regular expression without unions, whose parts are tags, text slots (text that
 differs), constants (text that doesn't), optional groups (a part that one side lacks) and repeated groups (parts
 of the same shape in a row, of up to ``PERIOD`` members). Wrappers carry counts, and two wrappers align like two
-pages, so each partition infers its own and these are merged by host: a hot host costs one wrapper a partition.
-Pages of one host with equal texts outside of menus and the like are copies, of which one is taken.
+pages, so the pages of a hot host are dealt to leaves by a hash of their texts and the leaves' wrappers are aligned in a
+tree. Leaves and the order in them depend on the pages alone, never on partitions. Pages of one host with equal texts
+outside of menus and the like are copies, of which one is taken.
 
-From a wrapper comes a rule: the part that holds most of the slots' text, outside of menus, notices and the like,
-is the main text, less the parts inside it that are such, or constant over the host's pages, or mostly links. The
-rule is applied to every page as a whole; a page that lacks the main part is its own wrapper.
+From a wrapper comes a rule: the part that holds most of the slots' text, outside of menus, notices and the like, is the
+main text; an article is never parted, and headings and paragraphs that stand right beside the way to the main part
+belong to it. What is left out inside are texts that are constant over the host's pages, menus (lists and lines of short
+links and nothing else), and blocks named as notices and the like. The rule is applied to every page as a whole; a page
+that lacks the main part is its own wrapper.
 
 * Null html has no text; a url without a host belongs to the host "". Repeated rows give repeated results.
 * Blocks are joined by one space; white space in a block becomes one space; character references are decoded.
+* Very long pages are parsed as a whole; blocks nested deeper than ``DEPTH`` count as that level's. An empty table gives
+  no rows. Other columns of pages aren't looked at.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -41,12 +47,22 @@ ASIDE_NAMES = set(
 )
 #: Tags whose names never make them a menu or notice.
 HOLDERS = set("html body main article".split())
+#: Of these names, those that make a heading, paragraph or list item a notice too.
+LEAF_NAMES = set("ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr newsletter subscribe subscription share sharing breadcrumb breadcrumbs pagination pager".split())
 #: Tags that hold a block of text rather than the text of a page.
 LEAVES = set("p h1 h2 h3 h4 h5 h6 li dt dd td th tr blockquote pre figcaption caption # ()".split())
+#: Blocks that belong to the main part when they stand beside the way to it.
+BESIDE = set("p h1 h2 h3 blockquote pre figure".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 HEADS = set("h1 h2 h3 h4 h5 h6".split())
 PERIOD = 3
 DEPTH = 120
+#: Links of fewer words on average, and nothing beside them, are a menu.
+MENU_WORDS = 4
+#: Children of two parts that are aligned by the longest common run of shapes; longer lists go by the next equal shape.
+EXACT = 1 << 12
+#: Distinct pages of a leaf, about, and the share of all pages that makes a host hot.
+LEAF, HOT_SHARE, LEVEL = 1000, 1 << 16, 6
 #: A text is constant once so many pages agree on it, and one in SHARE pages of the host that have distinct texts.
 AGREE, SHARE = 3, 2
 #: Rules up to so many bytes together are broadcast; beyond, pages are joined with them by host.
@@ -60,23 +76,23 @@ _NAMED = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'
 _PART = re.compile(r"[a-zA-Z]+")
 _HOST = re.compile(r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/:?#]*)")
 
-# A node is [signature, children, text, link characters]; text runs have signature "#".
+# A node is [signature, children, text, link characters, links]; text runs have signature "#".
 
 
 def parse(page: str) -> list:
     """The tree of block tags and text runs of a page."""
-    root = ["", [], "", 0]
+    root = ["", [], "", 0, 0]
     stack, names = [root], [""]
     held: list[str] = []
-    link = links = 0
+    link = links = anchors = 0
 
     def flush() -> None:
-        nonlocal links
+        nonlocal links, anchors
         text = " ".join(html.unescape("".join(held)).split()) if held else ""
         held.clear()
         if text:
-            stack[-1][1].append(["#", [], text, min(links, len(text))])
-        links = 0
+            stack[-1][1].append(["#", [], text, min(links, len(text)), anchors])
+        links, anchors = 0, link
 
     at, end = 0, len(page)
     while at < end:
@@ -101,6 +117,7 @@ def parse(page: str) -> list:
         if name in INLINE:
             if name == "a":
                 link = int(not closing)
+                anchors += link
             continue
         if name in VOID:
             held.append(" ")
@@ -122,17 +139,47 @@ def parse(page: str) -> list:
             names.pop()
         if len(stack) < DEPTH:
             kinds = sorted({p.lower() for found in _NAMED.findall(attributes) for p in _PART.findall(" ".join(found))})
-            node = [".".join([name, *kinds]), [], "", 0]
+            node = [".".join([name, *kinds]), [], "", 0, 0]
             stack[-1][1].append(node)
-            stack.append(node)
-            names.append(name)
+        else:
+            node = stack[-1]  # what is deeper belongs to this level; its end tag pops its own entry
+        stack.append(node)
+        names.append(name)
     flush()
     return root
 
 
 def aside(signature: str) -> bool:
     name, *kinds = signature.split(".")
-    return name in ASIDE_TAGS or name not in HOLDERS and any(k in ASIDE_NAMES for k in kinds)
+    return name in ASIDE_TAGS or name not in HOLDERS and any(k in (LEAF_NAMES if name in LEAVES else ASIDE_NAMES) for k in kinds)
+
+
+def _linked(node: list) -> bool:
+    return 2 * node[3] > len(node[2])
+
+
+def menus(tree: list) -> set[int]:
+    """The ids of nodes that are lists, or lines, of short links and nothing else."""
+    found: set[int] = set()
+
+    def walk(node: list, tag: str) -> tuple[int, int, int, int]:
+        """Text runs below, those that are links, their words and their number of links."""
+        if node[0] == "#":
+            words = len(node[2].split())
+            if not _linked(node):
+                return 1, 0, 0, 0
+            if tag not in LEAVES and node[4] > 1 and words < MENU_WORDS * node[4]:
+                found.add(id(node))
+            return 1, 1, words, max(node[4], 1)
+        name = node[0].split(".")[0]
+        runs = [walk(c, name) for c in node[1]]
+        total = tuple(map(sum, zip(*runs))) if runs else (0, 0, 0, 0)
+        if name in ("ul", "ol", "dl", "div", "section") and total[1] == total[0] and total[3] > 1 and total[2] < MENU_WORDS * total[3]:
+            found.add(id(node))
+        return total
+
+    walk(tree, "")
+    return found
 
 
 def unnamed(tree: list) -> list:
@@ -154,12 +201,16 @@ def unnamed(tree: list) -> list:
 
 
 # A wrapper part is [signature, pages, optional, repeated, characters, link characters, constant, parts]. constant is
-# the text while all pages agree, None once they differ. Groups of several members have signature "()".
+# a hash of the text while all pages agree, None once they differ. Groups of several members have signature "()".
+
+
+def mark(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
 def shape(node: list) -> list:
     text = node[2]
-    return [node[0], 1, 0, 0, len(text), node[3], text if node[0] == "#" else None, fold([shape(c) for c in node[1]])]
+    return [node[0], 1, 0, 0, len(text), node[3], mark(text) if node[0] == "#" else None, fold([shape(c) for c in node[1]])]
 
 
 def _key(part: list) -> tuple:
@@ -196,15 +247,52 @@ def align(a: list, b: list, same_page: bool = False) -> list:
     return [a[0], a[1] if same_page else a[1] + b[1], a[2] | b[2], a[3] | b[3], a[4] + b[4], a[5] + b[5], constant, align_lists(a[7], b[7], same_page)]
 
 
+def _pairs(a: list[tuple], b: list[tuple]) -> dict[int, int]:
+    """Places of b with the places of a that they are aligned with: as many as can be in order."""
+    low = 0
+    while low < min(len(a), len(b)) and a[low] == b[low]:
+        low += 1
+    high = 0
+    while high < min(len(a), len(b)) - low and a[-1 - high] == b[-1 - high]:
+        high += 1
+    found = {i: i for i in range(low)} | {len(b) - 1 - k: len(a) - 1 - k for k in range(high)}
+    x, y = a[low : len(a) - high], b[low : len(b) - high]
+    if not x or not y:
+        return found
+    if len(x) * len(y) > EXACT:
+        places: dict[tuple, list[int]] = {}
+        for i, p in enumerate(x):
+            places.setdefault(p, []).append(i)
+        at = 0
+        for j, q in enumerate(y):
+            own = places.get(q, [])
+            k = bisect_left(own, at)
+            if k < len(own):
+                found[low + j], at = low + own[k], own[k] + 1
+        return found
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(len(x) - 1, -1, -1):
+        row, under = best[i], best[i + 1]
+        for j in range(len(y) - 1, -1, -1):
+            row[j] = under[j + 1] + 1 if x[i] == y[j] else max(under[j], row[j + 1])
+    i = j = 0
+    while i < len(x) and j < len(y):
+        if x[i] == y[j]:
+            found[low + j] = low + i
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return found
+
+
 def align_lists(a: list, b: list, same_page: bool) -> list:
     """Both lists in order; a mismatch makes the part that the other lacks optional."""
-    places: dict[tuple, list[int]] = {}
-    for i, p in enumerate(a):
-        places.setdefault(_key(p), []).append(i)
+    pairs = _pairs([_key(p) for p in a], [_key(q) for q in b])
     out, at = [], 0
-    for q in b:
-        there = next((i for i in places.get(_key(q), ()) if i >= at), None)
-        if there is None:
+    for j, q in enumerate(b):
+        if (there := pairs.get(j)) is None:
             out.append([*q[:2], 1, *q[3:]])
         else:
             out += [[*p[:2], 1, *p[3:]] for p in a[at:there]]
@@ -235,8 +323,8 @@ def rule(wrapper: list) -> dict:
         for p in part[7]:
             if (n := _slots(p, pages)) > at:
                 best, at = p, n
-        # the holder of repeated parts, or of blocks, is as deep as it goes
-        if best is None or 2 * at < total or best[3] or best[0].split(".")[0] in LEAVES or all(p[0] == "#" for p in best[7]):
+        # an article, or the holder of repeated parts or of blocks, is as deep as it goes
+        if part[0].split(".")[0] == "article" or best is None or 2 * at < total or best[3] or best[0].split(".")[0] in LEAVES or all(p[0] == "#" for p in best[7]):
             break
         part = best
         path.append(part[0])
@@ -248,28 +336,34 @@ def rule(wrapper: list) -> dict:
                 constants.append(["/".join(at), q[6]])
             walk(q, at if q[0] in ("()", "#") else (*at, q[0]))
 
-    walk(part, tuple(path))
-    return {"path": path, "constants": sorted(constants)}
+    walk(wrapper, ())
+    # only where the main text may be: in the main part, and in blocks beside the way to it
+    way = {"/".join(path[:n]) for n in range(len(path) + 1)}
+    inside = "/".join(path)
+    return {"path": path, "constants": sorted([at, c] for at, c in constants if at == inside or at.startswith(inside + "/") or not inside or at.rsplit("/", 1)[0] in way or "/" not in at)}
 
 
 def extract(tree: list, found: dict) -> list[str] | None:
     """The blocks of the main part, None if the page lacks it."""
     path, blocks, seen = tuple(found["path"]), [], False
     constants = {(p, t) for p, t in found["constants"]}
-    stack = [(tree, (), not path)]
+    left_out = menus(tree)
+    stack = [(tree, (), not path, False)]
     while stack:
-        node, at, inside = stack.pop()
+        node, at, inside, beside = stack.pop()
         seen = seen or inside
         for child in reversed(node[1]):
             if child[0] == "#":
-                stack.append((child, at, inside))
+                stack.append((child, at, inside, beside))
                 continue
-            if inside and aside(child[0]):
+            if (inside or beside) and (aside(child[0]) or id(child) in left_out):
                 continue
             deeper = (*at, child[0])
-            if inside or deeper == path[: len(deeper)]:
-                stack.append((child, deeper, inside or deeper == path))
-        if node[0] == "#" and inside and ("/".join(at), node[2]) not in constants and not 2 * node[3] > len(node[2]):
+            if inside or beside or deeper == path[: len(deeper)]:
+                stack.append((child, deeper, inside or deeper == path, beside))
+            elif child[0].split(".")[0] in BESIDE and not aside(child[0]) and id(child) not in left_out:
+                stack.append((child, deeper, False, True))
+        if node[0] == "#" and (inside or beside) and id(node) not in left_out and ("/".join(at), mark(node[2])) not in constants:
             blocks.append(node[2])
     return blocks if seen else None
 
@@ -285,59 +379,75 @@ def body_print(tree: list) -> int:
     while stack:
         node = stack.pop()
         if node[0] == "#":
-            if 2 * node[3] <= len(node[2]):
+            if not _linked(node):
                 texts.append(node[2])
         elif not aside(node[0]):
             stack.extend(reversed(node[1]))
-    return int.from_bytes(blake2b("\n".join(texts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+    return mark("\n".join(texts))
 
 
-def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages (url, html) with host and print; those that repeat both in a partition only once."""
-    seen: set[tuple[str, int]] = set()
-    for batch in batches:
-        own = [(host(u), body_print(parse(p or ""))) for u, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-        at = []
-        for i, x in enumerate(own):
-            if x not in seen:
-                seen.add(x)
-                at.append(i)
-        yield pa.RecordBatch.from_arrays([pa.array([own[i][0] for i in at], pa.string()), pa.array([own[i][1] for i in at], pa.int64()), batch.column(1).take(pa.array(at, pa.int64()))], ["host", "print", "html"])
-
-
-def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by host and print: a wrapper for each host, copies counted once."""
-    found: dict[str, list] = {}
-    last = None
+def _hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with a first column of urls, that column's hosts put in front."""
     for batch in batches:
-        for h, mark, page in zip(*(c.to_pylist() for c in batch.columns)):
-            if (h, mark) == last:
-                continue
-            last = (h, mark)
-            own = shape(parse(page or ""))
-            found[h] = align(found[h], own) if h in found else own
-    if found:
-        yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array([json.dumps(w, ensure_ascii=False) for w in found.values()])], ["host", "wrapper"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(map(host, batch.column(0).to_pylist())), pa.string()), *batch.columns], ["host", *batch.schema.names])
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by host: one rule for each."""
-    name, held = None, None
+def hot_hosts(pages: DataFrame) -> dict[str, int]:
+    """Bits that part the pages of large hosts into leaves. HOT_SHARE hosts at most: others have a smaller share of all."""
+    counted = pages.select("url").groupBy("url").count().mapInArrow(_hosts, "host string, url string, count long").groupBy("host").agg(F.sum("count").alias("n"))
+    counted = materialize(counted, "hosts")
+    most = max(LEAF, (counted.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE)
+    return {r.host: (-(-r.n // most) - 1).bit_length() for r in counted.where(F.col("n") > most).collect()}
 
-    def made() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([json.dumps(rule(held), ensure_ascii=False)])], ["host", "rule"])
 
-    for batch in batches:
-        for h, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            w = json.loads(w)
-            if h == name:
-                held = align(held, w)
-            else:
-                if held is not None:
+def _printed(bits):
+    """Pages (url, html) with host, leaf, print and digest; of pages of a host that agree in print, those whose digest is
+    smaller than all before: the smallest of all is always among them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, seen = bits.value, {}
+        for batch in batches:
+            own, at = [], []
+            for i, (u, p) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                key = (host(u), body_print(parse(p or "")))
+                digest = mark(p or "")
+                if digest < seen.get(key, 1 << 63):
+                    seen[key] = digest
+                    own.append((key[0], key[1] & ((1 << hot.get(key[0], 0)) - 1), key[1], digest))
+                    at.append(i)
+            cols = list(zip(*own)) or [()] * 4
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds)), batch.column(1).take(pa.array(at, pa.int64()))], ["host", "leaf", "print", "digest", "html"])
+
+    return run
+
+
+def _joined(read, write, names: list[str]):
+    """Rows sorted by host and leaf, further columns last: the parts that ``read`` makes of a group's rows aligned one
+    after the other, and ``write`` of the result. One part is held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held, last = None, None, None
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([name[0]]), pa.array([name[1]], pa.int64()), pa.array([json.dumps(write(held))])], names)
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:3] == last and len(row) > 4:
+                    continue  # a copy
+                last = row[:3]
+                part = read(row[-1])
+                if row[:2] == name:
+                    held = align(held, part)
+                    continue
+                if name is not None:
                     yield made()
-                name, held = h, w
-    if held is not None:
-        yield made()
+                name, held = row[:2], part
+        if name is not None:
+            yield made()
+
+    return run
 
 
 def main_text(page: str | None, found: dict | None) -> str:
@@ -371,19 +481,35 @@ def _extractor(rules):
     return run
 
 
+def wrappers(pages: DataFrame) -> DataFrame:
+    """host and rule of every host of pages(url, html)."""
+    bits = hot_hosts(pages)
+    sent = pages.sparkSession.sparkContext.broadcast(bits)
+    distinct = pages.select("url", "html").mapInArrow(_printed(sent), "host string, leaf long, print long, digest long, html string")
+    dealt = distinct.repartition("host", "leaf").sortWithinPartitions("host", "leaf", "print", "digest")
+    schema, names = "host string, leaf long, wrapper string", ["host", "leaf", "wrapper"]
+    parts = dealt.mapInArrow(_joined(lambda p: shape(parse(p or "")), lambda w: w, names), schema)
+    deep = max(bits.values(), default=0)
+    while deep > LEVEL:
+        parts = parts.withColumn("low", F.shiftright("leaf", LEVEL)).repartition("host", "low").sortWithinPartitions("host", "low", "leaf")
+        parts = parts.select("host", F.col("low").alias("leaf"), "wrapper").mapInArrow(_joined(json.loads, lambda w: w, names), schema)
+        deep -= LEVEL
+    last = parts.repartition("host").sortWithinPartitions("host", "leaf").select("host", F.lit(0).cast("long").alias("leaf"), "wrapper")
+    rules = last.mapInArrow(_joined(json.loads, rule, ["host", "leaf", "rule"]), "host string, leaf long, rule string").drop("leaf")
+    return materialize(rules, "wrappers")
+
+
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of pages(page_id, url, html)."""
     spark = pages.sparkSession
     small_batches(spark)
-    distinct = pages.select("url", "html").mapInArrow(_printed, "host string, print long, html string").repartition("host", "print").sortWithinPartitions("host", "print", "html")
-    partial = distinct.mapInArrow(_infer, "host string, wrapper string")
-    rules = materialize(partial.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(_merge, "host string, rule string"), "wrappers")
+    rules = wrappers(pages)
     rows = pages.select("page_id", "url", "html")
     schema = "page_id long, url string, text string"
     if (rules.agg(F.sum(F.octet_length("host") + F.octet_length("rule"))).first()[0] or 0) <= BROADCAST_BYTES:
         known = spark.sparkContext.broadcast({r.host: r.rule for r in rules.collect()})
         texts = rows.mapInArrow(_extractor(known), schema)
     else:
-        named = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
-        texts = rows.withColumn("own_host", named).join(rules.withColumnRenamed("host", "own_host"), "own_host", "left").select("page_id", "url", "html", "rule").mapInArrow(_extractor(None), schema)
+        named = rows.select("url", "page_id", "html").mapInArrow(_hosts, "host string, url string, page_id long, html string")
+        texts = named.join(rules, "host", "left").select("page_id", "url", "html", "rule").mapInArrow(_extractor(None), schema)
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -5,9 +5,12 @@ import random
 from canloom.llm import wrapper as w
 
 
+TEXTS = {w.mark(t): t for t in ("1", "t", "x", "z")}
+
+
 def show(part):
     inner = "".join(show(p) for p in part[7])
-    body = ("#" if part[6] is None else f"'{part[6]}'") if part[0] == "#" else f"({inner})" if part[0] == "()" else f"<{part[0]}{' ' + inner if inner else ''}>"
+    body = ("#" if part[6] is None else f"'{TEXTS[part[6]]}'") if part[0] == "#" else f"({inner})" if part[0] == "()" else f"<{part[0]}{' ' + inner if inner else ''}>"
     return body + ("+" if part[3] else "") + ("?" if part[2] else "")
 
 
@@ -95,3 +98,42 @@ def test_names_of_what_holds_the_article():
     for page in (f'<body class="no-sidebar"><article>{body}</article></body>', f'<body><div class="content has-sidebar"><div>{body}</div><div id="sidebar"><p>aside</p></div></div></body>'):
         assert w.main_text(page, None) == want == w.main_text(page, w.rule(w.shape(w.parse(page))))
     assert w.main_text('<div class="cookie-notice"><p>We use cookies</p></div>', None) == ""
+
+
+def test_what_an_article_holds_stays():
+    """Title and lead beside the body, linked paragraphs, linked references, blocks by harmless names."""
+    lead, first, second = "A lead of some words here", "First paragraph of the text with many words in it", "Second paragraph of the text"
+    for page, want in (
+        (f'<article><h1>Title</h1><p>{lead}</p><div class=body><p>{first}</p><p>{second}</p></div></article>', ["Title", lead, first, second]),
+        (f'<body><div id=x><h1>Title</h1><div class=text><p>{first}</p><p>{second}</p></div><div class=rail><p>teaser</p></div></div></body>', ["Title", first, second]),
+        (f'<article><p>{first}</p><p><a href=/s>Read the study</a></p><p>{second}</p></article>', [first, "Read the study", second]),
+        (f'<article><p>{first}</p><p class="reply">{second}</p><ol><li><a href=/1>Miller and others, On words, 1999</a></li><li><a href=/2>Smith, More about many words, 2001</a></li></ol></article>', [first, second, "Miller and others, On words, 1999", "Smith, More about many words, 2001"]),
+        (f'<article><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul><p>{first}</p><div><a href=/a>Older</a> <a href=/b>Newer</a></div></article>', [first]),
+        (f'<body><div>{"<div>" * 300}<p>{first}</p>{"</div>" * 300}<p>{second}</p></div><footer>Us</footer></body>', [first, second]),
+    ):
+        tree = w.parse(page)
+        assert w.main_text(page, None) == " ".join(want) == w.main_text(page, w.rule(w.shape(tree))), page
+
+
+def test_long_page():
+    text = " ".join(f"word{i}" for i in range(40_000))
+    page = f"<nav>menu</nav><article><p>{text}</p>" + "<p>x y</p>" * 20_000 + "</article>"
+    assert w.main_text(page, None) == text + " x y" * 20_000
+
+
+def test_partitions_dont_matter(spark, monkeypatch):
+    """Hot hosts in many leaves, copies, optional parts: the same texts from any partitioning."""
+    monkeypatch.setattr(w, "LEAF", 16)
+    rng, words = random.Random(5), "alpha beta gamma delta epsilon zeta eta theta".split()
+    rows = []
+    for i in range(300):
+        page, _ = site(rng, words, rng.randrange(3))
+        if i % 4 == 0:
+            page = page.replace("<footer>", "<div><p>Same on some pages</p></div><footer>")
+        rows.append((i, f"https://h{0 if i % 3 else i % 7}.org/{i}", page))
+        if i % 10 == 0:
+            rows += [(1000 * k + i, f"https://h{i % 7}.org/{i}", page.replace("</nav>", f"<b>{k}</b></nav>")) for k in range(1, 5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert max(w.hot_hosts(pages).values()) >= 3
+    got = [{r.page_id: r.text for r in w.main_texts(pages.repartition(n)).collect()} for n in (1, 2, 7, 40)]
+    assert got[0] == got[1] == got[2] == got[3] and len(got[0]) == len(rows)
