@@ -12,6 +12,8 @@ inequality, and survivors are verified by the exact distance.
 * Equal fingerprints are one node, so exact copies cost nothing. A node is the smallest doc_id that has it.
 * A candidate bucket yields a spanning forest of its links and never its pairs.
 * Texts without words (null, empty, blanks) have fingerprint zero and link like any other.
+* Very long texts: words and shingles of one text are held at a time, and their bits counted ``CHUNK`` at a time. An empty
+  table gives an empty result; other columns of docs aren't looked at.
 * Rows whose doc_id is null have a fingerprint, take part as the largest id, and get a null component_id if
   nothing with an id is in reach. Repeated rows get equal results.
 """
@@ -54,7 +56,11 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[: len(words) - shingle] + 1)).tolist()
-    hashes = np.array([xxh64_intdigest(line[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist())], np.uint64)
+    return majority(np.array([xxh64_intdigest(line[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist())], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), CHUNK):
         part = hashes[at : at + CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -211,3 +217,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     if kept.where("n > 1").limit(1).count():
         out = out.dropDuplicates(["doc_id"])
     return out.unionByName(docs.where("doc_id is null"))
+
+
+def one_of_similar(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group of texts at a similarity of 0.8 or more: see ``nearcopies``."""
+    from canloom.llm import nearcopies
+
+    return nearcopies.one_of_each(docs)

@@ -1,8 +1,10 @@
 """Near copies: planted texts at 0.8 to 0.95, chains and look-alikes, against all pairs by exact Jaccard."""
 
+import numpy as np
 import random
 
 from canloom.llm import nearcopies as n
+from canloom.llm.simhash import PivotTable, majority
 from canloom.llm.components import Forest
 
 
@@ -62,3 +64,21 @@ def test_stage_takes_near_copies(spark):
     copies = [base, [*base[:40], "x", *base[41:]], [*base[:40], "x", *base[41:110], "y", *base[111:]], base[::-1]]
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(copies)], "doc_id long, text string")
     assert {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "").collect()} == {0, 3}
+
+
+def test_fingerprints_of_similar_sets_are_near():
+    """The discard by pivots and bits loses no similar pair, small sets and ties included."""
+    rng = np.random.default_rng(3)
+    pivots, worst = PivotTable(), 0
+    for _ in range(4000):
+        size = int(rng.integers(4, 60))
+        common = rng.integers(0, 1 << 64, size, np.uint64)
+        left = int(size / 0.8 - size)
+        cut = int(rng.integers(0, left + 1))
+        a, b = (np.concatenate((common, rng.integers(0, 1 << 64, k, np.uint64))) for k in (cut, left - cut))
+        fa, fb = (np.array([majority(x)], np.uint64) for x in (a, b))
+        worst = max(worst, int(np.bitwise_count(fa ^ fb)[0]))
+        assert n.near(pivots.whole_distances(fa), pivots.whole_distances(fb), fa, fb)[0]
+    assert worst < n.WIDE
+    other = rng.integers(0, 1 << 64, (2, 4000), np.uint64)
+    assert n.near(pivots.whole_distances(other[0]), pivots.whole_distances(other[1]), *other).mean() < 0.25
