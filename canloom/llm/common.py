@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +22,12 @@ _OWN_DIR: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share; one of our own only where none is set (tests)."""
+    """The folder all executors and the driver share; one of our own only in one process (tests) where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="canloom-"))
     return f"file://{_OWN_DIR[0]}"
@@ -33,13 +37,38 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/canloom/{what}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage: written once to shared storage, so a lost executor costs no more than its tasks."""
+#: Folders written since each ``scratch`` began.
+_SCOPES: list[list[str]] = []
+
+
+def materialize(df: DataFrame, what: str, result: bool = False) -> DataFrame:
+    """Cut the lineage: written once to shared storage, so a lost executor costs no more than its tasks.
+
+    Inside ``scratch``, what isn't its result is deleted at its end."""
     path = fresh_path(df.sparkSession, what)
+    if len(_SCOPES) > result:
+        _SCOPES[-1 - result].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes what is materialized meanwhile, at the end or on failure, but for results. What is computed from it must be
+    written by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            delete(spark, path)
+
+
 def small_batches(spark: SparkSession) -> None:
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) != BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canloom.llm.common import materialize
+from canloom.llm.common import materialize, scratch
 
 
 class Forest:
@@ -75,7 +75,8 @@ def components(edges: DataFrame) -> DataFrame:
     e = materialize(e.repartition("u").mapInArrow(_contract, "u long, v long"), "edges")
     mark = _mark(e)
     while mark[0]:
-        e = materialize(_small_star(_large_star(e)), "edges")
+        with scratch(e.sparkSession):
+            e = materialize(_small_star(_large_star(e)), "edges", result=True)
         now = _mark(e)
         if now == mark:
             break

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canloom.llm.common import materialize, member, membership, small_batches, utf8
+from canloom.llm.common import materialize, member, membership, scratch, small_batches, utf8
 
 LENGTH = 400
 #: Window starts that are looked at together; longer texts are taken in turns.
@@ -358,7 +358,8 @@ def removal_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def _with_spans(docs: DataFrame, length: int) -> DataFrame:
     """doc_id, text and spans (null for none) of every row; only texts that may have spans are shuffled."""
-    spans = materialize(removal_spans(docs, length), "spans").withColumnsRenamed({"doc_id": "d", "text_hash": "h"})
+    with scratch(docs.sparkSession):
+        spans = materialize(removal_spans(docs, length), "spans", result=True).withColumnsRenamed({"doc_id": "d", "text_hash": "h"})
     known, rows = membership(spans, "h"), docs.select("doc_id", "text")
     some = _named(rows, known).join(spans.hint("merge"), (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d")), "left").select("doc_id", "text", "spans")
     none = _named(rows, known, False).select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))

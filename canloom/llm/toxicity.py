@@ -12,6 +12,9 @@ then scores the text.
   learnt is that of all learnable labels at every size. Features are the text alone.
 * Null and empty texts have no words and get the score of the intercept. Without labelled rows, or with one
   label only, every score is that label's share (0 without any). Labels that repeat a doc_id: the largest counts.
+* Documents that repeat a labelled doc_id: the first by text is learnt from; repeated rows are scored alike. An empty table
+  gives no rows. Very long texts are scored over all their words; words that a task remembers are bounded. Columns of docs
+  that clash with ours keep their names and values.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from canloom.llm.common import fresh_name, small_batches
+from canloom.llm.common import fresh_name, materialize, scratch, small_batches
 from canloom.llm.quality import BITS, _counter, KneserNey, symbols
 
 #: Labelled rows of each label that the classifier is fitted on, at most.
@@ -35,7 +38,7 @@ FOLDS, HELD = 5, 0
 #: Hash space of features, and the features a model keeps at most.
 SPACE, FEATURES = 1 << 22, 4000
 #: Words whose features a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 #: What a sign or digit may stand for.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
@@ -214,8 +217,21 @@ def sample(labels: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def surest(rows: DataFrame) -> list[int]:
+    """The features that a model of rows(toxic, features) may keep, and some more: so many numbers, whatever the texts."""
+    n = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad"), F.count("*").alias("all")).first()
+    seen = rows.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).where("bad >= 3")
+    k, g = F.col("bad") + 0.5, F.col("good") + 0.5
+    lift = F.log(k / (n.bad + 1) / (g / (n["all"] - n.bad + 1)))
+    z = lift / F.sqrt(1 / k + 1 / g)
+    # a little slack: the model decides
+    return sorted(r.feature for r in seen.where((z > 1.9) & (lift > 0.65)).orderBy(z.desc(), "feature").limit(FEATURES + FEATURES // 8).select("feature").collect())
+
+
 def fit(docs: DataFrame, labels: DataFrame, restorer) -> Model:
-    chosen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample(labels)), "doc_id").select("toxic", F.xxhash64("doc_id", "text").alias("row"), "text")  # 2 * SAMPLE rows at most
+    chosen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample(labels)), "doc_id")
+    # 2 * SAMPLE rows at most: of rows that share a doc_id the first by text
+    chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).select("toxic", F.xxhash64("doc_id", "text").alias("row"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r, known = restorer.value, {}
@@ -232,7 +248,10 @@ def fit(docs: DataFrame, labels: DataFrame, restorer) -> Model:
                 rows.append(sorted(own))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), batch.column(1), pa.array(rows, pa.list_(pa.int32()))], ["toxic", "row", "features"])
 
-    table = chosen.mapInArrow(run, "toxic int, row long, features array<int>").orderBy("row", "toxic").toArrow().combine_chunks()
+    with scratch(docs.sparkSession):
+        every = materialize(chosen.mapInArrow(run, "toxic int, row long, features array<int>"), "features")
+        kept = surest(every)
+        table = every.select("toxic", "row", F.array_intersect("features", F.array(*map(F.lit, kept)).cast("array<int>")).alias("features")).orderBy("row", "toxic").toArrow().combine_chunks()
     if not table.num_rows:
         return Model(np.empty(0, np.int32), np.zeros(1, np.int64), np.empty(0, np.int64))
     lists = table.column("features").chunk(0)
