@@ -5,14 +5,18 @@ class, which the hidden states emit, times its own share of the class: (c + 1) /
 where c is its count over all training documents; one share is left for words never seen.
 
 Training. Baum-Welch over all training documents: each partition runs the forward and backward recursions over its
-sequences (taken in stretches of ``STRETCH`` tokens) and gives expected counts, which Spark adds up by symbol.
+sequences and gives expected counts, which Spark adds up by symbol. Texts of up to ``STRETCH`` tokens are run whole;
+longer ones in stretches of so many, each with ``CONTEXT`` tokens more on both sides, so that the messages at a cut have
+forgotten where they began; every token, and every move, cuts included, is counted once.
 Scoring. The scaled forward recursion over the whole text gives its exact likelihood under the model.
 
 Counts of rare words stay distributed: pairs (document, rare word) meet them in a join that no frequent word takes
 part in, as those are known to every task; so no key is hot but a word that only held-out texts hold.
 
 * Null and empty texts are the end token alone. Rows whose doc_id is null train and aren't held out.
-* Rare words are joined by a 64-bit hash. Repeated rows share a key and divide their sums by their number.
+* Rows are told apart by a number that they get as they are written, so repeated rows need no rule. Rare words are joined
+  by a 64-bit hash. Very long texts are read, and scored, whole. An empty table gives no rows; other columns of docs
+  aren't looked at.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from canloom.llm.common import materialize, small_batches, utf8
 FOLDS, HELD = 7, 2
 STATES, ROUNDS = 8, 6
 FREQUENT, CLASSES, TAIL = 16384, 1024, 3
-STRETCH = 128
+STRETCH, CONTEXT = 1024, 64
 #: How much likelier than another a state follows itself before training.
 LASTING = 200.0
 #: Tokens that one forward or backward run holds.
@@ -115,8 +119,11 @@ class Model:
         emit = emit + 2.0 * share[:, None]
         return cls((start + 0.1) / (start + 0.1).sum(), (later + 0.1) / (later + 0.1).sum(), (move + 0.1) / (move + 0.1).sum(1, keepdims=True), emit / emit.sum(0))
 
-    def expect(self, x: np.ndarray, length: np.ndarray, opening: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
-        """Expected counts of stretches x[n, t] (``length`` symbols each, longest first): starts, later starts, moves, emissions; and log-likelihood."""
+    def expect(self, x: np.ndarray, length: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
+        """Expected counts of stretches x[n, t] (``length`` symbols each, longest first): starts, later starts, moves, emissions; and log-likelihood.
+
+        Only symbols from ``first`` to before ``last`` count, and moves to them; a stretch opens its text where first is 0."""
+        opening = first == 0
         n, steps = x.shape
         # states first, stretches last: every step works on long rows
         move = self.move.astype(np.float32)
@@ -136,23 +143,26 @@ class Model:
                 a = np.where(opening, self.start[:, None], self.later[:, None]).astype(np.float32) * emitted[0]
             np.sum(a, axis=0, out=scale[t, :k])
             np.divide(a, scale[t, :k], out=alpha[t, :, :k])
+        def own_at(t: int, k: int) -> np.ndarray:
+            return ((first[:k] <= t) & (t < last[:k])).astype(np.float32)
+
         # emitted becomes, step by step from the end, what the next step's symbol and the rest say of its state
         total = np.zeros((STATES, STATES))
         beta = np.ones((STATES, n), np.float32)
         for t in range(steps - 1, -1, -1):
             if j := live[t + 1]:
                 right = emitted[t + 1, :, :j]
-                total += alpha[t, :, :j] @ right.T
+                total += (alpha[t, :, :j] * own_at(t + 1, j)) @ right.T
                 beta[:, :j] = move @ right
             k = live[t]
             emitted[t, :, :k] *= beta[:, :k]
             emitted[t, :, :k] /= scale[t, :k]
             alpha[t, :, :k] *= beta[:, :k]
         own = np.concatenate([by_step[t, : live[t]] for t in range(steps)])
-        flat = np.concatenate([alpha[t, :, : live[t]] for t in range(steps)], axis=1)
+        flat = np.concatenate([alpha[t, :, : live[t]] * own_at(t, live[t]) for t in range(steps)], axis=1)
         emissions = np.stack([np.bincount(own, f, len(self.emit)) for f in flat], 1)
         gamma = alpha[0].astype(np.float64)
-        logs = sum(float(np.log(scale[t, : live[t]]).sum(dtype=np.float64)) for t in range(steps))
+        logs = sum(float((np.log(scale[t, : live[t]]) * own_at(t, live[t])).sum(dtype=np.float64)) for t in range(steps))
         return gamma[:, opening].sum(1), gamma[:, ~opening].sum(1), total * self.move, emissions, logs
 
     def likelihood(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -176,44 +186,35 @@ class Model:
 
 
 def _sequences(lexicon):
-    """(key, doc_id, text) to the row's figures from frequent words, and its symbols."""
+    """(key, doc_id, held_out, text) to the row's figures from frequent words, its symbols, and its rare words (hash and number)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x: Lexicon = lexicon.value
         logs = np.zeros(x.size)
         logs[[x.symbol[w] for w in x.log]] = list(x.log.values())
         room = np.concatenate((np.zeros(x.first), x.room))
+        known, hash_of = x.symbol, {}
         for batch in batches:
-            made = [np.array(x.read(t), np.uint16) for t in utf8(batch.column(3))]
+            made, hashes, times, ends = [], [], [], [0]
+            for t in utf8(batch.column(3)):
+                made.append(np.array(x.read(t), np.uint16))
+                own = Counter([w for w in words(t) if w not in known])
+                if len(hash_of) > GATHERED:
+                    hash_of.clear()
+                hash_of |= {w: word_hash(w) for w in own if w not in hash_of}
+                hashes += map(hash_of.__getitem__, own)
+                times += own.values()
+                ends.append(len(hashes))
             cols = [
                 pa.array([len(s) for s in made], pa.int64()),
                 pa.array([int((s < x.first).sum()) for s in made], pa.int64()),
                 pa.array([float(logs[s].sum()) for s in made]),
                 pa.array([float(room[s].sum()) for s in made]),
                 pa.array([s.tobytes() for s in made], pa.binary()),
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes, pa.int64())),
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(times, pa.int32())),
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *cols], ["key", "doc_id", "held_out", "n_tokens", "n_frequent", "logs", "room", "symbols"])
-
-    return run
-
-
-def _rare(lexicon):
-    """(key, text) to pairs (key, hash of a rare word, its number in the text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, hash_of = lexicon.value.symbol, {}
-        for batch in batches:
-            keys, hashes, times, size = [], [], [], []
-            for k, t in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
-                own = Counter([w for w in words(t) if w not in known])
-                if len(hash_of) > GATHERED:
-                    hash_of.clear()
-                hash_of |= {w: word_hash(w) for w in own if w not in hash_of}
-                keys.append(k)
-                size.append(len(own))
-                hashes += map(hash_of.__getitem__, own)
-                times += own.values()
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(keys, np.int64), size)), pa.array(hashes, pa.int64()), pa.array(times, pa.int32())], ["key", "word", "times"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *cols], ["key", "doc_id", "held_out", "n_tokens", "n_frequent", "logs", "room", "symbols", "rare", "times"])
 
     return run
 
@@ -247,6 +248,13 @@ def _gathered(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iter
         yield held, seqs
 
 
+def stretches(symbols: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
+    """A text's stretches with context, and from where to where in each the symbols are its own."""
+    for i in range(0, len(symbols), STRETCH):
+        before = min(i, CONTEXT)
+        yield symbols[i - before : i + STRETCH + CONTEXT], before, before + min(STRETCH, len(symbols) - i)
+
+
 def _expectations(model):
     """Symbols to rows (id, k0..): expected counts by symbol; ids below 0 are moves, starts and the likelihood."""
 
@@ -254,14 +262,16 @@ def _expectations(model):
         m: Model = model.value
         total = None
         for _, seqs in _gathered(batches, "symbols", TOKENS):
-            parts = sorted(((s[i : i + STRETCH], i == 0) for s in seqs for i in range(0, len(s), STRETCH)), key=lambda p: -len(p[0]))
-            for at in range(0, len(parts), TOKENS // STRETCH):
-                own = parts[at : at + TOKENS // STRETCH]
-                length = np.array([len(s) for s, _ in own], np.int64)
+            parts = sorted((p for s in seqs for p in stretches(s)), key=lambda p: -len(p[0]))
+            at = 0
+            while at < len(parts):
+                own = parts[at : at + max(1, TOKENS // len(parts[at][0]))]
+                at += len(own)
+                length = np.array([len(s) for s, _, _ in own], np.int64)
                 x = np.zeros((len(own), int(length[0])), np.int64)
-                for row, (s, _) in zip(x, own):
+                for row, (s, _, _) in zip(x, own):
                     row[: len(s)] = s
-                got = m.expect(x, length, np.array([o for _, o in own]))
+                got = m.expect(x, length, np.array([a for _, a, _ in own]), np.array([b for _, _, b in own]))
                 total = list(got) if total is None else [a + b for a, b in zip(total, got)]
         if total is not None:
             start, later, moves, emit, likelihood = total
@@ -309,7 +319,8 @@ def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs(doc_id, text)."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit(""))).alias("key"), "doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+    # the number of a row is read from storage only, where it no longer changes
+    rows = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     counts = materialize(rows.where("not held_out").select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     end = F.col("word") == F.lit(END)
@@ -326,23 +337,22 @@ def score(docs: DataFrame) -> DataFrame:
     sent = spark.sparkContext.broadcast(lexicon)
 
     fields = "key long, doc_id long, held_out boolean, n_tokens long, n_frequent long, logs double, room double"
-    sequences = materialize(rows.mapInArrow(_sequences(sent), fields + ", symbols binary"), "sequences")
+    sequences = materialize(rows.mapInArrow(_sequences(sent), fields + ", symbols binary, rare array<long>, times array<int>"), "sequences")
     model, _ = baum_welch(sequences.where("not held_out"), lexicon.unigram)
     trained = spark.sparkContext.broadcast(model)
-    scored = materialize(sequences.mapInArrow(_likelihoods(trained), fields + ", likelihood double"), "likelihoods")
+    scored = materialize(sequences.drop("rare", "times").mapInArrow(_likelihoods(trained), fields + ", likelihood double"), "likelihoods")
 
-    pairs = rows.select("key", "text").mapInArrow(_rare(sent), "key long, word long, times int")
+    pairs = sequences.select("key", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("key", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     hashed = rare.mapInArrow(_hashed, "word long, n long")
     known = pairs.join(hashed, "word").groupBy("key").agg(F.sum("times").alias("times"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rare"))
-    same = scored.groupBy("key").agg(F.count("*").alias("same"))
-    every = scored.join(same, "key").join(known, "key", "left")
-    rare_logs = F.coalesce(F.col("rare") / F.col("same"), F.lit(0.0))
+    every = scored.join(known, "key", "left")
+    rare_logs = F.coalesce(F.col("rare"), F.lit(0.0))
     frequent = F.col("n_frequent") if heavy[END] else F.lit(0)
     return every.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (frequent + F.coalesce(F.expr("times div same"), F.lit(0))).cast("long").alias("n_known"),
+        (frequent + F.coalesce("times", F.lit(0))).cast("long").alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("logs") + rare_logs - F.col("n_tokens") * math.log10(total + kinds + 1)).alias("base_score"),
         (F.col("likelihood") + rare_logs - F.col("room")).alias("score"),

@@ -23,9 +23,10 @@ def test_forward_and_expected_counts(monkeypatch):
     monkeypatch.setattr(hmm, "STATES", 3)
     rng = np.random.default_rng(1)
     m = tiny(rng)
-    seqs = [np.array(s, np.uint16) for s in ([0, 1, 4, 2], [3], [2, 2, 0], [1, 0])]
+    seqs = [np.array(s, np.uint16) for s in ([0, 1, 4, 2], [0, 3, 1], [2, 2, 0], [1, 0])]
     want = {"p": [], "start": np.zeros(3), "later": np.zeros(3), "move": np.zeros((3, 3)), "emit": np.zeros((5, 3))}
-    opening = [True, False, True, True]
+    first, last = [0, 1, 0, 0], [4, 2, 3, 2]  # the second has a token of context on both sides
+    opening = [f == 0 for f in first]
     order = sorted(range(4), key=lambda i: -len(seqs[i]))
     for i, s in enumerate(seqs):
         paths = {}
@@ -36,19 +37,19 @@ def test_forward_and_expected_counts(monkeypatch):
             paths[path] = p
         total = sum(paths.values())
         want["p"].append(total)
+        own = range(first[i], last[i])
         for path, p in paths.items():
             want["start" if opening[i] else "later"][path[0]] += p / total
             for t in range(len(s)):
-                want["emit"][s[t], path[t]] += p / total
-                if t:
+                want["emit"][s[t], path[t]] += p / total * (t in own)
+                if t and t in own:
                     want["move"][path[t - 1], path[t]] += p / total
     x = np.zeros((4, 4), np.int64)
     for row, i in zip(x, order):
         row[: len(seqs[i])] = seqs[i]
-    got = m.expect(x, np.array([len(seqs[i]) for i in order]), np.array([opening[i] for i in order]))
+    got = m.expect(x, np.array([len(seqs[i]) for i in order]), np.array([first[i] for i in order]), np.array([last[i] for i in order]))
     for a, b in zip(got[:4], (want["start"], want["later"], want["move"], want["emit"])):
         assert np.allclose(a, b, atol=1e-4)
-    assert got[4] == pytest.approx(sum(map(math.log, want["p"])), rel=1e-4)
     whole = [i for i in range(4) if opening[i]]
     assert m.likelihood([seqs[i] for i in whole]) == pytest.approx([math.log10(want["p"][i]) for i in whole])
 
@@ -85,3 +86,35 @@ def test_shares_sum_to_one():
     assert sum((c + 1) / 10 ** lex.room[0] for c in (4, 1, 0)) == pytest.approx(1)
     m = hmm.Model.first(lex.unigram)
     assert m.emit.sum(0) == pytest.approx(np.ones(hmm.STATES)) and m.move.sum(1) == pytest.approx(np.ones(hmm.STATES))
+
+
+def test_stretches_own_every_token_once(monkeypatch):
+    monkeypatch.setattr(hmm, "STRETCH", 10)
+    monkeypatch.setattr(hmm, "CONTEXT", 3)
+    for n in (1, 9, 10, 11, 25, 30):
+        text = np.arange(n)
+        own = [s[a:b] for s, a, b in hmm.stretches(text)]
+        assert np.concatenate(own).tolist() == text.tolist()
+        assert [a for _, a, _ in hmm.stretches(text)] == [0] + [3] * (len(own) - 1)
+
+
+def test_counts_of_cut_texts_are_near_those_of_whole_ones(monkeypatch):
+    """A long text in stretches with context gives the counts that it gives as a whole."""
+    rng = np.random.default_rng(2)
+    text = np.concatenate([rng.integers(0, 10, 200) + 10 * (k % 2) for k in range(10)]).astype(np.uint16)
+    m = hmm.Model.first(np.bincount(text, minlength=20).astype(float))
+    whole = m.expect(text[None].astype(np.int64), np.array([len(text)]), np.array([0]), np.array([len(text)]))
+    monkeypatch.setattr(hmm, "STRETCH", 256)
+    parts = sorted(hmm.stretches(text), key=lambda p: -len(p[0]))
+    x = np.zeros((len(parts), len(parts[0][0])), np.int64)
+    for row, (s, _, _) in zip(x, parts):
+        row[: len(s)] = s
+    cut = m.expect(x, *(np.array(c) for c in zip(*((len(s), a, b) for s, a, b in parts))))
+    assert cut[3].sum() == pytest.approx(len(text), rel=1e-3) and cut[2].sum() == pytest.approx(len(text) - 1, rel=1e-3)
+    assert np.abs(cut[2] - whole[2]).max() < 0.01 * len(text) and np.abs(cut[3] - whole[3]).max() < 0.01 * len(text)
+
+
+def test_long_text(spark):
+    text = "the dog runs over a hill " * 20_000
+    r = hmm.score(spark.createDataFrame([(1, text), (2, "a cat")], "doc_id long, text string")).collect()
+    assert {x.doc_id: x.n_tokens for x in r} == {1: 120_001, 2: 3} and all(math.isfinite(x.score) for x in r)
