@@ -40,7 +40,7 @@ STRETCH, CONTEXT = 1024, 64
 #: How much likelier than another a state follows itself before training.
 LASTING = 200.0
 #: Tokens that one forward or backward run holds.
-TOKENS = 1 << 19
+TOKENS = 1 << 20
 #: Words whose counts a task gathers before it hands them on.
 GATHERED = 400_000
 #: No text has this word: the end of a text.
@@ -143,8 +143,10 @@ class Model:
                 a = np.where(opening, self.start[:, None], self.later[:, None]).astype(np.float32) * emitted[0]
             np.sum(a, axis=0, out=scale[t, :k])
             np.divide(a, scale[t, :k], out=alpha[t, :, :k])
-        def own_at(t: int, k: int) -> np.ndarray:
-            return ((first[:k] <= t) & (t < last[:k])).astype(np.float32)
+        every = not first.any() and (last == length).all()
+
+        def own_at(t: int, k: int):
+            return np.float32(1) if every else ((first[:k] <= t) & (t < last[:k])).astype(np.float32)
 
         # emitted becomes, step by step from the end, what the next step's symbol and the rest say of its state
         total = np.zeros((STATES, STATES))
@@ -152,14 +154,14 @@ class Model:
         for t in range(steps - 1, -1, -1):
             if j := live[t + 1]:
                 right = emitted[t + 1, :, :j]
-                total += (alpha[t, :, :j] * own_at(t + 1, j)) @ right.T
+                total += (alpha[t, :, :j] if every else alpha[t, :, :j] * own_at(t + 1, j)) @ right.T
                 beta[:, :j] = move @ right
             k = live[t]
             emitted[t, :, :k] *= beta[:, :k]
             emitted[t, :, :k] /= scale[t, :k]
             alpha[t, :, :k] *= beta[:, :k]
         own = np.concatenate([by_step[t, : live[t]] for t in range(steps)])
-        flat = np.concatenate([alpha[t, :, : live[t]] * own_at(t, live[t]) for t in range(steps)], axis=1)
+        flat = np.concatenate([alpha[t, :, : live[t]] if every else alpha[t, :, : live[t]] * own_at(t, live[t]) for t in range(steps)], axis=1)
         emissions = np.stack([np.bincount(own, f, len(self.emit)) for f in flat], 1)
         gamma = alpha[0].astype(np.float64)
         logs = sum(float((np.log(scale[t, : live[t]]) * own_at(t, live[t])).sum(dtype=np.float64)) for t in range(steps))
@@ -306,7 +308,7 @@ def baum_welch(sequences: DataFrame, unigram: np.ndarray, rounds: int = ROUNDS)
 def _likelihoods(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
-        for held, seqs in _gathered(batches, "symbols", 8 * TOKENS):
+        for held, seqs in _gathered(batches, "symbols", 4 * TOKENS):
             value, at = m.likelihood(seqs), 0
             for batch in held:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(value[at : at + batch.num_rows])], [*batch.schema.names[:-1], "likelihood"])
