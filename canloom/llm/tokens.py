@@ -1,13 +1,16 @@
 """Token counts by a digest cache.
 
-Content is named by the digest of its UTF-8 bytes and the tokenizer by the digest of its file. Counts that
-the cache holds are joined; only distinct content that it lacks is encoded, and the new counts are appended.
+Content is named by the digest of its UTF-8 bytes and the tokenizer by the digest of its file. Digests are counted and
+joined with the cache, and two bit maps of bounded size tell a second reading of the texts what is missing: a text that no
+other row may share is encoded where it is read, and never shuffled. Of content that may repeat, the rows are joined
+with the one row that stands for it (by digest and row mark, so that copies are dealt out and no content is a hot key),
+and that one is encoded. New counts are appended to the cache.
 
 * Normalisation: null counts as the empty text. Nothing else may change, as the counts are to be exact.
-* A text is sent to the encoder at most once for each input partition, and encoded once: copies are
-  dropped before the shuffle, so a text that a third of all rows share isn't a hot key.
-* Repeated rows, ties and empty tables need no rule of their own: each input row gets one output row.
-* The cache may be read and appended to by many jobs; counts stored twice are the same, and read once.
+* A full map only sends more rows the longer way, or encodes a cached text again: counts stored twice are the same, and
+  read once. The cache is partitioned by tokenizer, and may be read and appended to by many jobs.
+* Repeated rows, ties and empty tables need no rule of their own: each input row gets one output row. Very long texts are
+  encoded whole, ``BATCH_BYTES`` of texts together. Other columns of docs aren't looked at.
 """
 
 from __future__ import annotations
@@ -21,9 +24,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canloom.llm.common import materialize, small_batches
+from canloom.llm.common import materialize, member, membership, small_batches, steps
 
-CACHE_SCHEMA = "content binary, tokenizer string, n_tokens long"
+CACHE_SCHEMA = "content binary, n_tokens long, tokenizer string"
+#: Characters of the texts that are encoded together.
+BATCH_BYTES = 1 << 20
 
 
 def tokenizer_version(path: str) -> tuple[str, str]:
@@ -43,20 +48,9 @@ def read_cache(spark: SparkSession, cache_path: str, version: str) -> DataFrame
     return stored.where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
 
 
-def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first row of each content that this partition sees."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        keep = []
-        for i, key in enumerate(batch.column(0).to_pylist()):
-            if key not in seen:
-                seen.add(key)
-                keep.append(i)
-        if keep:
-            yield batch.take(pa.array(keep))
+def _encoder(body: str, need=None, shared=None):
+    """Rows (content, place, text) to counts; with maps, of those whose place is needed and not shared."""
 
-
-def _encoder(body: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
@@ -66,28 +60,56 @@ def _encoder(body: str):
         tokenizer = Tokenizer.from_str(body)
         tokenizer.no_padding()
         tokenizer.no_truncation()
-        for batch in _once(batches):
-            counts = []
-            texts = batch.column(1).to_pylist()
-            for at in range(0, len(texts), 64):
-                counts += [len(e.ids) for e in tokenizer.encode_batch_fast(texts[at : at + 64], add_special_tokens=False)]
+        seen: set[bytes] = set()
+        for batch in batches:
+            if need is not None:
+                place = batch.column(1).to_numpy(zero_copy_only=False)
+                batch = batch.filter(pa.array(member(need.value, place) & ~member(shared.value, place)))
+            keep = []
+            for i, key in enumerate(batch.column(0).to_pylist()):
+                if key not in seen:
+                    seen.add(key)
+                    keep.append(i)
+            batch = batch.take(pa.array(keep, pa.int64()))
+            texts, counts = batch.column(2).to_pylist(), []
+            for a, b in steps(texts, BATCH_BYTES):
+                counts += [len(e.ids) for e in tokenizer.encode_batch_fast(texts[a:b], add_special_tokens=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["content", "n_tokens"])
 
     return encode
 
 
+def _in_map(known):
+    """Rows (content, place, ...) whose place the map may hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(member(known.value, batch.column(1).to_numpy(zero_copy_only=False))))
+
+    return run
+
+
 def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) of every row of docs(doc_id, text)."""
     spark = docs.sparkSession
     small_batches(spark)
     version, body = tokenizer_version(tokenizer_path)
     text = F.coalesce("text", F.lit(""))
-    named = docs.select("doc_id", F.unhex(F.sha2(F.encode(text, "UTF-8"), 256)).alias("content"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
-    keys = named.select("doc_id", "content", "n_bytes")
-    texts = named.select("content", "text").mapInArrow(_once, "content binary, text string")
+    content = F.unhex(F.sha2(F.encode(text, "UTF-8"), 256))
+    mark = F.xxhash64("doc_id", "content").alias("mark")
+    keys = materialize(docs.select("doc_id", content.alias("content"), F.octet_length(text).cast("long").alias("n_bytes")), "digests")
+    kinds = keys.select("content", mark).groupBy("content").agg(F.min("mark").alias("mark"), F.count("*").alias("n"))
     if (stored := read_cache(spark, cache_path, version)) is not None:
-        texts = texts.join(stored.select("content"), "content", "left_anti")
-    fresh = texts.repartition("content").mapInArrow(_encoder(body), "content binary, n_tokens long")
-    fresh.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
+        kinds = kinds.join(stored.select("content"), "content", "left_anti")
+    kinds = materialize(kinds.select("content", F.xxhash64("content").alias("place"), "mark", "n"), "missing")
+    need, shared = (spark.sparkContext.broadcast(membership(x, "place")) for x in (kinds, kinds.where("n > 1")))
+    rows = docs.select("doc_id", content.alias("content"), text.alias("text")).select("content", F.xxhash64("content").alias("place"), "text", mark)
+    schema = "content binary, n_tokens long"
+    alone = rows.select("content", "place", "text").mapInArrow(_encoder(body, need, shared), schema)
+    copies = rows.mapInArrow(_in_map(shared), "content binary, place long, text string, mark long")
+    chosen = kinds.mapInArrow(_in_map(shared), "content binary, place long, mark long, n long").select("content", "mark")
+    one = copies.join(chosen.hint("merge"), ["content", "mark"]).select("content", "place", "text").mapInArrow(_encoder(body), schema)
+    fresh = alone.unionByName(one).select("content", "n_tokens", F.lit(version).alias("tokenizer"))
+    fresh.write.mode("append").partitionBy("tokenizer").parquet(cache_path)
     counts = materialize(read_cache(spark, cache_path, version), "counts")  # two plain sides: Spark can split a hot content
     return keys.join(counts, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
