@@ -55,13 +55,13 @@ def _large_star(e: DataFrame) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
     # written, so that both sides of the join are plain and Spark can split the edges of a hot node
-    least = materialize(least, "least")
+    least = materialize(least, "least", narrow=True)
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     """Every neighbour below u, and u, point at the smallest of these neighbours (edges run downwards)."""
-    least = materialize(e.groupBy("u").agg(F.min("v").alias("m")), "least")
+    least = materialize(e.groupBy("u").agg(F.min("v").alias("m")), "least", narrow=True)
     return e.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -72,11 +72,11 @@ def _mark(e: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): every node of edges(u, v) with the smallest node of its component."""
     e = edges.select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).where("u > v")
-    e = materialize(e.repartition("u").mapInArrow(_contract, "u long, v long"), "edges")
+    e = materialize(e.repartition("u").mapInArrow(_contract, "u long, v long"), "edges", narrow=True)
     mark = _mark(e)
     while mark[0]:
         with scratch(e.sparkSession):
-            e = materialize(_small_star(_large_star(e)), "edges", result=True)
+            e = materialize(_small_star(_large_star(e)), "edges", result=True, narrow=True)
         now = _mark(e)
         if now == mark:
             break

@@ -55,7 +55,7 @@ def targets(sized: DataFrame) -> DataFrame:
     by = sized.groupBy("source").agg(F.sum(F.when(F.col("size") > 0, 1).otherwise(0)).alias("n_docs"), F.sum("size").alias("source_size"))
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("place") % len(WEIGHTS)).cast("int") + 1).cast("double")
     out = ranked(by).withColumn("weight", weight).withColumn("cap", (MOST * F.col("source_size")).cast("double"))
-    out = materialize(out.select("source", "n_docs", "source_size", "weight", "cap"), "weights")
+    out = materialize(out.select("source", "n_docs", "source_size", "weight", "cap"), "weights", narrow=True)
     # words for each weight: raised until no source more is full
     level, full = 0.0, -1
     while True:
@@ -147,7 +147,7 @@ def mix(docs: DataFrame, seed: int = 1) -> DataFrame:
     small_batches(spark)
     words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     sized = materialize(docs.select("doc_id", "source", words.alias("size"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("mark")), "sizes")
-    goal = materialize(targets(sized), "targets")
+    goal = materialize(targets(sized), "targets", narrow=True)
     n, most = goal.agg(F.count("*"), F.max("n_docs")).first()
     small = F.broadcast(goal) if n <= BROADCAST_ROWS else goal
     joined = sized.withColumnRenamed("source", "own").join(small, F.col("own").eqNullSafe(F.col("source"))).drop("own")
@@ -165,7 +165,7 @@ def mix(docs: DataFrame, seed: int = 1) -> DataFrame:
     while True:
         last = leaves <= 1
         dealt = rows.repartition("source", "leaf").sortWithinPartitions("source", "leaf", F.desc("size"), "doc_id", "p")
-        rounded = materialize(dealt.mapInArrow(_rounder(seed, last), rows.schema.simpleString()[7:-1].replace(":", " ") + ", left boolean"), "rounded")
+        rounded = materialize(dealt.mapInArrow(_rounder(seed, last), rows.schema.simpleString()[7:-1].replace(":", " ") + ", left boolean"), "rounded", narrow=True)
         decided.append(rounded.where("not left"))
         if last:
             break

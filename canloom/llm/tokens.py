@@ -49,7 +49,7 @@ def read_cache(spark: SparkSession, cache_path: str, version: str) -> DataFrame
 
 
 def _encoder(body: str, need=None, shared=None):
-    """Rows (content, place, text) to counts; with maps, of those whose place is needed and not shared."""
+    """Rows (content, place, text) to counts; with maps, of those whose place is needed (all, without that map) and not shared."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -62,9 +62,10 @@ def _encoder(body: str, need=None, shared=None):
         tokenizer.no_truncation()
         seen: set[bytes] = set()
         for batch in batches:
-            if need is not None:
+            if shared is not None:
                 place = batch.column(1).to_numpy(zero_copy_only=False)
-                batch = batch.filter(pa.array(member(need.value, place) & ~member(shared.value, place)))
+                own = ~member(shared.value, place)
+                batch = batch.filter(pa.array(own if need is None else own & member(need.value, place)))
             keep = []
             for i, key in enumerate(batch.column(0).to_pylist()):
                 if key not in seen:
@@ -99,15 +100,18 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     mark = F.xxhash64("doc_id", "content").alias("mark")
     keys = materialize(docs.select("doc_id", content.alias("content"), F.octet_length(text).cast("long").alias("n_bytes")), "digests")
     kinds = keys.select("content", mark).groupBy("content").agg(F.min("mark").alias("mark"), F.count("*").alias("n"))
+    need, place = None, F.xxhash64("content").alias("place")
     if (stored := read_cache(spark, cache_path, version)) is not None:
-        kinds = kinds.join(stored.select("content"), "content", "left_anti")
-    kinds = materialize(kinds.select("content", F.xxhash64("content").alias("place"), "mark", "n"), "missing")
-    need, shared = (spark.sparkContext.broadcast(membership(x, "place")) for x in (kinds, kinds.where("n > 1")))
+        kinds = materialize(kinds.join(stored.select("content"), "content", "left_anti"), "missing", narrow=True)
+        need = spark.sparkContext.broadcast(membership(kinds.select(place), "place"))
+    twice = materialize(kinds.where("n > 1").select("content", place, "mark"), "repeated", narrow=True)
+    shared = spark.sparkContext.broadcast(membership(twice, "place"))
     rows = docs.select("doc_id", content.alias("content"), text.alias("text")).select("content", F.xxhash64("content").alias("place"), "text", mark)
     schema = "content binary, n_tokens long"
     alone = rows.select("content", "place", "text").mapInArrow(_encoder(body, need, shared), schema)
     copies = rows.mapInArrow(_in_map(shared), "content binary, place long, text string, mark long")
-    chosen = kinds.mapInArrow(_in_map(shared), "content binary, place long, mark long, n long").select("content", "mark")
+    # a text that only seems shared stands for itself
+    chosen = kinds.select("content", place, "mark").mapInArrow(_in_map(shared), "content binary, place long, mark long").select("content", "mark")
     one = copies.join(chosen.hint("merge"), ["content", "mark"]).select("content", "place", "text").mapInArrow(_encoder(body), schema)
     fresh = alone.unionByName(one).select("content", "n_tokens", F.lit(version).alias("tokenizer"))
     fresh.write.mode("append").partitionBy("tokenizer").parquet(cache_path)
