@@ -10,7 +10,7 @@ Among candidates, a pair whose coordinates differ by more than RADIUS anywhere i
 inequality, and survivors are verified by the exact distance.
 
 * Equal fingerprints are one node, so exact copies cost nothing. A node is the smallest doc_id that has it.
-* A candidate bucket yields a spanning forest of its links and never its pairs.
+* A candidate bucket yields a spanning forest of its links and never its pairs; a large one is parted by further bits.
 * Texts without words (null, empty, blanks) have fingerprint zero and link like any other.
 * Very long texts: words and shingles of one text are held at a time, and their bits counted ``CHUNK`` at a time. An empty
   table gives an empty result; other columns of docs aren't looked at.
@@ -37,6 +37,8 @@ SHINGLE = 3
 #: Pivots for each segment, besides the four that are compared over the whole word.
 PIVOTS = 12
 CELL = 8
+#: Buckets of more fingerprints are parted before their members are compared.
+LARGE = 512
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
 #: Fingerprints that only rows without a doc_id have are nodes from here on; ids of documents are smaller.
@@ -160,6 +162,25 @@ def links(node: np.ndarray, fp: np.ndarray, table: PivotTable, radius: int = RAD
     return out
 
 
+def bucket_links(node: np.ndarray, fp: np.ndarray, table: PivotTable, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """``links``; a large bucket is parted first. Where its bits differ at all they are cut into radius + 1 runs, and two
+    fingerprints in reach agree in one of them: each run parts the bucket anew, so work doesn't grow with its square."""
+    free = np.bitwise_or.reduce(fp ^ fp[0])
+    places = np.flatnonzero((free >> np.arange(64, dtype=np.uint64)) & np.uint64(1))
+    if len(fp) <= LARGE or len(places) <= radius:
+        return links(node, fp, table, radius)
+    out = []
+    for run in np.array_split(places, radius + 1):
+        own = fp & np.bitwise_or.reduce(np.uint64(1) << run.astype(np.uint64))
+        order = np.argsort(own, kind="stable")
+        cut = np.flatnonzero(np.diff(own[order])) + 1
+        for part in np.split(order, cut):
+            if len(part) > 1:
+                # at the end of what parting can do, all that is left agrees but for a few bits
+                out += links(node[part], fp[part], table, radius) if len(part) == len(fp) else bucket_links(node[part], fp[part], table, radius)
+    return out
+
+
 def _bucket_links(table: PivotTable, radius: int):
     """Rows sorted by key: the forest of each bucket. Holds one bucket of distinct fingerprints at a time."""
 
@@ -167,10 +188,11 @@ def _bucket_links(table: PivotTable, radius: int):
         cut = np.flatnonzero(np.diff(key)) + 1
         first, last = np.concatenate(([0], cut)), np.concatenate((cut, [len(key)]))
         pairs = first[last - first == 2]
+        pairs = pairs[np.abs(table.whole_distances(fp[pairs]) - table.whole_distances(fp[pairs + 1])).max(axis=1, initial=0) <= radius]
         for x in pairs[np.bitwise_count(fp[pairs] ^ fp[pairs + 1]) <= radius]:
             forest.join(int(node[x]), int(node[x + 1]))
         for a, b in zip(first[last - first > 2], last[last - first > 2]):
-            for x, y in links(node[a:b], fp[a:b], table, radius):
+            for x, y in bucket_links(node[a:b], fp[a:b], table, radius):
                 forest.join(x, y)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,12 +2,14 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 import xxhash
 
 from canloom.llm import components, simhash
+from canloom.llm.components import Forest
 
 
 def brute_print(text):
@@ -100,3 +102,22 @@ def test_query_form(spark):
     assert kept == sorted({c for _, _, c in want})
     some = docs.selectExpr("cast(null as long) doc_id", "text").union(docs.where("doc_id = 993").select("doc_id", "text"))
     assert {r.component_id for r in simhash.near_duplicates(some).where("fingerprint <> '0000000000000000'").collect()} >= {None, 993}
+
+
+def test_large_bucket():
+    """Twenty thousand distinct fingerprints that agree in 26 bits, with planted neighbours: the links of all pairs, in seconds."""
+    rng = np.random.default_rng(9)
+    fp = np.unique(rng.integers(0, 1 << 38, 20_000, np.uint64))
+    flips = np.array([np.bitwise_or.reduce(np.uint64(1) << rng.choice(38, 3, False).astype(np.uint64)) for _ in range(2000)], np.uint64)
+    fp = np.unique(np.concatenate((fp, fp[:2000] ^ flips)))
+    table = simhash.PivotTable()
+    began = time.time()
+    forest = Forest()
+    for a, b in simhash.bucket_links(np.arange(len(fp)), fp, table):
+        forest.join(a, b)
+    assert time.time() - began < 10
+    whole = Forest()
+    for a in range(len(fp)):
+        for b in np.flatnonzero(np.bitwise_count(fp ^ fp[a]) <= 3):
+            whole.join(a, int(b))
+    assert [forest.root(i) for i in range(len(fp))] == [whole.root(i) for i in range(len(fp))]
