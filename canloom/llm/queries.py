@@ -84,6 +84,25 @@ FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN items ON items.doc_id =
 """
 
 
+# windows of 400 bytes by their digests; runs of covered bytes; the digest of what stays
+OP4_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+starts AS (SELECT r, unnest(range(1, octet_length(b) - 398)) AS i FROM d WHERE octet_length(b) >= 400),
+windows AS (SELECT s.r, s.i, md5(d.b[s.i : s.i + 399]) AS h FROM starts s JOIN d ON d.r = s.r),
+twice AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT w.r, w.i FROM windows w SEMI JOIN twice t ON t.h = w.h),
+marked AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM hit),
+numbered AS (SELECT r, i, sum(CASE WHEN p IS NULL OR i > p + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS run FROM marked),
+runs AS (SELECT r, run, min(i) AS a, max(i) + 400 AS z FROM numbered GROUP BY r, run),
+gaps AS (SELECT r, run, coalesce(lag(z) OVER (PARTITION BY r ORDER BY run), 1) AS a, a - 1 AS z FROM runs
+    UNION ALL SELECT r, max(run) + 1, max(z), NULL FROM runs GROUP BY r),
+kept AS (SELECT g.r, sha256(unhex(string_agg(hex(d.b[g.a : coalesce(g.z, octet_length(d.b))]), '' ORDER BY g.run))) AS kept FROM gaps g JOIN d ON d.r = g.r GROUP BY g.r),
+sums AS (SELECT r, sum(z - a) AS n_removed, count(*) AS n_spans FROM runs GROUP BY r)
+SELECT d.doc_id, CAST(octet_length(d.b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, coalesce(kept, sha256(d.b)) AS kept_sha256
+FROM d LEFT JOIN sums ON sums.r = d.r LEFT JOIN kept ON kept.r = d.r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """What SQL can state in reasonable time; the other operators are held to brute force by their tests."""
-    return {"op7_decontamination": OP7_SQL}
+    return {"op4_suffix_dedup": OP4_SQL, "op7_decontamination": OP7_SQL}
