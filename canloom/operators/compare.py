@@ -57,50 +57,67 @@ def identical(a: DataFrame, b: DataFrame, atol: float = 1e-12) -> DataFrame:
 
 
 def signal_sets(samples_meta: DataFrame) -> DataFrame:
-    """group_name, signal_set: the signals of each group, which tell what group of another file it is."""
+    """group_ordinal, group_name, signal_set: the signals of each group, which tell what group of another file it is."""
     return samples_meta.groupBy("group_ordinal", "group_name").agg(F.array_join(F.sort_array(F.collect_set("signal")), "\x1f").alias("signal_set"))
 
 
+def numbered_sets(samples_meta: DataFrame) -> DataFrame:
+    """``signal_sets`` with nth: of several groups with one set, their order."""
+    nth = F.row_number().over(Window.partitionBy("signal_set").orderBy("group_ordinal", "group_name"))
+    return signal_sets(samples_meta).withColumn("nth", nth)
+
+
+def _matched(samples: DataFrame) -> DataFrame:
+    """Rows with the set and the place in it of their group: what groups of two files are matched by. Names don't count."""
+    own = numbered_sets(samples.select("group_ordinal", "group_name", "signal").distinct())
+    return samples.join(own, ["group_ordinal", "group_name"])
+
+
 def missing_groups(a: DataFrame, b: DataFrame) -> DataFrame:
     """Groups of one measurement that the other has no counterpart of: side (a or b), group_name, n_signals.
 
     Counterparts have equal signal sets; of several groups with one set, each needs its own.
     """
-    nth = F.row_number().over(Window.partitionBy("signal_set").orderBy("group_name"))
-    sa, sb = (signal_sets(x.where(F.col("group_name") != STATS_GROUP)).withColumn("nth", nth) for x in (a, b))
+    sa, sb = (numbered_sets(x.where(F.col("group_name") != STATS_GROUP)) for x in (a, b))
     n = F.size(F.split("signal_set", "\x1f")).cast("long").alias("n_signals")
     only = lambda x, y, side: x.join(y, ["signal_set", "nth"], "left_anti").select(F.lit(side).alias("side"), "group_name", n)
     return only(sa, sb, "a").unionByName(only(sb, sa, "b"))
 
 
+def renamed_groups(a: DataFrame, b: DataFrame) -> DataFrame:
+    """name_a, name_b of matched groups whose names differ; two tools name groups differently, so this is no value difference."""
+    sa, sb = (numbered_sets(x).select("signal_set", "nth", F.col("group_name").alias(f"name_{p}")) for x, p in ((a, "a"), (b, "b")))
+    return sa.join(sb, ["signal_set", "nth"]).where("name_a <> name_b").select("name_a", "name_b")
+
+
 def within_tolerance(a: DataFrame, b: DataFrame, atol: float = 1e-6, rtol: float = 1e-6) -> DataFrame:
-    """Signals of groups matched by name and signal set that differ: lengths, times, and values beyond tolerance.
+    """Signals of groups matched by signal set alone that differ: lengths, times, and values beyond tolerance.
 
-    One row for each signal with n_a, n_b, bad_times, bad_values and the largest difference.
+    One row for each signal with group_name (a's where there is one), n_a, n_b, bad_times, bad_values and the largest difference.
     """
-    keys = ["group_name", "signal_set", "signal", "seq"]
-    keyed = lambda x: x.join(signal_sets(x.select("group_ordinal", "group_name", "signal").distinct()), ["group_ordinal", "group_name"])
-    pick = lambda df, p: keyed(df).select(*keys, *(F.col(c).alias(f"{p}_{c}") for c in ("ts", "value", "text")), F.lit(1).alias(f"{p}_there"))
+    keys = ["signal_set", "nth", "signal", "seq"]
+    pick = lambda df, p: _matched(df).select(*keys, *(F.col(c).alias(f"{p}_{c}") for c in ("group_name", "ts", "value", "text")), F.lit(1).alias(f"{p}_there"))
     both = pick(a, "a").join(pick(b, "b"), keys, "full_outer")
     c = F.col
     there = c("a_there").isNotNull() & c("b_there").isNotNull()
     text = c("a_text").isNotNull() | c("b_text").isNotNull()
     bad = F.when(text, ~clean_text(c("a_text")).eqNullSafe(clean_text(c("b_text")))).otherwise(~F.coalesce(close(c("a_value"), c("b_value"), atol, rtol), F.lit(False)))
-    by = both.groupBy("group_name", "signal").agg(
+    by = both.groupBy("signal_set", "nth", "signal").agg(
+        F.coalesce(F.min("a_group_name"), F.min("b_group_name")).alias("group_name"),
         F.count("a_there").alias("n_a"),
         F.count("b_there").alias("n_b"),
         F.count_if(there & ~c("a_ts").eqNullSafe(c("b_ts"))).alias("bad_times"),
         F.count_if(there & bad).alias("bad_values"),
         F.max(F.when(there & ~F.isnan("a_value") & ~F.isnan("b_value"), F.abs(c("a_value") - c("b_value")))).alias("max_diff"),
     )
-    return by.where("n_a <> n_b or bad_times > 0 or bad_values > 0")
+    return by.where("n_a <> n_b or bad_times > 0 or bad_values > 0").select("group_name", "signal", "n_a", "n_b", "bad_times", "bad_values", "max_diff")
 
 
 def metadata(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Metadata fields that differ for equal (group_name, signal): field, a, b."""
+    """Metadata fields that differ for signals of matched groups: group_name (a's), signal, field, a, b."""
     fields = ["unit", "dtype", "conversion", "position"]
-    tall = lambda df, p: df.select("group_name", "signal", F.explode(F.create_map(*(x for f in fields for x in (F.lit(f), F.coalesce(F.col(f).cast("string"), F.lit("")))))).alias("field", p))
-    return tall(a, "a").join(tall(b, "b"), ["group_name", "signal", "field"]).where("a <> b")
+    tall = lambda df, p: _matched(df).select("signal_set", "nth", F.col("group_name").alias(f"name_{p}"), "signal", F.explode(F.create_map(*(x for f in fields for x in (F.lit(f), F.coalesce(F.col(f).cast("string"), F.lit("")))))).alias("field", p))
+    return tall(a, "a").join(tall(b, "b"), ["signal_set", "nth", "signal", "field"]).where("a <> b").select(F.col("name_a").alias("group_name"), "signal", "field", "a", "b")
 
 
 def header(a: dict[str, str], b: dict[str, str]) -> list[tuple[str, str | None, str | None]]:

@@ -437,18 +437,18 @@ def compare_identical(spark, sf_dir):
     return compare.identical(*_pair(spark, sf_dir)).select("group_ordinal", "signal", "seq", "kind")
 
 
-_SETS = (
-    "set_a AS (SELECT group_name, string_agg(signal, '|' ORDER BY signal) AS s, count(*) AS n FROM (SELECT DISTINCT group_name, signal FROM side_a) GROUP BY group_name)",
-    "set_b AS (SELECT group_name, string_agg(signal, '|' ORDER BY signal) AS s, count(*) AS n FROM (SELECT DISTINCT group_name, signal FROM side_b) GROUP BY group_name)",
+_SETS = tuple(
+    f"set_{x} AS (SELECT group_ordinal, group_name, string_agg(signal, '|' ORDER BY signal) AS s, count(*) AS n, row_number() OVER (PARTITION BY string_agg(signal, '|' ORDER BY signal) ORDER BY group_ordinal) AS k FROM (SELECT DISTINCT group_ordinal, group_name, signal FROM side_{x}) GROUP BY group_ordinal, group_name)"
+    for x in "ab"
 )
 
 
 @query(
     "compare_tolerance",
-    sql("""SELECT group_name, signal, count(av) AS n_a, count(bv) AS n_b, count(*) FILTER (WHERE ta <> tb) AS bad_times, count(*) FILTER (WHERE abs(av - bv) > 1e-6 + 1e-6 * abs(bv)) AS bad_values FROM
-        (SELECT coalesce(a.group_name, b.group_name) AS group_name, coalesce(a.signal, b.signal) AS signal, a.value AS av, b.value AS bv, a.ts AS ta, b.ts AS tb FROM
-         (SELECT x.*, s FROM side_a x JOIN set_a ON set_a.group_name = x.group_name) a FULL OUTER JOIN (SELECT x.*, s FROM side_b x JOIN set_b ON set_b.group_name = x.group_name) b
-         ON a.group_name = b.group_name AND a.s = b.s AND a.signal = b.signal AND a.seq = b.seq) GROUP BY group_name, signal
+    sql("""SELECT coalesce(min(ga), min(gb)) AS group_name, signal, count(av) AS n_a, count(bv) AS n_b, count(*) FILTER (WHERE ta <> tb) AS bad_times, count(*) FILTER (WHERE abs(av - bv) > 1e-6 + 1e-6 * abs(bv)) AS bad_values FROM
+        (SELECT a.group_name AS ga, b.group_name AS gb, coalesce(a.s, b.s) AS s, coalesce(a.k, b.k) AS k, coalesce(a.signal, b.signal) AS signal, a.value AS av, b.value AS bv, a.ts AS ta, b.ts AS tb FROM
+         (SELECT x.*, s, k FROM side_a x JOIN set_a ON set_a.group_ordinal = x.group_ordinal) a FULL OUTER JOIN (SELECT x.*, s, k FROM side_b x JOIN set_b ON set_b.group_ordinal = x.group_ordinal) b
+         ON a.s = b.s AND a.k = b.k AND a.signal = b.signal AND a.seq = b.seq) GROUP BY s, k, signal
         HAVING count(av) <> count(bv) OR count(*) FILTER (WHERE ta <> tb) > 0 OR count(*) FILTER (WHERE abs(av - bv) > 1e-6 + 1e-6 * abs(bv)) > 0""", *_PAIR, *_SETS),
 )
 def compare_tolerance(spark, sf_dir):
@@ -458,10 +458,9 @@ def compare_tolerance(spark, sf_dir):
 @query(
     "compare_missing_groups",
     sql(
-        "SELECT 'a' AS side, group_name, n AS n_signals FROM nth_a WHERE NOT EXISTS (SELECT 1 FROM nth_b WHERE nth_b.s = nth_a.s AND nth_b.k = nth_a.k) UNION ALL SELECT 'b', group_name, n FROM nth_b WHERE NOT EXISTS (SELECT 1 FROM nth_a WHERE nth_b.s = nth_a.s AND nth_b.k = nth_a.k)",
+        "SELECT 'a' AS side, group_name, n AS n_signals FROM set_a WHERE NOT EXISTS (SELECT 1 FROM set_b WHERE set_b.s = set_a.s AND set_b.k = set_a.k) UNION ALL SELECT 'b', group_name, n FROM set_b WHERE NOT EXISTS (SELECT 1 FROM set_a WHERE set_b.s = set_a.s AND set_b.k = set_a.k)",
         *_PAIR,
         *_SETS,
-        *(f"nth_{x} AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY group_name) AS k FROM set_{x})" for x in "ab"),
     ),
 )
 def compare_missing_groups(spark, sf_dir):

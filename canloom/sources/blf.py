@@ -6,15 +6,18 @@
 Options: ``path`` (files, globs or folders, several parted by commas), ``mode`` = frames (default), channels (distinct
 channels alone) or file_info (start time, latest time, containers), ``channels`` = numbers parted by commas, and
 ``onError`` = fail (default) or skip. A file is a partition, as its objects can't be told apart from the middle; logs
-of a fleet are many files. Equality and membership filters on ``channel`` are pushed down where
+of a fleet are many files. ``frames``, ``file_info`` and ``list_channels`` also take paths of stores that only Spark opens. Equality and membership filters on ``channel`` are pushed down where
 spark.sql.python.filterPushdown.enabled is set (``register`` does).
 """
 
 from __future__ import annotations
 
 import glob
+import io
 import os
 from collections.abc import Iterable, Iterator
+from threading import Lock
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +28,7 @@ from canloom import model
 from canloom.sources import blf_layout as L
 from canloom.sources import blf_read
 
+_LOCK = Lock()
 SCHEMAS = {"frames": model.FRAMES, "channels": model.CHANNELS, "file_info": model.FILE_INFO}
 
 
@@ -79,22 +83,22 @@ class BlfReader(DataSourceReader):
 
     def _read(self, path: str) -> Iterator[pa.RecordBatch]:
         with open(path, "rb") as stream:
-            if self.mode == "file_info":
-                start, latest, n = blf_read.extent(stream)
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([start]), pa.array([L.ms_part(start)]), pa.array([latest]), pa.array([n], pa.int32())], model.FILE_INFO.names)
-                return
-            seen: set[int] = set()
+            yield from self.parsed(stream, path)
+
+    def parsed(self, stream: BinaryIO, path: str) -> Iterator[pa.RecordBatch]:
+        if self.mode == "file_info":
+            start, latest, n = blf_read.extent(stream)
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([start]), pa.array([L.ms_part(start)]), pa.array([latest]), pa.array([n], pa.int32())], model.FILE_INFO.names)
+        elif self.mode == "channels":
+            seen = blf_read.channels(stream)
+            own = sorted(seen if self.channels is None else seen & self.channels)
+            yield pa.RecordBatch.from_arrays([pa.array([path] * len(own), pa.string()), pa.array(own, pa.int32())], model.CHANNELS.names)
+        else:
             for batch, _ in blf_read.batches(stream, path):
-                if self.mode == "channels":
-                    seen |= set(np.unique(batch.column(3).to_numpy()).tolist())
-                    continue
                 if self.channels is not None:
                     batch = batch.filter(pa.array(np.isin(batch.column(3).to_numpy(), list(self.channels))))
                 if batch.num_rows:
                     yield batch
-            if self.mode == "channels":
-                own = sorted(seen if self.channels is None else seen & self.channels)
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(own), pa.string()), pa.array(own, pa.int32())], model.CHANNELS.names)
 
 
 class BlfSource(DataSource):
@@ -112,13 +116,33 @@ class BlfSource(DataSource):
 def register(spark: SparkSession) -> None:
     """Make the source known; it takes pushed filters, which Spark hands to Python sources only if set to."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(BlfSource)
+    with _LOCK:  # conversions of a batch register from threads of their own
+        spark.dataSource.register(BlfSource)
+
+
+def _remote(spark: SparkSession, paths: list[str], options: dict) -> DataFrame:
+    """Logs in a store that only Spark's readers open: a file is a row of bytes (2 GB at most), parsed where it is read."""
+    reader = BlfReader({**options, "path": ""})
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[bB][lL][fF]").load(paths).select("path", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, body in zip(*(c.to_pylist() for c in batch.columns)):
+                try:
+                    yield from reader.parsed(io.BytesIO(body), path)
+                except (OSError, ValueError, L.struct.error):
+                    if not reader.skip:
+                        raise
+
+    return files.mapInArrow(run, SCHEMAS[reader.mode])
 
 
 def _load(spark: SparkSession, path: str | list[str], **options: str) -> DataFrame:
     register(spark)
-    path = path if isinstance(path, str) else ",".join(path)
-    return spark.read.format("blf").options(path=path, **options).load()
+    paths = path.split(",") if isinstance(path, str) else list(path)
+    if any("://" in p and not p.strip().startswith("file://") for p in paths):
+        return _remote(spark, [p.strip() for p in paths], options)
+    return spark.read.format("blf").options(path=",".join(paths), **options).load()
 
 
 def frames(spark: SparkSession, path: str | list[str], channels: list[int] | None = None, on_error: str = "fail") -> DataFrame:
@@ -130,7 +154,7 @@ def file_info(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def list_channels(spark: SparkSession, path: str | list[str]) -> list[int]:
-    """Channels with frames, sorted. Reads object headers and channel numbers alone."""
+    """Channels with frames, sorted; payloads and batches of frames aren't built."""
     return [r.channel for r in _load(spark, path, mode="channels").select("channel").distinct().orderBy("channel").collect()]
 
 

@@ -90,6 +90,59 @@ def chain(data: bytes) -> tuple[list[tuple[int, int, int, int, int]], int, str]:
         at = begin + size
 
 
+_FIELDS = np.dtype([("signature", "<u4"), ("header", "<u2"), ("version", "<u2"), ("size", "<u4"), ("kind", "<u4")])
+
+
+def chain_table(data: bytes) -> tuple[np.ndarray, int, str]:
+    """As ``chain``, with the objects as rows of a table.
+
+    All places of the signature are found at once. Where each place's object ends right before the next place, the chain
+    is a run of places; only where it doesn't (a signature inside of data, a gap, the end) is a step taken by itself.
+    """
+    end, sign = len(data), int.from_bytes(L.OBJECT_SIGNATURE, "little")
+    empty = np.empty((0, 5), np.int64)
+    if data.find(L.OBJECT_SIGNATURE, 0, 8) < 0:
+        return empty, 0, "tail" if 8 > end else "lost"
+    spots = [np.flatnonzero(np.frombuffer(data, "<u4", (end - o) // 4, o) == sign) * 4 + o for o in range(4) if end - o >= 4]
+    begin = np.sort(np.concatenate(spots))
+    begin = begin[begin + L.OBJECT.size <= end]
+    if not len(begin):
+        return empty, 0, "tail"
+    fields = np.frombuffer(data, np.uint8)[begin[:, None] + np.arange(L.OBJECT.size)].view(_FIELDS).ravel()
+    size = fields["size"].astype(np.int64)
+    stop = begin + size
+    following = np.searchsorted(begin, stop)
+    fits = (stop <= end) & (size >= 4)
+    reached = begin[np.minimum(following, len(begin) - 1)]
+    plain = fits & (following == np.arange(1, len(begin) + 1)) & (following < len(begin)) & (reached <= stop + 4)
+    turns = np.append(np.flatnonzero(~plain), len(begin))
+    runs, at, i = [], 0, 0
+    while True:
+        j = int(turns[np.searchsorted(turns, i)])
+        if j > i:
+            runs.append(np.arange(i, j))
+        if stop[j] > end:
+            at, why = (int(stop[j - 1]) if j > i else at), "tail"
+            break
+        runs.append(np.array([j]))
+        at = int(stop[j])
+        if size[j] < 4:
+            why = "lost"
+            break
+        k = int(following[j])
+        found = data.find(L.OBJECT_SIGNATURE, at, at + 8)
+        if found < 0:
+            why = "tail" if at + 8 > end else "lost"
+            break
+        if k >= len(begin) or begin[k] != found:
+            why = "tail"  # too little is left for a header
+            break
+        i = k
+    own = np.concatenate(runs) if runs else np.empty(0, np.int64)
+    table = np.stack([begin, *(fields[n].astype(np.int64) for n in ("header", "version")), size, fields["kind"].astype(np.int64)], 1)
+    return table[own], at, why
+
+
 def walk(data: bytes, ms_part: int) -> tuple[list[Frame], bytes, int]:
     """Frames, unused tail and latest time of the objects in a container, one object at a time."""
     objects, rest, why = chain(data)
@@ -151,8 +204,7 @@ _LENGTHS = np.array([L.dlc_length(i) for i in range(256)], np.int64)
 
 def parse(data: bytes, ms_part: int) -> tuple[Columns, bytes, int]:
     """As ``walk``, gathered by type."""
-    objects, rest, why = chain(data)
-    table = np.array(objects, np.int64).reshape(-1, 5)
+    table, rest, why = chain_table(data)
     begin, header, version, size, kind = table.T
     buf = np.frombuffer(data + b"\x00" * 8, np.uint8)
     known = (version == 1) | (version == 2)
@@ -248,6 +300,16 @@ def batches(stream: BinaryIO, name: str) -> Iterator[tuple[pa.RecordBatch, int]]
         seq += n
 
 
+def channels(stream: BinaryIO) -> set[int]:
+    """Channels of all frames; times and payloads aren't built into batches."""
+    part, tail, seen = L.ms_part(start_ns(stream)[0]), b"", set()
+    stream.seek(0)
+    for data in containers(stream):
+        c, tail, _ = parse(tail + data, part)
+        seen.update(np.unique(c.channel).tolist())
+    return seen
+
+
 def extent(stream: BinaryIO) -> tuple[int, int, int]:
     """(start in ns, latest time of any timed object, containers) of a log; payloads aren't built."""
     start, _ = start_ns(stream)

@@ -1,6 +1,7 @@
 """The log source against the walk that states the format, and hand-made logs."""
 
 import io
+import random
 import struct
 
 import numpy as np
@@ -102,3 +103,33 @@ def test_broken_files(spark, tmp_path):
 def test_systemtime():
     assert blf_layout.systemtime_ns((2026, 7, 3, 22, 10, 0, 0, 250)) == 1784714400250 * 10**6
     assert blf_layout.systemtime_ns((0,) * 8) == 0 and np.int64(0) == 0
+
+
+def test_chain_table_is_the_chain():
+    rng = random.Random(6)
+    for _ in range(400):
+        parts = []
+        for _ in range(rng.randrange(0, 8)):
+            kind = rng.randrange(6)
+            if kind == 0:
+                parts.append(f.can(rng.randrange(4), 1, b"LOBJ" + b"x" * 4))
+            elif kind == 1:
+                parts.append(b"\0" * rng.randrange(0, 7))
+            elif kind == 2:
+                parts.append(f.can(1, 2, b"1", size=rng.choice([0, 3, 4, 17, 40, 5000])))
+            else:
+                parts.append(f.can(rng.randrange(4), 3, b"abc", version=rng.choice([1, 2])))
+        data = b"".join(parts)
+        data = data[: len(data) - rng.randrange(0, 30)] if rng.random() < 0.5 else data
+        table, rest, why = blf_read.chain_table(data)
+        objects, at, end = blf_read.chain(data)
+        assert ([tuple(x) for x in table.tolist()], rest, why) == (objects, at, end)
+
+
+def test_remote_paths(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    f.write(tmp_path / "sub" / "a.BLF", f.container(f.can(1, 5, b"ab", rel=7) + f.can(3, 6, b"c", rel=9)))
+    own = blf.frames(spark, str(tmp_path)).drop("file").collect()
+    away = blf._remote(spark, [str(tmp_path)], {}).drop("file").collect()
+    assert own == away and len(own) == 2
+    assert [r.channel for r in blf._remote(spark, [str(tmp_path)], {"mode": "channels"}).collect()] == [1, 3]
