@@ -49,7 +49,8 @@ def test_links_settle_a_bucket():
     import numpy as np
 
     sets = [np.arange(a, a + 100, dtype=np.uint64) for a in (0, 9, 18, 500, 27, 505)]
-    out = n.links(list(range(6)), list(range(6)), sets)
+    fp = [int(np.uint64(majority(s)).view(np.int64)) for s in sets]
+    out = n.links(list(range(6)), list(range(6)), fp, sets)
     forest = Forest()
     for u, v in out:
         forest.join(u, v)
