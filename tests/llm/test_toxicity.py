@@ -83,3 +83,12 @@ def test_named_disguises():
     assert "stupid" in read("s.t-u+p1d") and "idiot" in read("Idi0t!!!")
     assert len(r.decode("ab-" * 5000)) >= 10000  # in time linear to the length
     toxicity.words_of("_ " * 5000 + "x " * 5000 + "_" * 5000)
+
+
+def test_long_disguised_token_and_text():
+    """Whole tokens and whole texts are read: what is far behind the first hundred characters counts."""
+    r = toxicity.Restorer(None)
+    token = "x" * 300 + "-idiot"
+    assert "idiot" in {w for w in r.readings(token)} or any(w.endswith("idiot") for w in r.readings(token))
+    words = toxicity.words_of("fine words " * 50_000 + "idiot")
+    assert words == {"fine", "words", "idiot"}
