@@ -2,6 +2,7 @@
 
 import io
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -71,3 +72,54 @@ def test_export(spark, tmp_path):
     with pytest.raises(Exception):
         export.write_mdf(spark, str(tmp_path / "gone"), str(tmp_path / "y" / "z" / "b.mdf"))
     assert out.read_bytes() == before and not (tmp_path / "y").exists()
+
+
+def test_compressed_and_listed_records(monkeypatch):
+    monkeypatch.setattr(mdf, "DEFLATED", 1000)
+    t = np.arange(700) * 0.01
+    g = mdf.Group("big", t, [mdf.Channel("x", np.arange(700, dtype="<i4")), mdf.Channel("y", np.sin(t))])
+    plain, packed = io.BytesIO(), io.BytesIO()
+    mdf.write(plain, 5, [g], compress=False)
+    mdf.write(packed, 5, [g, g])
+    kinds = {mdf._read_block(packed.getvalue(), i)[0] for i in range(0, len(packed.getvalue()) - 24, 8) if packed.getvalue()[i : i + 2] == b"##"}
+    assert {"HL", "DL", "DZ"} <= kinds and len(packed.getvalue()) < 2 * len(plain.getvalue())
+    for data in (plain.getvalue(), packed.getvalue()):
+        for h in mdf.read(data)[1]:
+            assert (h.times == t).all() and (h.channels[0].samples == np.arange(700)).all() and (h.channels[1].samples == np.sin(t)).all()
+
+
+def test_transposed_block():
+    raw = bytes(range(100)) + b"rest"
+    packed = zlib.compress(np.frombuffer(raw[:100], np.uint8).reshape(10, 10).T.tobytes() + raw[100:])
+    f = io.BytesIO(bytes(8))
+    f.seek(8)
+    at = mdf._File(f).block("DZ", [], struct.pack("<2sBBIQQ", b"DT", 1, 0, 10, len(raw), len(packed)) + packed)
+    assert mdf._read_records(f.getvalue(), at) == raw
+
+
+def test_samples_of_any_width_and_order():
+    raw = np.frombuffer(struct.pack("<HB", 0b1010_1100_1111_0101, 0xF0) * 3, np.uint8).reshape(3, 3)
+    assert mdf._samples(raw, 0, 0, 2, 10).tolist() == [(0b1010_1100_1111_0101 >> 2) & 1023] * 3
+    assert mdf._samples(raw, 2, 2, 4, 4).tolist() == [-1] * 3
+    assert mdf._samples(raw, 1, 0, 0, 16).tolist() == [int.from_bytes(raw[0, :2].tobytes(), "big")] * 3
+    assert mdf._samples(raw, 3, 0, 0, 24).tolist() == [int.from_bytes(raw[0].tobytes(), "big", signed=True)] * 3
+
+
+def test_compare_with_a_file_of_another_tool(spark, tmp_path):
+    src = rich(tmp_path / "a.blf")
+    c = dbc.parse(ABC, str(tmp_path / "ABC.dbc"))
+    folder, own = str(tmp_path / "m"), tmp_path / "own.mdf"
+    convert.convert(spark, src, {1: c, 2: c}, folder)
+    export.write_mdf(spark, folder, str(own))
+    start, groups = mdf.read(own.read_bytes())
+    for g in groups:
+        if g.name != "1s":  # statistics have groups of one name in every tool's file
+            g.name = f"CAN::{g.name}"
+    for name, change in (("same", 0.0), ("other", 1.0)):
+        groups[0].channels[0].samples = groups[0].channels[0].samples + change
+        with open(tmp_path / f"{name}.mdf", "wb") as f:
+            mdf.write(f, start, groups)
+    same = convert.differences(spark, str(own), str(tmp_path / "same.mdf"), exact=False).collect()
+    assert {(r.dimension, r.detail.split("CAN")[0]) for r in same} == {("structure", "is named ")}
+    other = convert.differences(spark, str(own), str(tmp_path / "other.mdf"), exact=False).where("dimension = 'values'").collect()
+    assert len(other) == 1 and other[0].label.endswith(groups[0].channels[0].name)
