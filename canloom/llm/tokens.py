@@ -108,7 +108,10 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     shared = spark.sparkContext.broadcast(membership(twice, "place"))
     rows = docs.select("doc_id", content.alias("content"), text.alias("text")).select("content", F.xxhash64("content").alias("place"), "text", mark)
     schema = "content binary, n_tokens long"
-    alone = rows.select("content", "place", "text").mapInArrow(_encoder(body, need, shared), schema)
+    texts, cores = rows.select("content", "place", "text"), spark.sparkContext.defaultParallelism
+    if len(keys.inputFiles()) < cores:  # one file for each partition of the reading: too few to keep all cores busy
+        texts = texts.repartition(cores)
+    alone = texts.mapInArrow(_encoder(body, need, shared), schema)
     copies = rows.mapInArrow(_in_map(shared), "content binary, place long, text string, mark long")
     # a text that only seems shared stands for itself
     chosen = kinds.select("content", place, "mark").mapInArrow(_in_map(shared), "content binary, place long, mark long").select("content", "mark")
