@@ -17,6 +17,7 @@ the stretch of all windows that it is the anchor of.
 
 * Step 1 compares 128 bits of two independent polynomial hashes; step 2 compares bytes, but for grams with over
   ``HOT_KINDS`` distinct segments, whose windows are counted by 128-bit hashes so that no task holds them all.
+* Very long texts are taken in chunks of ``CHUNK`` window starts. An empty table gives no rows; other columns aren't looked at.
 * Matches never cross texts; null counts as empty. A repeated row repeats all of its windows. Rows are told apart by
   doc_id (which may be null) and a hash of the text.
 """
