@@ -15,12 +15,16 @@ import time
 from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from canloom.operators import compare as cmp
 from canloom.operators import convert as conv
 from canloom.operators import export, verify
 from canloom.sources import blf, project, resolver
 
+#: Differences of a dimension that are listed below their number.
+REPORTED = 50
+
 
 def bound_catalogs(root: str, name: str, mapping: str | None) -> dict:
     catalogs = project.load_project(root, name)
@@ -72,10 +76,14 @@ def main(args: list[str] | None = None) -> int:
         return int(bool(bad))
     if o.command == "compare":
         found = conv.differences(spark, o.a, o.b, dims=set(o.dims.split(",")), exact=not o.tolerance)
-        rows = found.limit(200).collect()
-        for r in rows:
-            print(r.dimension, r.label, r.detail)
-        return int(bool(rows))
+        found = found.persist()
+        counts = {r.dimension: r["count"] for r in found.groupBy("dimension").count().collect()}
+        for dimension in (d for d in cmp.DIMENSIONS if d in counts):
+            print(f"{dimension}: {counts[dimension]}")
+            for r in found.where(F.col("dimension") == dimension).orderBy("label", "detail").limit(REPORTED).collect():
+                print(" ", r.label, r.detail)
+        found.unpersist()
+        return int(bool(counts))
     todo, skipped = conv.to_convert(resolver.resolve(o.paths), not o.no_overwrite)
     result = conv.run_batch(spark, todo, bound_catalogs(o.root, o.project, o.mapping), raw_export=o.raw)
     for x in result.outcomes:

@@ -121,5 +121,6 @@ def test_compare_with_a_file_of_another_tool(spark, tmp_path):
             mdf.write(f, start, groups)
     same = convert.differences(spark, str(own), str(tmp_path / "same.mdf"), exact=False).collect()
     assert {(r.dimension, r.detail.split("CAN")[0]) for r in same} == {("structure", "is named ")}
+    assert convert.differences(spark, folder, str(own), exact=False).where("dimension = 'values'").collect() == []
     other = convert.differences(spark, str(own), str(tmp_path / "other.mdf"), exact=False).where("dimension = 'values'").collect()
     assert len(other) == 1 and other[0].label.endswith(groups[0].channels[0].name)
