@@ -45,37 +45,39 @@ def frame_class(is_extended: Column, is_remote: Column, is_error: Column) -> Col
     )
 
 
-def channel_counts(classified: DataFrame) -> DataFrame:
-    """total, unknown and distinct unknown raw ids of each channel; frames are known as of column valid."""
+def channel_counts(classified: DataFrame, *keys: str) -> DataFrame:
+    """total, unknown and distinct unknown raw ids of each channel; frames are known as of column valid.
+
+    Of a fleet of logs in one frame, here and below: with the key ``file``, for each log by itself."""
     unknown = ~F.col("valid")
-    return classified.groupBy("channel").agg(
+    return classified.groupBy(*keys, "channel").agg(
         F.count("*").alias("total_frames"),
         F.count_if(unknown).alias("unknown_frames"),
         F.countDistinct(F.when(unknown, F.col("arb_id"))).alias("unknown_ids"),
     )
 
 
-def buckets(classified: DataFrame) -> DataFrame:
+def buckets(classified: DataFrame, *keys: str) -> DataFrame:
     """Groups of valid frames by channel and message: count, first raw id and place, order of first appearance."""
-    by = classified.where("valid").groupBy("channel", "arb_norm", "message_name").agg(
+    by = classified.where("valid").groupBy(*keys, "channel", "arb_norm", "message_name").agg(
         F.count("*").alias("n_frames"),
         F.min("seq").alias("first_seq"),
         F.min_by("arb_id", "seq").alias("first_arb_id"),
         F.min_by("ts", "seq").alias("first_ts"),
         F.max_by("ts", "seq").alias("last_ts"),
     )
-    return by.withColumn("series_order", F.row_number().over(Window.partitionBy("channel").orderBy("first_seq")))
+    return by.withColumn("series_order", F.row_number().over(Window.partitionBy(*keys, "channel").orderBy("first_seq")))
 
 
-def group_names(by: DataFrame) -> DataFrame:
+def group_names(by: DataFrame, *keys: str) -> DataFrame:
     """Names of exported groups: the message, or CAN<channel>::message from the second that has it on."""
-    nth = F.row_number().over(Window.partitionBy("message_name").orderBy("channel", "series_order"))
+    nth = F.row_number().over(Window.partitionBy(*keys, "message_name").orderBy("channel", "series_order"))
     return by.withColumn("group_name", F.when(nth == 1, F.col("message_name")).otherwise(F.concat(F.lit("CAN"), F.col("channel").cast("string"), F.lit("::"), F.col("message_name"))))
 
 
-def duration(by: DataFrame) -> DataFrame:
-    """One row: last minus first sample over all groups, 0 if there are none."""
-    return by.agg(F.coalesce(F.max("last_ts") - F.min("first_ts"), F.lit(0.0)).alias("duration_seconds"))
+def duration(by: DataFrame, *keys: str) -> DataFrame:
+    """One row: last minus first sample over all groups, 0 if there are none (with keys, a log without groups has no row)."""
+    return by.groupBy(*keys).agg(F.coalesce(F.max("last_ts") - F.min("first_ts"), F.lit(0.0)).alias("duration_seconds"))
 
 
 def known_ids(bindings: DataFrame, messages: DataFrame) -> DataFrame:
@@ -111,22 +113,27 @@ def raw_groups(raw: DataFrame) -> DataFrame:
     )
 
 
-def ingest_summary(bindings: DataFrame, classified: DataFrame, signal_counts: DataFrame, raw: DataFrame | None = None) -> DataFrame:
-    """One row for each channel of the bindings.
+def ingest_summary(bindings: DataFrame, classified: DataFrame, signal_counts: DataFrame, raw: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
+    """One row for each channel of the bindings; of a fleet, for each of files(file) and channel.
 
     signal_counts(dbc, arb_norm, n_signals). decoded + unknown frames of bound channels, or raw frames of unbound ones if
     ``raw`` (of raw_frames) is given, with a warning code where nothing matches.
     """
-    counts = channel_counts(classified)
-    emitted = classified.where("valid").select("channel", "dbc", "arb_norm").distinct().join(small(signal_counts), ["dbc", "arb_norm"]).groupBy("channel").agg(F.sum("n_signals").alias("signal_count"))
-    rows = bindings.select("channel", F.col("dbc").isNotNull().alias("bound")).join(counts, "channel", "left").join(emitted, "channel", "left")
+    keys = [] if files is None else ["file"]
+    by = [*keys, "channel"]
+    counts = channel_counts(classified, *keys)
+    emitted = classified.where("valid").select(*by, "dbc", "arb_norm").distinct().join(small(signal_counts), ["dbc", "arb_norm"]).groupBy(*by).agg(F.sum("n_signals").alias("signal_count"))
+    own = bindings.select("channel", F.col("dbc").isNotNull().alias("bound"))
+    if files is not None:  # a few channels for each file
+        own = files.select("file").crossJoin(small(own))
+    rows = own.join(counts, by, "left").join(emitted, by, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    out = rows.select("channel", "bound", (zero("total_frames") - zero("unknown_frames")).alias("decoded_frames"), zero("signal_count").alias("signal_count"), zero("unknown_frames").alias("unknown_frames"), zero("unknown_ids").alias("unknown_ids"))
+    out = rows.select(*by, "bound", (zero("total_frames") - zero("unknown_frames")).alias("decoded_frames"), zero("signal_count").alias("signal_count"), zero("unknown_frames").alias("unknown_frames"), zero("unknown_ids").alias("unknown_ids"))
     none = F.when(F.col("bound") & (F.col("signal_count") == 0), F.lit("NO_FRAMES"))
     if raw is None:
         return out.withColumn("raw_frames", F.lit(0).cast("long")).withColumn("warning", none)
-    own = raw.groupBy("channel").agg(F.count_if("exported").alias("raw_frames"), F.count_if(~F.col("exported")).alias("_lost"), F.countDistinct(F.when(~F.col("exported"), F.col("arb_id"))).alias("_ids"))
-    out = out.join(own, "channel", "left")
+    own = raw.groupBy(*by).agg(F.count_if("exported").alias("raw_frames"), F.count_if(~F.col("exported")).alias("_lost"), F.countDistinct(F.when(~F.col("exported"), F.col("arb_id"))).alias("_ids"))
+    out = out.join(own, by, "left")
     out = out.withColumn("raw_frames", zero("raw_frames")).withColumn("unknown_frames", F.col("unknown_frames") + zero("_lost")).withColumn("unknown_ids", F.col("unknown_ids") + zero("_ids"))
     lost = F.when(~F.col("bound") & (F.col("unknown_frames") > 0) & (F.col("raw_frames") == 0), F.lit("NO_MATCH"))
     return out.drop("_lost", "_ids").withColumn("warning", F.coalesce(none, lost))

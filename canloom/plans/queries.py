@@ -10,6 +10,7 @@ from canloom.functions import bits, timegrid
 from canloom.operators import batch as batch_ops
 from canloom.operators import bindings as bind
 from canloom.operators import compare, decode, stats
+from canloom.operators import fleet as operators_fleet
 from canloom.operators import frames as fr
 from canloom.plans import frame_view as view
 from canloom.plans.frame_view import sql
@@ -128,6 +129,63 @@ def frame_class_counts(spark, sf_dir):
     return stats.class_counts(view.frames(spark, sf_dir))
 
 
+# five logs in one plan: each has an end, and an axis, of its own
+
+_FLEET = (
+    "logs AS (SELECT *, 'L' || CAST(seq % 5 AS VARCHAR) AS file FROM frames WHERE seq % 5 < 4 OR abs_ns < 77000000000)",
+    "dev AS (SELECT file AS df, channel AS dc, max(abs(ts * 1000.0 - round_even(ts * 1000.0, 0))) AS worst FROM logs GROUP BY ALL)",
+    f"marked AS (SELECT file, channel, {_CLASS} AS class, CASE WHEN worst <= 2e-4 THEN round_even(ts * 1000.0, 0) * 1e6 * 1e-9 ELSE ts END AS ts FROM logs JOIN dev ON channel = dc AND file = df)",
+    "ends AS (SELECT file, CAST(max(abs_ns) AS DOUBLE) * 1e-9 AS g FROM logs GROUP BY file)",
+    "ks AS (SELECT file, g, CAST(ceil(g) AS INTEGER) AS last, CAST(unnest(range(0, CAST(ceil(g) AS BIGINT) + 1)) AS INTEGER) AS k FROM ends)",
+    "axis0 AS (SELECT *, CASE WHEN k = 0 THEN 0e0 WHEN k = last THEN g WHEN k = 1 THEN 1.1e0 + 0.009e0 ELSE CAST(k AS DOUBLE) + 0.009e0 END AS t0 FROM ks)",
+    "axis AS (SELECT file, last, k, CASE WHEN max(abs(t0 * 1000.0 - round_even(t0 * 1000.0, 0))) OVER (PARTITION BY file) <= 2e-4 THEN round_even(t0 * 1000.0, 0) * 1e6 * 1e-9 ELSE t0 END AS t FROM axis0)",
+    "grid AS (SELECT a.*, channel, class FROM axis a, (SELECT CAST(unnest(range(0, 16)) AS INTEGER) AS channel), (VALUES ('Std'), ('Ext'), ('StdRemote'), ('ExtRemote'), ('Err')) AS v(class))",
+    "c AS (SELECT file, channel, class, CASE WHEN ts < 1.1e0 + 0.009e0 THEN 1 WHEN floor(ts) >= 2 AND ts < floor(ts) + 0.009e0 THEN CAST(floor(ts) AS INTEGER) ELSE CAST(greatest(floor(ts) + 1, 2) AS INTEGER) END AS k, count(*) AS n FROM marked GROUP BY ALL)",
+    "r AS (SELECT file, channel, class, CASE WHEN ts < 1.1e0 - 0.001e0 THEN 1 ELSE CAST(greatest(floor(ts) + 1, 2) AS INTEGER) END AS k, count(*) AS n FROM marked GROUP BY ALL)",
+    "dense AS (SELECT g.*, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.file, g.channel, g.class ORDER BY g.k) AS count, CASE WHEN g.k >= 1 AND g.k < last THEN CAST(coalesce(r.n, 0) AS DOUBLE) / (CASE WHEN g.k = 1 THEN 1.1e0 WHEN g.k = 2 THEN 2e0 - 1.1e0 ELSE 1e0 END) ELSE 0e0 END AS rate "
+    "FROM grid g LEFT JOIN c ON c.file = g.file AND c.channel = g.channel AND c.class = g.class AND c.k = g.k LEFT JOIN r ON r.file = g.file AND r.channel = g.channel AND r.class = g.class AND r.k = g.k)",
+)
+
+
+def _logs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Frames of five logs, one of them shorter, and the logs."""
+    frames = view.frames(spark, sf_dir).withColumn("file", F.concat(F.lit("L"), (F.col("seq") % 5).cast("string"))).where("seq % 5 < 4 or abs_ns < 77000000000")
+    return frames, frames.groupBy("file").agg(F.max("abs_ns").alias("max_obj_ns"), F.lit(None).cast("string").alias("error"))
+
+
+@query("fleet_statistics", sql("SELECT file, channel, class, k, t, CAST(count AS BIGINT) AS count, CASE WHEN k = last THEN coalesce(lag(rate) OVER (PARTITION BY file, channel, class ORDER BY k), 0e0) ELSE rate END AS rate FROM dense", *_FLEET))
+def fleet_statistics(spark, sf_dir):
+    fleet = operators_fleet.measured(*_logs(spark, sf_dir), view.bindings(spark), view.catalogs())
+    return fleet.statistics.withColumn("count", F.col("count").cast("long"))
+
+
+_FLEET_CLASSIFIED = "known AS (SELECT f.*, c.message_name, c.valid, c.arb_norm AS norm FROM logs f JOIN classified c ON c.seq = f.seq)"
+
+
+@query(
+    "fleet_groups",
+    sql("""SELECT file, channel, message_name, n_frames, CAST(row_number() OVER (PARTITION BY file, channel ORDER BY first_seq) AS INTEGER) AS series_order, max(last_ts) OVER (PARTITION BY file) - min(first_ts) OVER (PARTITION BY file) AS duration_seconds
+        FROM (SELECT file, channel, norm, message_name, count(*) AS n_frames, min(seq) AS first_seq, arg_min(ts, seq) AS first_ts, arg_max(ts, seq) AS last_ts FROM known WHERE valid GROUP BY ALL)""", _FLEET[0], _FLEET_CLASSIFIED),
+)
+def fleet_groups(spark, sf_dir):
+    fleet = operators_fleet.measured(*_logs(spark, sf_dir), view.bindings(spark), view.catalogs())
+    return fleet.groups.join(fleet.durations, "file").select("file", "channel", "message_name", "n_frames", "series_order", "duration_seconds")
+
+
+@query(
+    "fleet_summary",
+    sql("""SELECT l.file, b.channel, b.dbc IS NOT NULL AS bound, coalesce(n.decoded, 0) AS decoded_frames, coalesce(n.unknown, 0) AS unknown_frames, coalesce(n.ids, 0) AS unknown_ids, coalesce(s.n, 0) AS signal_count
+        FROM (SELECT DISTINCT file FROM logs) l CROSS JOIN bound b LEFT JOIN n ON n.file = l.file AND n.channel = b.channel LEFT JOIN s ON s.file = l.file AND s.channel = b.channel""",
+        _FLEET[0],
+        "known AS (SELECT f.file, c.* FROM logs f JOIN classified c ON c.seq = f.seq)",
+        "n AS (SELECT file, channel, count(*) FILTER (WHERE valid) AS decoded, count(*) FILTER (WHERE NOT valid) AS unknown, count(DISTINCT CASE WHEN NOT valid THEN arb_id END) AS ids FROM known GROUP BY ALL)",
+        "s AS (SELECT file, channel, CAST(sum(n_signals) AS BIGINT) AS n FROM (SELECT DISTINCT file, channel, dbc, arb_norm FROM known WHERE valid) d JOIN messages m ON m.dbc = d.dbc AND m.arb_norm = d.arb_norm GROUP BY ALL)"),
+)
+def fleet_summary(spark, sf_dir):
+    fleet = operators_fleet.measured(*_logs(spark, sf_dir), view.bindings(spark), view.catalogs())
+    return fleet.summary.select("file", "channel", "bound", "decoded_frames", "unknown_frames", "unknown_ids", "signal_count")
+
+
 _ALIGN = "mixed AS (SELECT seq, channel, CASE WHEN channel % 2 = 0 THEN round_even(ts * 1000.0, 0) / 1000.0 + 1e-8 ELSE ts END AS ts FROM frames)"
 
 

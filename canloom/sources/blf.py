@@ -5,7 +5,7 @@
 
 Options: ``path`` (files, globs or folders, several parted by commas), ``mode`` = frames (default), channels (distinct
 channels alone) or file_info (start time, latest time, containers), ``channels`` = numbers parted by commas, and
-``onError`` = fail (default) or skip. A file is a partition, as its objects can't be told apart from the middle; logs
+``onError`` = fail (default), skip, or row (file_info: a row with the column ``error`` for a log that can't be read). A file is a partition, as its objects can't be told apart from the middle; logs
 of a fleet are many files. ``frames``, ``file_info`` and ``list_channels`` also take paths of stores that only Spark opens. Equality and membership filters on ``channel`` are pushed down where
 spark.sql.python.filterPushdown.enabled is set (``register`` does).
 """
@@ -15,13 +15,14 @@ from __future__ import annotations
 import glob
 import io
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from threading import Lock
 from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 from canloom import model
@@ -32,6 +33,17 @@ _LOCK = Lock()
 SCHEMAS = {"frames": model.FRAMES, "channels": model.CHANNELS, "file_info": model.FILE_INFO}
 
 
+def schema_of(options: dict) -> T.StructType:
+    mode = options.get("mode", "frames")
+    if mode == "file_info" and error_option(options) == "row":
+        return T.StructType([*model.FILE_INFO.fields, T.StructField("error", T.StringType())])
+    return SCHEMAS[mode]
+
+
+def error_option(options: dict) -> str:
+    return options.get("onerror", options.get("onError", "fail"))
+
+
 def expand(path: str) -> list[str]:
     """Log files of a path option, each once, in order."""
     out: dict[str, None] = {}
@@ -56,7 +68,9 @@ class BlfReader(DataSourceReader):
         self.mode = options.get("mode", "frames")
         if self.mode not in SCHEMAS:
             raise ValueError(f"mode {self.mode!r} is none of {sorted(SCHEMAS)}")
-        self.skip = options.get("onerror", options.get("onError", "fail")) == "skip"
+        self.on_error = error_option(options)
+        if self.on_error not in ("fail", "skip") and not (self.on_error == "row" and self.mode == "file_info"):
+            raise ValueError(f"onError {self.on_error!r} isn't known in mode {self.mode}")
         wanted = options.get("channels")
         self.channels = {int(x) for x in wanted.split(",")} if wanted else None
 
@@ -75,15 +89,23 @@ class BlfReader(DataSourceReader):
         return [FilePartition(p) for p in self.paths]
 
     def read(self, partition: FilePartition) -> Iterator[pa.RecordBatch]:
+        yield from self.tried(lambda: open(partition.path, "rb"), partition.path)  # closed by tried
+
+    def tried(self, opened: Callable[[], BinaryIO], path: str) -> Iterator[pa.RecordBatch]:
+        """What the log gives, or what ``onError`` asks for."""
         try:
-            yield from self._read(partition.path)
-        except (OSError, ValueError, L.struct.error):
-            if not self.skip:
+            with opened() as stream:
+                for batch in self.parsed(stream, path):
+                    yield self._without_error(batch)
+        except (OSError, ValueError, L.struct.error) as e:
+            if self.on_error == "fail":
                 raise
+            if self.on_error == "row":
+                arrays = [pa.array([path]), *(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32())), pa.array([f"{type(e).__name__}: {e}"])]
+                yield pa.RecordBatch.from_arrays(arrays, [*model.FILE_INFO.names, "error"])
 
-    def _read(self, path: str) -> Iterator[pa.RecordBatch]:
-        with open(path, "rb") as stream:
-            yield from self.parsed(stream, path)
+    def _without_error(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.append_column("error", pa.nulls(batch.num_rows, pa.string())) if self.on_error == "row" else batch
 
     def parsed(self, stream: BinaryIO, path: str) -> Iterator[pa.RecordBatch]:
         if self.mode == "file_info":
@@ -107,7 +129,7 @@ class BlfSource(DataSource):
         return "blf"
 
     def schema(self):
-        return SCHEMAS[self.options.get("mode", "frames")]
+        return schema_of(dict(self.options))
 
     def reader(self, schema) -> BlfReader:
         return BlfReader(dict(self.options))
@@ -128,13 +150,9 @@ def _remote(spark: SparkSession, paths: list[str], options: dict) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, body in zip(*(c.to_pylist() for c in batch.columns)):
-                try:
-                    yield from reader.parsed(io.BytesIO(body), path)
-                except (OSError, ValueError, L.struct.error):
-                    if not reader.skip:
-                        raise
+                yield from reader.tried(lambda body=body: io.BytesIO(body), path)
 
-    return files.mapInArrow(run, SCHEMAS[reader.mode])
+    return files.mapInArrow(run, schema_of(options))
 
 
 def _load(spark: SparkSession, path: str | list[str], **options: str) -> DataFrame:
@@ -149,8 +167,8 @@ def frames(spark: SparkSession, path: str | list[str], channels: list[int] | Non
     return _load(spark, path, onError=on_error, **({"channels": ",".join(map(str, channels))} if channels else {}))
 
 
-def file_info(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return _load(spark, path, mode="file_info")
+def file_info(spark: SparkSession, path: str | list[str], on_error: str = "fail") -> DataFrame:
+    return _load(spark, path, mode="file_info", onError=on_error)
 
 
 def list_channels(spark: SparkSession, path: str | list[str]) -> list[int]:

@@ -63,7 +63,10 @@ def containers(stream: BinaryIO) -> Iterator[bytes]:
         if method == L.STORED:
             yield body[L.CONTAINER.size :]
         elif method == L.ZLIB:
-            yield zlib.decompress(body[L.CONTAINER.size :])
+            try:
+                yield zlib.decompress(body[L.CONTAINER.size :])
+            except zlib.error as e:
+                raise _error(f"container of {size} bytes: {e}") from e
 
 
 def chain(data: bytes) -> tuple[list[tuple[int, int, int, int, int]], int, str]:

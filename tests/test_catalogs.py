@@ -7,6 +7,7 @@ from canloom.functions import bits
 from canloom.functions.tables import local
 from canloom.operators import bindings as bind
 from canloom.operators import frames as fr
+from canloom.operators import batch
 from canloom.sources import dbc, project
 
 BASIC = 'BO_ 100 ABC: 8 ECU\n SG_ Speed : 0|16@1+ (0.01,0) [0|655.35] "km/h" X\n SG_ Temp : 16|8@1+ (1,-40) [-40|215] "degC" X\n'
@@ -69,6 +70,18 @@ def test_mapping(tmp_path):
     assert project.load_mapping(p) == project.load_mapping() == project.load_mapping("gone") == project.DEFAULT_MAPPING
 
 
+LINES = ["旧——a——c——CAN3", "a——b——CANx——d——CAN4", "old——CFCAN1——CAN7——later words", "a —— b —— CAN 3 ", "# a——b——CAN1", "  #a——b——CAN1", "a——b——", "a——b", "a——b——CAN-2", "a——b——CAN+5", "——c——LIN9", "a——d——CAN", "a——e——1234", ""]
+
+
+def test_mapping_lines_of_both_forms(spark):
+    """The third part holds the channel, behind three signs; what follows it doesn't count."""
+    table = local(spark, [(line,) for line in LINES], "line string")
+    for line in LINES:
+        rows = {r.new_name: r.channel for r in batch.mapping_lines(table.where(table.line == line)).collect()}
+        assert project.parse_mapping(line) == rows, line
+    assert project.parse_mapping("\n".join(LINES)) == {"CFCAN1": 7, "b": 5, "c": 9, "e": 4}
+
+
 def test_projects(tmp_path):
     root = tmp_path / "inputs" / "dbc_ccu3.0"
     for n in ("B/PFCAN1.dbc", "B/IFCAN.dbc", "A/x.dbc"):
