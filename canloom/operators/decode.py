@@ -47,8 +47,9 @@ def _selector_value() -> Column:
     return F.when(c("sel_position").isNotNull(), number * c("sel_scale") + c("sel_offset"))
 
 
-def long(classified: DataFrame, plan: DataFrame) -> DataFrame:
-    """Samples of all valid frames: channel, message_name, signal_name, ordinal, seq, ts, bits, raw, phys, active, routed_ok.
+def long(classified: DataFrame, plan: DataFrame, *keys: str) -> DataFrame:
+    """Samples of all valid frames: channel, message_name, signal_name, ordinal, seq, ts, bits, raw, phys, active, routed_ok,
+    and columns of the frames (``keys``) before them.
 
     raw is the number in decimal(20,0), bits the same as a long (negative for unsigned numbers of 2**63 and more).
 
@@ -56,7 +57,7 @@ def long(classified: DataFrame, plan: DataFrame) -> DataFrame:
     is unknown: routed_ok is false on its rows, and ``drop_unrouted`` removes them.
     """
     c = F.col
-    own = classified.where("valid").select("channel", "dbc", "arb_norm", "arb_id", "message_name", "seq", "ts", "words", bits.big_words(c("words")).alias("_big"))
+    own = classified.where("valid").select(*keys, "channel", "dbc", "arb_norm", "arb_id", "message_name", "seq", "ts", "words", bits.big_words(c("words")).alias("_big"))
     joined = own.join(small(plan), ["dbc", "arb_norm"])
     selected = joined.withColumn("_selector", _selector_value()).withColumn("_bits", bits.extract(c("words"), c("_big"), c("position"), c("length"), c("little")))
     active = c("multiplexer_ids").isNull() | F.coalesce(F.exists("multiplexer_ids", lambda k: k.cast("double") == c("_selector")), F.lit(False))
@@ -65,6 +66,7 @@ def long(classified: DataFrame, plan: DataFrame) -> DataFrame:
     value = F.when(c("is_float"), bits.float_value(c("_bits"), c("length")) * c("scale") + c("offset")).when(c("kind") == "scaled", bits.physical(exact, c("scale"), c("offset"), number)).otherwise(number)
     real = c("kind").isin("float", "scaled")
     return selected.withColumn("active", active).select(
+        *keys,
         "channel",
         "dbc",
         "arb_norm",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canloom.functions.tables import local
@@ -58,9 +58,13 @@ def frames(spark: SparkSession, sf_dir: str, table: str = "events") -> DataFrame
     events = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     first = events.agg(F.min("ts").cast("timestamp").alias("t")).select(F.unix_micros("t")).first()[0] or 0
-    t0 = first - first % 1_000_000
+    return of_events(events, us - F.lit(first - first % 1_000_000)).withColumn("file", F.lit(table))
+
+
+def of_events(events: DataFrame, us: Column, *keys: Column) -> DataFrame:
+    """Frames of events that came ``us`` microseconds after their log began; file is null, ``keys`` are further columns."""
     long = lambda c: c.cast("long")
-    e = events.select("event_id", "user_id", "event_type", us.alias("us"), long(F.rint(F.col("value") * 100)).alias("v"), long(F.get_json_object("props", "$.k")).alias("k"))
+    e = events.select(*keys, "event_id", "user_id", "event_type", us.alias("us"), long(F.rint(F.col("value") * 100)).alias("v"), long(F.get_json_object("props", "$.k")).alias("k"))
     kind = F.element_at(F.create_map(*(F.lit(x) for i, n in enumerate(("click", "view", "purchase", "signup", "error")) for x in (n, 256 + i))), F.col("event_type"))
     w0 = (
         F.shiftleft(F.col("event_id") % 4194304, 40)
@@ -70,9 +74,10 @@ def frames(spark: SparkSession, sf_dir: str, table: str = "events") -> DataFrame
     )
     length = (4 + F.col("event_id") % 5).cast("int")
     own = F.when(length == 8, w0).otherwise(w0.bitwiseAND(F.expr("shiftleft(1L, 8 * cast(4 + event_id % 5 as int)) - 1")))
-    abs_ns = F.expr(f"((us - {t0}) div 4320) * 1000")
+    abs_ns = F.expr("(us div 4320) * 1000")
     return e.select(
-        F.lit(table).alias("file"),
+        *e.columns[: len(keys)],
+        F.lit(None).cast("string").alias("file"),
         F.col("event_id").alias("seq"),
         (F.col("user_id") % 16).cast("int").alias("channel"),
         abs_ns.alias("abs_ns"),
