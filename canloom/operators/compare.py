@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canloom.functions.bits import clean_text
+from canloom.operators.frames import small
 
 DIMENSIONS = ("header", "structure", "values", "stats")
 STATS_GROUP = "1s"
@@ -67,10 +68,17 @@ def numbered_sets(samples_meta: DataFrame) -> DataFrame:
     return signal_sets(samples_meta).withColumn("nth", nth)
 
 
-def _matched(samples: DataFrame) -> DataFrame:
-    """Rows with the set and the place in it of their group: what groups of two files are matched by. Names don't count."""
-    own = numbered_sets(samples.select("group_ordinal", "group_name", "signal").distinct())
-    return samples.join(own, ["group_ordinal", "group_name"])
+def paired_groups(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Groups of two measurements matched by their sets of signals and the place among those of one set; names don't count.
+
+    (pair, group_name), and for each side (group_ordinal, pair): a group is known by a number from there on, so that the
+    list of its signals stays out of what its samples are joined by. Groups without a counterpart have a number of their own.
+    """
+    sa, sb = (numbered_sets(x.select("group_ordinal", "group_name", "signal").distinct()).select("signal_set", "nth", F.col("group_ordinal").alias(f"o_{p}"), F.col("group_name").alias(f"name_{p}")) for x, p in ((a, "a"), (b, "b")))
+    number = F.coalesce(F.col("o_a"), -1 - F.col("o_b"))
+    both = sa.join(sb, ["signal_set", "nth"], "full_outer").select(number.alias("pair"), "o_a", "o_b", F.coalesce("name_a", "name_b").alias("group_name"))
+    side = lambda o: small(both.where(F.col(o).isNotNull()).select(F.col(o).alias("group_ordinal"), "pair"))
+    return small(both.select("pair", "group_name")), side("o_a"), side("o_b")
 
 
 def missing_groups(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -95,29 +103,30 @@ def within_tolerance(a: DataFrame, b: DataFrame, atol: float = 1e-6, rtol: float
 
     One row for each signal with group_name (a's where there is one), n_a, n_b, bad_times, bad_values and the largest difference.
     """
-    keys = ["signal_set", "nth", "signal", "seq"]
-    pick = lambda df, p: _matched(df).select(*keys, *(F.col(c).alias(f"{p}_{c}") for c in ("group_name", "ts", "value", "text")), F.lit(1).alias(f"{p}_there"))
-    both = pick(a, "a").join(pick(b, "b"), keys, "full_outer")
+    names, of_a, of_b = paired_groups(a, b)
+    keys = ["pair", "signal", "seq"]
+    pick = lambda df, own, p: df.join(own, "group_ordinal").select(*keys, *(F.col(c).alias(f"{p}_{c}") for c in ("ts", "value", "text")), F.lit(1).alias(f"{p}_there"))
+    both = pick(a, of_a, "a").join(pick(b, of_b, "b"), keys, "full_outer")
     c = F.col
     there = c("a_there").isNotNull() & c("b_there").isNotNull()
     text = c("a_text").isNotNull() | c("b_text").isNotNull()
     bad = F.when(text, ~clean_text(c("a_text")).eqNullSafe(clean_text(c("b_text")))).otherwise(~F.coalesce(close(c("a_value"), c("b_value"), atol, rtol), F.lit(False)))
-    by = both.groupBy("signal_set", "nth", "signal").agg(
-        F.coalesce(F.min("a_group_name"), F.min("b_group_name")).alias("group_name"),
+    by = both.groupBy("pair", "signal").agg(
         F.count("a_there").alias("n_a"),
         F.count("b_there").alias("n_b"),
         F.count_if(there & ~c("a_ts").eqNullSafe(c("b_ts"))).alias("bad_times"),
         F.count_if(there & bad).alias("bad_values"),
         F.max(F.when(there & ~F.isnan("a_value") & ~F.isnan("b_value"), F.abs(c("a_value") - c("b_value")))).alias("max_diff"),
     )
-    return by.where("n_a <> n_b or bad_times > 0 or bad_values > 0").select("group_name", "signal", "n_a", "n_b", "bad_times", "bad_values", "max_diff")
+    return by.where("n_a <> n_b or bad_times > 0 or bad_values > 0").join(names, "pair").select("group_name", "signal", "n_a", "n_b", "bad_times", "bad_values", "max_diff")
 
 
 def metadata(a: DataFrame, b: DataFrame) -> DataFrame:
     """Metadata fields that differ for signals of matched groups: group_name (a's), signal, field, a, b."""
     fields = ["unit", "dtype", "conversion", "position"]
-    tall = lambda df, p: _matched(df).select("signal_set", "nth", F.col("group_name").alias(f"name_{p}"), "signal", F.explode(F.create_map(*(x for f in fields for x in (F.lit(f), F.coalesce(F.col(f).cast("string"), F.lit("")))))).alias("field", p))
-    return tall(a, "a").join(tall(b, "b"), ["signal_set", "nth", "signal", "field"]).where("a <> b").select(F.col("name_a").alias("group_name"), "signal", "field", "a", "b")
+    names, of_a, of_b = paired_groups(a, b)
+    tall = lambda df, own, p: df.join(own, "group_ordinal").select("pair", "signal", F.explode(F.create_map(*(x for f in fields for x in (F.lit(f), F.coalesce(F.col(f).cast("string"), F.lit("")))))).alias("field", p))
+    return tall(a, of_a, "a").join(tall(b, of_b, "b"), ["pair", "signal", "field"]).where("a <> b").join(names, "pair").select("group_name", "signal", "field", "a", "b")
 
 
 def header(a: dict[str, str], b: dict[str, str]) -> list[tuple[str, str | None, str | None]]:

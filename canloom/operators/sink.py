@@ -21,7 +21,7 @@ from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from canloom.functions.tables import local
@@ -66,6 +66,14 @@ class Folder:
         finally:
             out.close()
 
+    def read_head(self, n: int) -> bytes:
+        """The first n bytes, or all if there are fewer."""
+        stream = self.fs.open(self.path)
+        try:
+            return bytes(stream.readNBytes(n))
+        finally:
+            stream.close()
+
     def read_text(self) -> str:
         stream = self.fs.open(self.path)
         try:
@@ -171,16 +179,53 @@ def read_manifest(spark: SparkSession, folder: str) -> dict:
     return json.loads(Folder(spark, f"{folder}/{MANIFEST}").read_text())
 
 
-def read_samples(spark: SparkSession, folder: str) -> DataFrame:
-    """Samples as the cross-checks take them."""
+#: Signals of a group of raw frames: name, column of ``raw``, storage.
+RAW_SIGNALS = (("ID", "id", "u32"), ("DLC", "dlc", "u8"), ("Data", "data", "bytes"), ("IsExtended", "is_extended", "u8"), ("IsFD", "is_fd", "u8"))
+
+
+def _raw_groups(spark: SparkSession, folder: str) -> DataFrame | None:
+    """group_ordinal and group_name of raw groups, which follow those of signals."""
+    m = read_manifest(spark, folder)
+    rows = [(len(m["groups"]) + i, name) for i, name in enumerate(m["raw_groups"])]
+    return local(spark, rows, "group_ordinal int, group_name string") if rows else None
+
+
+#: Frame numbers that are counted together: what numbers the samples of a signal is split by it.
+BLOCK = 1 << 20
+
+
+def placed(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """seq as the place within the series (``keys``), from 0. Blocks of a series are numbered by themselves, and begin behind
+    the ones before them, so that a long series isn't sorted by one task."""
+    own = samples.withColumn("_block", F.floor(F.col("seq") / BLOCK))
+    by = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = own.groupBy(*keys, "_block").count().select(*keys, "_block", F.coalesce(F.sum("count").over(by), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy("seq")) - 1
+    return own.join(before, [*keys, "_block"]).withColumn("seq", F.col("_before") + place).select(*samples.columns)
+
+
+def read_samples(spark: SparkSession, folder: str, places: bool = False) -> DataFrame:
+    """Samples as the cross-checks take them, raw frames among them; bytes are text, as hex digits. seq is the number of the
+    frame in the log, or the place in the group (``places``), which is what files know."""
     kinds = fr.small(spark.read.parquet(f"{folder}/channels").select("group_ordinal", "signal", "dtype"))
     own = spark.read.parquet(f"{folder}/samples").join(kinds, ["group_ordinal", "signal"])
-    return own.select("group_ordinal", "group_name", "signal", "seq", "ts", "value", F.lit(None).cast("string").alias("text"), "dtype")
+    out = own.select("group_ordinal", "group_name", "signal", "seq", "ts", "value", F.lit(None).cast("string").alias("text"), "dtype")
+    groups = _raw_groups(spark, folder)
+    if groups is not None:
+        raw = spark.read.parquet(f"{folder}/raw").join(F.broadcast(groups), "group_name")
+        each = F.array(*(F.struct(F.lit(n).alias("signal"), (F.lit(None).cast("double") if k == "bytes" else F.col(c).cast("double")).alias("value"), (F.hex(c) if k == "bytes" else F.lit(None)).cast("string").alias("text"), F.lit(k).alias("dtype")) for n, c, k in RAW_SIGNALS))
+        out = out.unionByName(raw.select("group_ordinal", "group_name", "seq", "ts", F.inline(each)))
+    return placed(out, ["group_ordinal", "signal"]) if places else out
 
 
 def read_metadata(spark: SparkSession, folder: str) -> DataFrame:
     own = spark.read.parquet(f"{folder}/channels")
-    return own.select("group_ordinal", "group_name", "signal", "position", "unit", "dtype", F.to_json(F.struct("kind", "scale", "offset", "choices")).alias("conversion"))
+    out = own.select("group_ordinal", "group_name", "signal", "position", "unit", "dtype", F.to_json(F.struct("kind", "scale", "offset", "choices")).alias("conversion"))
+    groups = _raw_groups(spark, folder)
+    if groups is None:
+        return out
+    each = F.array(*(F.struct(F.lit(n).alias("signal"), F.lit(i).alias("position"), F.lit("").alias("unit"), F.lit(k).alias("dtype"), F.lit("").alias("conversion")) for i, (n, _, k) in enumerate(RAW_SIGNALS)))
+    return out.unionByName(groups.select("group_ordinal", "group_name", F.inline(each)))
 
 
 def read_group(spark: SparkSession, folder: str, group_name: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canloom.operators import bindings as bind
-from canloom.operators import compare, convert
+from canloom.operators import compare, compare_stats, convert
 from canloom.sources import blf, project
 from canloom.functions.tables import local
 
@@ -64,11 +64,12 @@ def bound_catalogs(spark: SparkSession, root: str | Path, name: str, log: str, m
     return {r.channel: by[r.binding] for r in rows.where("binding is not null").collect()}
 
 
-def report(spark: SparkSession, ours: str, reference: str) -> DataFrame:
+def report(spark: SparkSession, ours: str, reference: str, layout: compare_stats.Layout = compare_stats.OWN_LAYOUT) -> DataFrame:
     """All differences with their severity: values decide, and the axis of the statistics; the rest are notes."""
-    found = convert.differences(spark, reference, ours, exact=False)
-    return compare.with_severity(found, ~F.col("dimension").isin("values", "stats"))
+    found = convert.differences(spark, ours, reference, exact=False, layout=layout)
+    decides = (F.col("dimension") == "values") | ((F.col("dimension") == "stats") & F.split("detail", " ")[0].isin(*compare_stats.DECIDES))
+    return compare.with_severity(found, ~decides)
 
 
-def passes(spark: SparkSession, ours: str, reference: str) -> bool:
-    return compare.gate(report(spark, ours, reference)).limit(1).count() == 0
+def passes(spark: SparkSession, ours: str, reference: str, layout: compare_stats.Layout = compare_stats.OWN_LAYOUT) -> bool:
+    return compare.gate(report(spark, ours, reference, layout)).limit(1).count() == 0

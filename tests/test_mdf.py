@@ -7,7 +7,8 @@ import zlib
 import numpy as np
 import pytest
 
-from canloom.operators import convert, export
+from canloom import cli
+from canloom.operators import compare_stats, convert, export, sink, verify
 from canloom.sources import dbc, mdf
 from tests.test_convert import ABC, rich
 
@@ -124,3 +125,100 @@ def test_compare_with_a_file_of_another_tool(spark, tmp_path):
     assert convert.differences(spark, folder, str(own), exact=False).where("dimension = 'values'").collect() == []
     other = convert.differences(spark, str(own), str(tmp_path / "other.mdf"), exact=False).where("dimension = 'values'").collect()
     assert len(other) == 1 and other[0].label.endswith(groups[0].channels[0].name)
+
+
+def test_folder_and_file_have_the_same_samples(spark, tmp_path, monkeypatch):
+    src = rich(tmp_path / "a.blf")
+    c = dbc.parse(ABC, str(tmp_path / "ABC.dbc"))
+    folder, own = str(tmp_path / "m"), str(tmp_path / "own.mdf")
+    convert.convert(spark, src, {1: c, 2: c, 4: None}, folder, raw_export=True)
+    export.write_mdf(spark, folder, own)
+    monkeypatch.setattr(sink, "BLOCK", 3)  # series of several blocks
+    for exact in (True, False):
+        assert convert.differences(spark, folder, own, exact=exact).collect() == []
+        assert convert.differences(spark, own, folder, exact=exact).collect() == []
+    assert verify.passes(spark, folder, own) and verify.passes(spark, own, folder)
+    start, groups = mdf.read(open(own, "rb").read())
+    raw = next(g for g in groups if g.name == "Raw::CAN4")
+
+    def changed(name, change):
+        """Another file, in which one thing differs."""
+        _, g = mdf.read(open(own, "rb").read())
+        begin = change({x.name: x for x in g if x.name != "1s"}, [x for x in g if x.name == "1s"], g) or start
+        with open(tmp_path / name, "wb") as f:
+            mdf.write(f, begin, g)
+        return str(tmp_path / name)
+
+    def flip(named, stats, g):
+        named["Raw::CAN4"].channels[2].samples = 255 - raw.channels[2].samples
+
+    for a in (folder, own):
+        found = convert.differences(spark, a, changed("bytes.mdf", flip), exact=False).collect()
+        assert [(r.dimension, r.label) for r in found] == [("values", "Raw::CAN4.Data")]
+
+    def late(named, stats, g):
+        first = next(iter(named.values()))
+        first.times = first.times + 0.001
+
+    found = convert.differences(spark, folder, changed("late.mdf", late), exact=False).collect()
+    assert found and {r.dimension for r in found} == {"values"} and all(r.detail.split()[2] != "0" for r in found)
+    assert [r.dimension for r in convert.differences(spark, own, changed("start.mdf", lambda *_: start + 1)).collect()] == ["header"]
+
+
+def test_statistics_of_files_decide(spark, tmp_path):
+    src = rich(tmp_path / "a.blf")
+    c = dbc.parse(ABC, str(tmp_path / "ABC.dbc"))
+    folder, own = str(tmp_path / "m"), str(tmp_path / "own.mdf")
+    convert.convert(spark, src, {1: c}, folder)
+    export.write_mdf(spark, folder, own)
+
+    def changed(name, change):
+        start, groups = mdf.read(open(own, "rb").read())
+        signals, ones = [g for g in groups if g.name != "1s"], [g for g in groups if g.name == "1s"]
+        with open(tmp_path / name, "wb") as f:
+            mdf.write(f, start, signals + (change(ones) or ones))
+        return str(tmp_path / name)
+
+    def every(f):
+        def change(ones):
+            for g in ones:
+                f(g)
+
+        return change
+
+    def shift(g):
+        g.times = g.times + 1e-3
+
+    def more(g):
+        g.channels[0].samples = g.channels[0].samples + 1
+
+    def hole(g):
+        keep = np.arange(len(g.times)) != 3
+        g.times, g.channels[0].samples = g.times[keep], g.channels[0].samples[keep]
+
+    def kinds(path, **more):
+        return {r.detail.split(" ")[0] for r in convert.differences(spark, folder, path, dims={"stats"}, **more).collect()}
+
+    for a in (folder, own):
+        assert convert.differences(spark, a, own, dims={"stats"}).count() == 0
+        found = convert.differences(spark, a, changed("more.mdf", every(more)), dims={"stats"}).collect()
+        assert len(found) == 160 and {r.detail.split(" ")[0] for r in found} == {"points"}
+    cases = {"shift": (every(shift), {"axis"}, False), "more": (every(more), {"points"}, True), "hole": (every(hole), {"hole", "length"}, True), "few": (lambda ones: ones[:150], {"groups"}, True)}
+    for name, (change, want, good) in cases.items():
+        path = changed(f"{name}.mdf", change)
+        assert kinds(path) == want and verify.passes(spark, folder, path) == good, name
+    swapped = changed("order.mdf", lambda ones: [ones[1], ones[0], *ones[2:]])
+    assert {r.detail.split(" ")[0] for r in convert.differences(spark, swapped, own, dims={"stats"}).collect()} >= {"order"}
+    # another tool's blocks: 12 items a channel, ours from the third on, backwards
+    offsets = {n: 11 - i for i, n in enumerate(compare_stats.ORDER)}
+
+    def blocks(ones):
+        pad = mdf.Group("1s", ones[0].times, [mdf.Channel("Other", ones[0].channels[0].samples)])
+        return [g for ch in range(16) for g in (pad, pad, *reversed(ones[10 * ch : 10 * ch + 10]))]
+
+    theirs = changed("blocks.mdf", blocks)
+    assert kinds(theirs, layout=(12, offsets)) == set() and kinds(theirs) == {"points"}
+    assert verify.passes(spark, own, theirs, (12, offsets))
+    with pytest.raises(ValueError, match="without a place"):
+        kinds(theirs, layout=(12, {"StdData": 0}))
+    assert cli.main(["compare", folder, changed("more.mdf", every(more)), "--dims", "stats"]) == 1
