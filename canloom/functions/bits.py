@@ -112,6 +112,12 @@ def integer_double(bits: Column, length: Column | int, is_signed: Column | bool)
     return F.when(beyond_long(number, is_signed), unsigned(number).cast("double")).otherwise(number.cast("double"))
 
 
+def unsigned_double(number: Column) -> Column:
+    """The pattern of a long as an unsigned number in doubles, rounded once: half of it, the lost bit kept, and twice that."""
+    half = F.shiftrightunsigned(number, 1).bitwiseOR(number.bitwiseAND(F.lit(1).cast("long")))
+    return half.cast("double") * F.lit(2.0)
+
+
 def float32_value(bits: Column) -> Column:
     """The double that IEEE single bits stand for, by arithmetic that is exact."""
     sign = F.when(F.shiftrightunsigned(bits, 31).bitwiseAND(F.lit(1).cast("long")) == 1, F.lit(-1.0)).otherwise(F.lit(1.0))
@@ -137,6 +143,23 @@ def _float(sign: Column, e: Column, m: Column, top: int, bias: int, width: int)
     )
 
 
+def float_fields(bits: Column, length: Column) -> tuple[Column, Column]:
+    """Exponent and mantissa of IEEE single (length 32) or double bits."""
+    single = length == 32
+    e = F.when(single, F.shiftrightunsigned(bits, 23).bitwiseAND(F.lit(255).cast("long"))).otherwise(F.shiftrightunsigned(bits, 52).bitwiseAND(F.lit(2047).cast("long")))
+    return e, bits.bitwiseAND(F.when(single, F.lit((1 << 23) - 1).cast("long")).otherwise(F.lit((1 << 52) - 1).cast("long")))
+
+
+def float_of(bits: Column, length: Column, e: Column, m: Column) -> Column:
+    """``float_value`` from the fields, in one formula for both widths; powers of two are exact."""
+    single = length == 32
+    negative = F.when(single, F.shiftrightunsigned(bits, 31).bitwiseAND(F.lit(1).cast("long")) == 1).otherwise(bits < 0)
+    fraction = m.cast("double") * F.when(single, F.lit(2.0**-23)).otherwise(F.lit(2.0**-52))
+    power = F.pow(F.lit(2.0), (F.greatest(e, F.lit(1).cast("long")) - F.when(single, F.lit(127)).otherwise(F.lit(1023))).cast("double"))
+    size = F.when(e == F.when(single, F.lit(255)).otherwise(F.lit(2047)), F.when(m != 0, F.lit(float("nan"))).otherwise(F.lit(float("inf")))).otherwise((fraction + F.when(e == 0, F.lit(0.0)).otherwise(F.lit(1.0))) * power)
+    return F.when(negative, -size).otherwise(size)
+
+
 def float_value(bits: Column, length: Column | int) -> Column:
     length = col_of(length)
     return F.when(length == 32, float32_value(bits)).otherwise(float64_value(bits))

@@ -38,32 +38,65 @@ def plan_table(spark: SparkSession, catalogs: list[Catalog]) -> DataFrame:
     return local(spark, [r for c in catalogs for r in plan_rows(c)], PLAN)
 
 
-def _selector_value() -> Column:
-    """The number that routes: raw, or scaled where the selector has a scale (null without selector)."""
-    c = F.col
-    raw = bits.extract(c("words"), c("_big"), c("sel_position"), c("sel_length"), c("sel_little"))
-    number = bits.integer_double(raw, c("sel_length"), c("sel_signed"))
-    number = F.when(c("sel_float"), bits.float_value(raw, c("sel_length"))).otherwise(number)
-    return F.when(c("sel_position").isNotNull(), number * c("sel_scale") + c("sel_offset"))
+def _placed(plan: DataFrame, name: str, position: str, length: str) -> DataFrame:
+    """plan with <name>i and <name>j, the places of the two words that a signal's bits lie in, <name>shift within the first,
+    <name>other for the second, <name>cut for the bits beyond its length: worked out once for a signal, not for each sample."""
+    place, shift = F.col(position).cast("int"), F.col(position).cast("int") % 64
+    return plan.withColumns({f"{name}i": F.floor(place / 64).cast("int") + 1, f"{name}j": F.floor(place / 64).cast("int") + 2, f"{name}shift": shift, f"{name}other": 64 - shift, f"{name}cut": (64 - F.col(length)).cast("int")})
+
 
+def _numbers(df: DataFrame, name: str, length: str, little: str, is_signed: str, is_float: str) -> DataFrame:
+    """df with <name>bits, <name>long and <name>number of the signal that the columns, and those of ``_placed``, describe.
 
-def long(classified: DataFrame, plan: DataFrame, *keys: str) -> DataFrame:
+    Each step is a column of its own, which the next ones name: nested, the steps would repeat in each other, and plans and
+    generated code would grow beyond what compiles."""
+    c = F.col
+    n = lambda x: c(f"{name}{x}")
+    call, none = F.call_function, F.lit(0).cast("long")
+    df = df.withColumn(f"{name}from", F.when(c(little), c("words")).otherwise(c("_big")))
+    df = df.withColumns({f"{name}{w}": F.coalesce(F.try_element_at(n("from"), n(at)), none) for w, at in (("first", "i"), ("second", "j"))})
+    up = call("shiftrightunsigned", n("first"), n("shift")).bitwiseOR(F.when(n("shift") > 0, call("shiftleft", n("second"), n("other"))).otherwise(none))
+    down = call("shiftleft", n("first"), n("shift")).bitwiseOR(F.when(n("shift") > 0, call("shiftrightunsigned", n("second"), n("other"))).otherwise(none))
+    # the bits at the top, then cut to the length with or without their sign
+    df = df.withColumn(f"{name}top", F.when(c(little), call("shiftleft", up, n("cut"))).otherwise(down))
+    df = df.withColumn(f"{name}bits", call("shiftrightunsigned", n("top"), n("cut")))
+    df = df.withColumn(f"{name}long", F.when(c(is_signed), call("shiftright", n("top"), n("cut"))).otherwise(n("bits")))
+    e, m = bits.float_fields(n("bits"), c(length))
+    df = df.withColumns({f"{name}e": e, f"{name}m": m})
+    whole = F.when((n("long") < 0) & ~c(is_signed), bits.unsigned_double(n("long"))).otherwise(n("long").cast("double"))
+    return df.withColumn(f"{name}number", F.when(c(is_float), bits.float_of(n("bits"), c(length), n("e"), n("m"))).otherwise(whole))
+
+
+def _selected(df: DataFrame) -> DataFrame:
+    """df with _selector, the number that routes: raw, or scaled where the selector has a scale (null without selector)."""
+    own = _numbers(df, "_s_", "sel_length", "sel_little", "sel_signed", "sel_float")
+    return own.withColumn("_selector", F.when(F.col("sel_position").isNotNull(), F.col("_s_number") * F.col("sel_scale") + F.col("sel_offset")))
+
+
+def long(classified: DataFrame, plan: DataFrame, *keys: str, routed: bool = False) -> DataFrame:
     """Samples of all valid frames: channel, message_name, signal_name, ordinal, seq, ts, bits, raw, phys, active, routed_ok,
     and columns of the frames (``keys``) before them.
 
     raw is the number in decimal(20,0), bits the same as a long (negative for unsigned numbers of 2**63 and more).
 
     A child of another branch is inactive: raw 0, phys 0 (NaN for a float). A frame whose selector value has no children
-    is unknown: routed_ok is false on its rows, and ``drop_unrouted`` removes them.
+    is unknown: routed_ok is false on its rows; with ``routed`` they are left out.
     """
     c = F.col
     own = classified.where("valid").select(*keys, "channel", "dbc", "arb_norm", "arb_id", "message_name", "seq", "ts", "words", bits.big_words(c("words")).alias("_big"))
-    joined = own.join(small(plan), ["dbc", "arb_norm"])
-    selected = joined.withColumn("_selector", _selector_value()).withColumn("_bits", bits.extract(c("words"), c("_big"), c("position"), c("length"), c("little")))
+    placed = _placed(_placed(plan, "_", "position", "length"), "_s_", "sel_position", "sel_length")
+    joined = own.join(small(placed), ["dbc", "arb_norm"])
+    ok = c("_selector").isNull() | F.coalesce(F.array_contains("routed", c("_selector")), F.lit(False))
+    chosen = _selected(joined)
+    if routed:
+        # a column that isn't deterministic keeps this filter, and later ones, where they are: pushed down to the join, they
+        # would take copies of the whole selector's expression along, and the stage no longer compiles
+        chosen = chosen.withColumn("_here", F.spark_partition_id()).where(ok & (c("_here") >= 0))
+    selected = _numbers(chosen, "_", "length", "little", "is_signed", "is_float")
     active = c("multiplexer_ids").isNull() | F.coalesce(F.exists("multiplexer_ids", lambda k: k.cast("double") == c("_selector")), F.lit(False))
-    exact = bits.integer_value(c("_bits"), c("length"), c("is_signed"))
-    number = bits.integer_double(c("_bits"), c("length"), c("is_signed"))
-    value = F.when(c("is_float"), bits.float_value(c("_bits"), c("length")) * c("scale") + c("offset")).when(c("kind") == "scaled", bits.physical(exact, c("scale"), c("offset"), number)).otherwise(number)
+    exact = F.when(bits.beyond_long(c("_long"), c("is_signed")), bits.unsigned(c("_long"))).otherwise(c("_long").cast(bits.U64))
+    selected = selected.withColumn("_exact", exact)
+    value = F.when(c("is_float"), c("_number") * c("scale") + c("offset")).when(c("kind") == "scaled", bits.physical(c("_exact"), c("scale"), c("offset"), c("_number"))).otherwise(c("_number"))
     real = c("kind").isin("float", "scaled")
     return selected.withColumn("active", active).select(
         *keys,
@@ -76,18 +109,18 @@ def long(classified: DataFrame, plan: DataFrame, *keys: str) -> DataFrame:
         "ordinal",
         "seq",
         "ts",
-        F.when(c("active"), bits.integer_long(c("_bits"), c("length"), c("is_signed"))).otherwise(F.lit(0).cast("long")).alias("bits"),
-        F.when(c("active"), exact).otherwise(F.lit(0).cast(bits.U64)).alias("raw"),
+        F.when(c("active"), c("_long")).otherwise(F.lit(0).cast("long")).alias("bits"),
+        F.when(c("active"), c("_exact")).otherwise(F.lit(0).cast(bits.U64)).alias("raw"),
         F.when(c("active"), value).when(real, F.lit(float("nan"))).otherwise(F.lit(0.0)).alias("phys"),
         "active",
-        (c("_selector").isNull() | F.coalesce(F.array_contains("routed", c("_selector")), F.lit(False))).alias("routed_ok"),
+        ok.alias("routed_ok"),
     )
 
 
 def routed_frames(classified: DataFrame, plan: DataFrame) -> DataFrame:
     """classified, with frames whose selector has a value without children made unknown (valid = false)."""
     selectors = plan.where("sel_position is not null").select("dbc", "arb_norm", *(x for x in plan.columns if x.startswith("sel_")), "routed").dropDuplicates(["dbc", "arb_norm"])
-    joined = classified.withColumn("_big", bits.big_words(F.col("words"))).join(small(selectors), ["dbc", "arb_norm"], "left").withColumn("_selector", _selector_value())
+    joined = _selected(classified.withColumn("_big", bits.big_words(F.col("words"))).join(small(_placed(selectors, "_s_", "sel_position", "sel_length")), ["dbc", "arb_norm"], "left"))
     ok = F.col("sel_position").isNull() | F.array_contains("routed", F.col("_selector"))
     return joined.withColumn("valid", F.col("valid") & F.coalesce(ok, F.lit(False))).select(*classified.columns)
 

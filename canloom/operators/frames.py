@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canloom.functions.bits import normalize_id, padded
+from canloom.functions.timegrid import TOLERANCE_MS, deviation
 
 #: Catalog tables are broadcast if the plan bounds them by so many bytes, or else if they have at most so many rows;
 #: beyond, Spark plans the join by its own sizes.
@@ -34,6 +35,64 @@ def classify(frames: DataFrame, bindings: DataFrame, messages: DataFrame) -> Dat
     return joined.withColumn("found", found).withColumn("valid", found & (F.col("data_len") >= F.col("frame_length")))
 
 
+def labelled(frames: DataFrame, bindings: DataFrame, messages: DataFrame) -> DataFrame:
+    """All frames, those of unbound channels too, with catalog, message and validity as ``classify`` gives them."""
+    own = bindings.where("dbc is not null").select("channel", "dbc")
+    unbound = frames.join(small(own.select("channel")), "channel", "left_anti").withColumn("arb_norm", normalize_id(F.col("arb_id"), F.col("is_extended")))
+    return classify(frames, bindings, messages).unionByName(unbound.withColumn("found", F.lit(False)).withColumn("valid", F.lit(False)), allowMissingColumns=True)
+
+
+def series(labelled: DataFrame) -> DataFrame:
+    """What a conversion must know of its frames before it decodes them: for each channel, id and validity the number,
+    the first and last, the largest deviation from the millisecond grid, and the longest payload. A few rows for each id."""
+    return labelled.groupBy("channel", "dbc", "arb_norm", "arb_id", "message_name", "valid").agg(
+        F.count("*").alias("n_frames"),
+        F.min("seq").alias("first_seq"),
+        F.max("seq").alias("last_seq"),
+        F.min_by("ts", "seq").alias("first_ts"),
+        F.max_by("ts", "seq").alias("last_ts"),
+        F.max(deviation(F.col("ts"))).alias("off"),
+        F.max("data_len").alias("longest"),
+    )
+
+
+def series_groups(found: DataFrame) -> DataFrame:
+    """``buckets`` from series, with the catalog and whether all times of the group lie on the millisecond grid."""
+    by = found.where("valid").groupBy("channel", "arb_norm", "message_name", "dbc").agg(
+        F.sum("n_frames").alias("n_frames"),
+        F.min("first_seq").alias("first_seq"),
+        F.min_by("arb_id", "first_seq").alias("first_arb_id"),
+        F.min_by("first_ts", "first_seq").alias("first_ts"),
+        F.max_by("last_ts", "last_seq").alias("last_ts"),
+        (F.max("off") <= TOLERANCE_MS).alias("on_grid"),
+    )
+    return by.withColumn("series_order", F.row_number().over(Window.partitionBy("channel").orderBy("first_seq")))
+
+
+def exported_series(found: DataFrame, bindings: DataFrame, messages: DataFrame) -> DataFrame:
+    """Series of unbound channels with a mark whether they are exported raw, as ``raw_frames`` has it for frames."""
+    own = found.join(small(bindings.where("dbc is null").select("channel")), "channel", "left_semi")
+    if not bindings.where("dbc is not null").limit(1).count():
+        return own.withColumn("exported", F.lit(True))
+    ids = small(known_ids(bindings, messages).withColumn("_known", F.lit(True)))
+    return own.join(ids, "arb_norm", "left").withColumn("exported", F.coalesce("_known", F.lit(False))).drop("_known")
+
+
+def series_summary(found: DataFrame, bindings: DataFrame, signal_counts: DataFrame, raw: DataFrame | None = None) -> DataFrame:
+    """``ingest_summary`` from series; ``raw`` are exported_series."""
+    total = lambda c, n: F.coalesce(F.sum(F.when(c, F.col("n_frames"))), F.lit(0)).alias(n)
+    ids = lambda c, n: F.countDistinct(F.when(c, F.col("arb_id"))).alias(n)
+    valid = F.col("valid")
+    counts = found.where("dbc is not null").groupBy("channel").agg(total(valid, "decoded_frames"), total(~valid, "unknown_frames"), ids(~valid, "unknown_ids"))
+    emitted = found.where("valid").select("channel", "dbc", "arb_norm").distinct().join(small(signal_counts), ["dbc", "arb_norm"]).groupBy("channel").agg(F.sum("n_signals").alias("signal_count"))
+    own = raw if raw is not None else found.where("false").withColumn("exported", F.lit(True))
+    lost = own.groupBy("channel").agg(total(F.col("exported"), "raw_frames"), total(~F.col("exported"), "_lost"), ids(~F.col("exported"), "_ids"))
+    rows = bindings.select("channel", F.col("dbc").isNotNull().alias("bound")).join(counts, "channel", "left").join(emitted, "channel", "left").join(lost, "channel", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    out = rows.select("channel", "bound", zero("decoded_frames").alias("decoded_frames"), zero("signal_count").alias("signal_count"), (zero("unknown_frames") + zero("_lost")).alias("unknown_frames"), (zero("unknown_ids") + zero("_ids")).alias("unknown_ids"), zero("raw_frames").alias("raw_frames"))
+    return out.withColumn("warning", F.when(F.col("bound") & (F.col("signal_count") == 0), "NO_FRAMES").when(~F.col("bound") & (F.col("unknown_frames") > 0) & (F.col("raw_frames") == 0), "NO_MATCH"))
+
+
 def frame_class(is_extended: Column, is_remote: Column, is_error: Column) -> Column:
     """The one class of a frame: Err before remote before plain."""
     return (
@@ -96,10 +155,11 @@ def raw_frames(frames: DataFrame, bindings: DataFrame, messages: DataFrame) -> D
     return own.join(ids, "arb_norm", "left").withColumn("exported", F.coalesce("_known", F.lit(False))).drop("_known")
 
 
-def raw_groups(raw: DataFrame) -> DataFrame:
-    """Exported raw frames as their groups hold them: data padded with zeros to the channel's longest."""
+def raw_groups(raw: DataFrame, widths: DataFrame | None = None) -> DataFrame:
+    """Exported raw frames as their groups hold them: data padded with zeros to the channel's longest (widths(channel, width),
+    or looked for)."""
     own = raw.where("exported")
-    longest = small(own.groupBy("channel").agg(F.max(F.length("data")).alias("width")))
+    longest = small(own.groupBy("channel").agg(F.max(F.length("data")).alias("width")) if widths is None else widths)
     return own.join(longest, "channel").select(
         F.concat(F.lit("Raw::CAN"), F.col("channel").cast("string")).alias("group_name"),
         "channel",

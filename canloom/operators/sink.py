@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from canloom.functions.tables import local
 from canloom.functions import timegrid
 from canloom.model import Catalog
-from canloom.operators import decode
+from canloom.operators import decode, stats
 from canloom.operators import frames as fr
+from canloom.sources import dbc
 
 MANIFEST = "manifest.json"
 FORMAT = 1
@@ -108,11 +109,6 @@ def replacing(spark: SparkSession, out: str, write: Callable[[str], Any]) -> Any
         raise
 
 
-def aligned(classified: DataFrame) -> DataFrame:
-    """Valid frames with each series' times on the millisecond grid, if all of them lie on it."""
-    return timegrid.align(classified.where("valid"), ["channel", "arb_norm"])
-
-
 def channel_rows(catalogs: list[Catalog], groups: list[dict]) -> list[tuple]:
     by = {c.path: c for c in catalogs}
     out = []
@@ -125,54 +121,72 @@ def channel_rows(catalogs: list[Catalog], groups: list[dict]) -> list[tuple]:
 CHANNEL_COLUMNS = "group_ordinal int, group_name string, channel int, signal string, position int, unit string, dtype string, spark_type string, kind string, scale double, offset double, choices map<bigint,string>"
 
 
-def write_measurement(
-    folder: str,
-    classified: DataFrame,
-    catalogs: list[Catalog],
-    start_ns: int,
-    raw: DataFrame | None = None,
-    stats: DataFrame | None = None,
-    summary: DataFrame | None = None,
-) -> list[dict]:
-    """Write the tables to ``folder``; the groups that it holds, in order. classified is read more than once."""
-    spark = classified.sparkSession
-    put = lambda df, name, *by: df.write.option("compression", "zstd").partitionBy(*by).parquet(f"{folder}/{name}")
-    plan = decode.plan_table(spark, catalogs)
-    routed = decode.routed_frames(classified, plan) if any(m.selector for c in catalogs for m in c.messages.values()) else classified
-    named = fr.group_names(fr.buckets(routed)).join(fr.small(routed.where("valid").groupBy("channel", "arb_norm").agg(F.first("dbc").alias("dbc"))), ["channel", "arb_norm"])
-    groups = [
-        {"group_ordinal": i, "group_name": r.group_name, "channel": r.channel, "arb_norm": r.arb_norm, "message_name": r.message_name, "dbc": r.dbc, "n_frames": r.n_frames, "first_ts": r.first_ts, "last_ts": r.last_ts}
-        for i, r in enumerate(named.orderBy("channel", "series_order").collect())  # one row for each channel and message
-    ]
-    table = local(spark, [(g["group_ordinal"], g["group_name"], g["channel"], g["arb_norm"]) for g in groups], "group_ordinal int, group_name string, channel int, arb_norm long")
-    samples = decode.long(aligned(routed), plan).join(fr.small(table), ["channel", "arb_norm"])
-    work = [
-        lambda: put(samples.select("group_ordinal", "group_name", "channel", F.col("signal_name").alias("signal"), "ordinal", "seq", "ts", "bits", F.col("phys").alias("value"), "active"), "samples", "channel"),
-        lambda: put(local(spark, channel_rows(catalogs, groups), CHANNEL_COLUMNS), "channels"),
-        lambda: put(decode.conversions(_signals(spark, catalogs)), "conversions"),
-    ]
-    raw_channels = []
-    if raw is not None:
-        own = timegrid.align(raw.where("exported"), ["channel"])
-        work.append(lambda: put(fr.raw_groups(own), "raw", "channel"))
-        raw_channels = [r.channel for r in own.select("channel").distinct().orderBy("channel").collect()]
-    if stats is not None:
-        work.append(lambda: put(stats.coalesce(1), "stats"))
-    if summary is not None:
-        work.append(lambda: put(summary.coalesce(1), "summary"))
-    # the parts are independent jobs over the same frames; threads keep the caller's job tags
+class Measurement:
+    """The tables of one measurement in the making: frames are labelled, their series written, and all else follows.
+
+    Frames are read three times: for the series, for the samples, for the statistics (raw frames are a fourth)."""
+
+    def __init__(self, folder: str, frames: DataFrame, bindings: DataFrame, catalogs: list[Catalog]):
+        self.spark, self.folder, self.frames, self.bindings, self.catalogs = frames.sparkSession, folder, frames, bindings, catalogs
+        self.messages, self.plan = dbc.messages_table(self.spark, catalogs), decode.plan_table(self.spark, catalogs)
+        self.labelled = fr.labelled(frames, bindings, self.messages)
+        muxed = any(m.selector for c in catalogs for m in c.messages.values())
+        found = fr.series(decode.routed_frames(self.labelled, self.plan) if muxed else self.labelled)
+        self.series = self._written(found.coalesce(1), "_series")
+        named = fr.group_names(fr.series_groups(self.series))
+        self.groups = [
+            {"group_ordinal": i, "group_name": r.group_name, "channel": r.channel, "arb_norm": r.arb_norm, "message_name": r.message_name, "dbc": r.dbc, "n_frames": r.n_frames, "first_ts": r.first_ts, "last_ts": r.last_ts, "on_grid": r.on_grid}
+            for i, r in enumerate(named.orderBy("channel", "series_order").collect())  # one row for each channel and message
+        ]
+        self.raw_channels: list[dict] = []
+
+    def _put(self, df: DataFrame, name: str, *by: str) -> None:
+        df.write.option("compression", "zstd").partitionBy(*by).parquet(f"{self.folder}/{name}")
+
+    def _written(self, df: DataFrame, name: str) -> DataFrame:
+        self._put(df, name)
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def samples(self) -> None:
+        own = local(self.spark, [(g["group_ordinal"], g["group_name"], g["channel"], g["arb_norm"], g["on_grid"]) for g in self.groups], "group_ordinal int, group_name string, channel int, arb_norm long, on_grid boolean")
+        decoded = decode.long(self.labelled, self.plan, routed=True).join(fr.small(own), ["channel", "arb_norm"])
+        ts = F.when(F.col("on_grid"), timegrid.on_grid(F.col("ts"))).otherwise(F.col("ts"))
+        self._put(decoded.select("group_ordinal", "group_name", "channel", F.col("signal_name").alias("signal"), "ordinal", "seq", ts.alias("ts"), "bits", F.col("phys").alias("value"), "active"), "samples", "channel")
+
+    def describe(self) -> None:
+        self._put(local(self.spark, channel_rows(self.catalogs, self.groups), CHANNEL_COLUMNS), "channels")
+        self._put(decode.conversions(dbc.signals_table(self.spark, self.catalogs)), "conversions")
+
+    def exported(self) -> DataFrame:
+        return fr.exported_series(self.series, self.bindings, self.messages)
+
+    def raw(self) -> None:
+        exported = self.exported().where("exported")
+        facts = exported.groupBy("channel").agg(F.max("longest").alias("width"), (F.max("off") <= timegrid.TOLERANCE_MS).alias("on_grid"), F.min_by("first_ts", "first_seq").alias("first_ts"), F.max_by("last_ts", "last_seq").alias("last_ts"))
+        self.raw_channels = [r.asDict() for r in facts.orderBy("channel").collect()]
+        marks = local(self.spark, [(r["channel"], r["width"], r["on_grid"]) for r in self.raw_channels], "channel int, width int, on_grid boolean")
+        own = self.labelled.join(fr.small(exported.select("channel", "arb_norm").distinct()), ["channel", "arb_norm"], "left_semi").join(F.broadcast(marks.select("channel", "on_grid")), "channel")
+        on = own.withColumn("ts", F.when(F.col("on_grid"), timegrid.on_grid(F.col("ts"))).otherwise(F.col("ts"))).withColumn("exported", F.lit(True))
+        self._put(fr.raw_groups(on, marks.select("channel", "width")), "raw", "channel")
+
+    def summary(self, raw: bool) -> None:
+        sizes = local(self.spark, [(c.path, m.arb_norm, len(m.signals)) for c in self.catalogs for m in c.messages.values()], "dbc string, arb_norm long, n_signals long")
+        self._put(fr.series_summary(self.series, self.bindings, sizes, self.exported() if raw else None).coalesce(1), "summary")
+
+    def statistics(self, global_end: float) -> None:
+        self._put(stats.items(stats.bus_statistics(self.frames, global_end)).coalesce(1), "stats")
+
+    def manifest(self, start_ns: int, statistics: bool) -> None:
+        about = {"format": FORMAT, "start_ns": start_ns, "master": "t", "groups": self.groups, "raw_groups": [f"Raw::CAN{r['channel']}" for r in self.raw_channels], "stats_groups": 160 if statistics else 0}
+        Folder(self.spark, f"{self.folder}/{MANIFEST}").write_text(json.dumps(about, ensure_ascii=False, indent=1))
+        Folder(self.spark, f"{self.folder}/_series").delete()
+
+
+def together(spark: SparkSession, work: list[Callable[[], None]]) -> None:
+    """Independent jobs over the same frames; threads keep the caller's job tags."""
     with ThreadPoolExecutor(len(work)) as pool:
         for done in [pool.submit(inheritable_thread_target(spark)(w)) for w in work]:
             done.result()
-    manifest = {"format": FORMAT, "start_ns": start_ns, "master": "t", "groups": groups, "raw_groups": [f"Raw::CAN{c}" for c in raw_channels], "stats_groups": 160 if stats is not None else 0}
-    Folder(spark, f"{folder}/{MANIFEST}").write_text(json.dumps(manifest, ensure_ascii=False, indent=1))
-    return groups
-
-
-def _signals(spark: SparkSession, catalogs: list[Catalog]) -> DataFrame:
-    from canloom.sources import dbc
-
-    return dbc.signals_table(spark, catalogs)
 
 
 def read_manifest(spark: SparkSession, folder: str) -> dict:

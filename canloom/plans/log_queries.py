@@ -174,8 +174,8 @@ def decode_mux_scaled(spark, sf_dir):
     catalog = dbc.parse(_SCALED, "P1/C.dbc")
     bound = local(spark, [(c, catalog.path) for c in range(16)], "channel int, dbc string")
     classified = fr.classify(view.frames(spark, sf_dir), bound, dbc.messages_table(spark, [catalog]))
-    samples = decode.long(classified, decode.plan_table(spark, [catalog]))
-    return samples.where("routed_ok and active").select("seq", "signal_name", "phys")
+    samples = decode.long(classified, decode.plan_table(spark, [catalog]), routed=True)
+    return samples.where("active").select("seq", "signal_name", "phys")
 
 
 _SIGNALS = [

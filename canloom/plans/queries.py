@@ -75,8 +75,8 @@ _SIGNAL_VALUES = """long AS (
 
 @query("decode_flagship", sql("SELECT channel, message_name, signal_name, seq, phys FROM long", _SIGNAL_VALUES))
 def decode_flagship(spark, sf_dir):
-    samples = decode.long(classified(spark, sf_dir), decode.plan_table(spark, view.catalogs()))
-    return samples.where("routed_ok and active").select("channel", "message_name", "signal_name", "seq", "phys")
+    samples = decode.long(classified(spark, sf_dir), decode.plan_table(spark, view.catalogs()), routed=True)
+    return samples.where("active").select("channel", "message_name", "signal_name", "seq", "phys")
 
 
 # 2. bus statistics
@@ -335,7 +335,7 @@ def ingest_summary(spark, sf_dir):
 
 @query("signal_profile", sql("SELECT message_name AS group_name, signal_name AS signal, count(*) AS n, arg_min(phys, seq) AS first_value, arg_max(phys, seq) AS last_value FROM long GROUP BY message_name, signal_name", _SIGNAL_VALUES))
 def signal_profile(spark, sf_dir):
-    samples = decode.long(classified(spark, sf_dir), decode.plan_table(spark, view.catalogs())).where("routed_ok and active")
+    samples = decode.long(classified(spark, sf_dir), decode.plan_table(spark, view.catalogs()), routed=True).where("active")
     own = samples.select(F.col("message_name").alias("group_name"), F.col("signal_name").alias("signal"), "seq", "ts", F.col("phys").alias("value"))
     return compare.profile(own).select("group_name", "signal", "n", "first_value", "last_value")
 

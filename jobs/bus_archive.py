@@ -76,7 +76,7 @@ def take(events: DataFrame, batch: int, out: str, config: dict) -> dict[str, int
         frames = spark.read.parquet(f"{out}/frames").where(F.col("batch") == batch)
         catalogs = _catalogs(config)
         classified = fr.classify(frames, _bindings(spark, config), dbc.messages_table(spark, catalogs))
-        samples = decode.long(classified, decode.plan_table(spark, catalogs), "day", "batch").where("routed_ok and active")
+        samples = decode.long(classified, decode.plan_table(spark, catalogs), "day", "batch", routed=True).where("active")
         written["samples"] = write(samples.select("day", "batch", "channel", "message_name", "signal_name", "seq", "ts", "phys"), f"{out}/samples", ["day", "batch"])
         written |= report(spark, out, frames.select("day").distinct(), config)
     told = {**got, **{t: written.get(t, 0) for t in TABLES}}
