@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canloom.llm.common import fresh_name, small_batches, steps, utf8
+from canloom.llm.common import fresh_name, materialize, small_batches, steps, utf8
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -233,6 +233,9 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK
     n, s, i = (fresh_name(docs, x) for x in ("n_words", "spans", "items"))
     out = docs.withColumns({n: F.lit(0).cast("long"), s: F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)"), i: F.expr("cast(array() as array<string>)")})
     for k in range(blocks):
+        if k:  # what the last block found is written, so that a task, its workers and the driver hold one block at a time
+            out = materialize(out, "windows")
+            phrases.unpersist()
         own = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k) if blocks > 1 else items
         phrases = spark.sparkContext.broadcast(Phrases([(r.item, r.text) for r in own.toLocalIterator()]))
         out = out.mapInArrow(_searcher(phrases, "text", n, s, i), out.schema)

@@ -64,3 +64,18 @@ def test_removal(spark):
     d = spark.createDataFrame([(1, "Keep this! One two, three; four five six seven eight nine ten. End"), (2, None), (3, "ten one")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string")
     assert {r.doc_id: r.text for r in decontam.decontaminate(d, b).collect()} == {1: "Keep this! . End", 2: None, 3: "ten one"}
+
+
+def test_one_block_at_a_time(spark):
+    """Twenty blocks of a large benchmark: no stage holds two of them, long texts included."""
+    items = [(k, " ".join(f"w{k}x{j}" for j in range(12))) for k in range(60)]
+    docs = [(k, " ".join(items[(k * 7 + j) % 60][1] for j in range(300 if k == 0 else 2))) for k in range(12)] + [(99, "clean words only")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    size = sum(len(t) for _, t in items)
+    found, n, s, i = decontam.find_windows(d, b, -(-size // 20))
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = sorted((r.doc_id, r[n], sum(x.b - x.a for x in r[s]), len(r[i])) for r in found.collect())
+    whole, n, s, i = decontam.find_windows(d, b)
+    assert got == sorted((r.doc_id, r[n], sum(x.b - x.a for x in r[s]), len(r[i])) for r in whole.collect())
+    assert {r[0]: r[2] > 0 for r in got} == {k: k != 99 for k, _ in docs}
