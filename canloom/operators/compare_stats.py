@@ -49,7 +49,7 @@ def differences(ours: DataFrame, theirs: DataFrame, layout: Layout = OWN_LAYOUT)
     block, offsets = layout
     compare.check_layout(block, offsets, ORDER)
     spark = ours.sparkSession
-    n_a, n_b = (x.select("ordinal").distinct().count() for x in (ours, theirs))
+    n_a, n_b = (x.agg(F.coalesce(F.max("ordinal") + 1, F.lit(0))).first()[0] for x in (ours, theirs))
     channels = n_a // len(ORDER)
     if not n_a and not n_b:
         return local(spark, [], FOUND)

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canloom.functions import bits
+from canloom.functions.shared import new_folder
 from canloom.functions.tables import local
 from canloom.model import SignalDef
-from canloom.operators import compare, convert, decode, sink, stats
+from canloom.operators import compare, compare_stats, convert, decode, sink, stats
 from canloom.operators import frames as fr
 from canloom.plans import frame_view as view
 from canloom.plans import queries as q
@@ -27,11 +26,13 @@ MS_PART = 250_000_000
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder where the session's shared files are (a temporary one where none is set, as in tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="canloom-")
-    made = Path(base.removeprefix("file://")) / "canloom" / f"logs-{uuid.uuid4().hex}"
-    made.mkdir(parents=True)
-    return str(made)
+    """A new local folder where the session's shared files are; logs are written and read by Python's files there."""
+    made = new_folder(spark, "logs")
+    if "://" in made and not made.startswith("file://"):
+        raise ValueError(f"logs are written as local files, and {made} is none")
+    path = Path(made.removeprefix("file://").removeprefix("file:"))
+    path.mkdir(parents=True)
+    return str(path)
 
 
 def log(spark: SparkSession, sf_dir: str) -> str:
@@ -136,6 +137,30 @@ def bus_stats_items(spark, sf_dir):
     return items.groupBy("channel", "k").agg(F.countDistinct("item_ordinal").alias("n_items"), F.sum(F.when(count, F.col("value"))).cast("long").alias("total"))
 
 
+_NAMES = "names AS (SELECT name, i FROM (VALUES " + ", ".join(f"('{n}', {i})" for i, n in enumerate(compare_stats.ORDER)) + ") t(name, i))"
+
+
+@query(
+    "compare_statistics",
+    sql("""SELECT 'shift' AS run, '1s' AS label, 'axis' AS kind, n || ' ' || n || ' prefix 50 other end' AS detail FROM size
+        UNION ALL SELECT 'shift', 'CAN2.' || name, 'points', CAST((SELECT count(*) FROM axis WHERE k % 7 = 0) AS VARCHAR) FROM names
+        UNION ALL SELECT 'gap', '1s', 'hole', n || ' ' || (n - 10) || ' prefix 100' FROM size
+        UNION ALL SELECT 'gap', 'CAN' || c || '.' || name, 'length', n || ' ' || (n - 10) FROM names, size, range(0, 16) t(c)""", *q._STATS, _NAMES, "size AS (SELECT count(*) AS n FROM axis)"),
+)
+def compare_statistics(spark, sf_dir):
+    """Statistics against another tool's blocks of 22 items: a shifted axis and changed values, then a gap that it leaves out."""
+    frames = view.frames(spark, sf_dir)
+    items = stats.items(stats.bus_statistics(frames, q.global_end(frames)))
+    layout = (22, {n: 21 - 2 * i for i, n in enumerate(compare_stats.ORDER)})
+    ours = items.select((F.col("channel") * 10 + F.col("item_ordinal")).alias("ordinal"), "item", "k", "t", "value")
+    other = items.select((F.col("channel") * 22 + 21 - 2 * F.col("item_ordinal")).alias("ordinal"), "item", "k", "t", "value", "channel")
+    k = F.col("k")
+    shifted = other.withColumn("t", F.when(k >= 50, F.col("t") + 0.25).otherwise(F.col("t"))).withColumn("value", F.when((F.col("channel") == 2) & (k % 7 == 0), F.col("value") + 1).otherwise(F.col("value")))
+    gap = other.where((k < 100) | (k >= 110)).withColumn("k", F.when(k >= 110, k - 10).otherwise(k))
+    found = [compare_stats.differences(ours, x.drop("channel"), layout).select(F.lit(n).alias("run"), "label", "kind", "detail") for n, x in (("shift", shifted), ("gap", gap))]
+    return found[0].unionByName(found[1])
+
+
 # decoding beyond the view's catalogs
 
 
