@@ -5,8 +5,14 @@
 
 Options: ``path`` (files, globs or folders, several parted by commas), ``mode`` = frames (default), channels (distinct
 channels alone) or file_info (start time, latest time, containers), ``channels`` = numbers parted by commas, and
-``onError`` = fail (default), skip, or row (file_info: a row with the column ``error`` for a log that can't be read). A file is a partition, as its objects can't be told apart from the middle; logs
-of a fleet are many files. ``frames``, ``file_info`` and ``list_channels`` also take paths of stores that only Spark opens. Equality and membership filters on ``channel`` are pushed down where
+``onError`` = fail (default), skip, or row (file_info: a row with the column ``error`` for a log that can't be read).
+
+A file is a partition. ``frames``, ``list_channels`` and conversions part a large log further (``split``): its containers are
+found by their headers alone, ranges of them are counted at the same time, and where one range leaves off is held to where the
+next began. So numbers of frames, containers, errors and objects across a seam are those of one reader from the start. The modes
+``index`` and ``survey`` are these two steps; the option ``ranges`` hands their result to the scan.
+
+``frames``, ``file_info`` and ``list_channels`` also take paths of stores that only Spark opens. Equality and membership filters on ``channel`` are pushed down where
 spark.sql.python.filterPushdown.enabled is set (``register`` does).
 """
 
@@ -14,8 +20,11 @@ from __future__ import annotations
 
 import glob
 import io
+import json
 import os
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field
+from itertools import pairwise
 from threading import Lock
 from typing import BinaryIO
 
@@ -24,13 +33,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from canloom import model
 from canloom.sources import blf_layout as L
 from canloom.sources import blf_read
+from canloom.sources.blf_read import Place, Range, Survey
 
 _LOCK = Lock()
-SCHEMAS = {"frames": model.FRAMES, "channels": model.CHANNELS, "file_info": model.FILE_INFO}
+_LONG, _INT, _STRING = T.LongType(), T.IntegerType(), T.StringType()
+_INDEX = T.StructType().add("file", _STRING).add("at", _LONG).add("first", _INT).add("stop", _LONG).add("before", _LONG)
+_SURVEY = (
+    T.StructType().add("file", _STRING).add("first", _INT).add("entry_at", _LONG).add("entry_skip", _LONG).add("frames", _LONG).add("containers", _INT)
+    .add("latest", _LONG).add("channels", T.ArrayType(_INT)).add("left_at", _LONG).add("left_skip", _LONG).add("error", _STRING)
+)
+SCHEMAS = {"frames": model.FRAMES, "channels": model.CHANNELS, "file_info": model.FILE_INFO, "index": _INDEX, "survey": _SURVEY}
+#: Bytes of a range: a core's share of the large logs, but between these two.
+SMALLEST, LARGEST = 4 << 20, 256 << 20
 
 
 def schema_of(options: dict) -> T.StructType:
@@ -57,9 +76,19 @@ def expand(path: str) -> list[str]:
 
 
 class FilePartition(InputPartition):
-    def __init__(self, path: str):
+    """A log, or a range of it."""
+
+    def __init__(self, path: str, part: Range | None = None):
         super().__init__(path)
-        self.path = path
+        self.path, self.part = path, part
+
+
+def packed(ranges: dict[str, list[Range]]) -> str:
+    return json.dumps({p: [list(r) for r in rs] for p, rs in ranges.items()})
+
+
+def unpacked(text: str) -> dict[str, list[Range]]:
+    return {p: [Range(*r)._replace(entry=r[4] and Place(*r[4])) for r in rs] for p, rs in json.loads(text).items()}
 
 
 class BlfReader(DataSourceReader):
@@ -73,12 +102,14 @@ class BlfReader(DataSourceReader):
             raise ValueError(f"onError {self.on_error!r} isn't known in mode {self.mode}")
         wanted = options.get("channels")
         self.channels = {int(x) for x in wanted.split(",")} if wanted else None
+        self.ranges = unpacked(options.get("ranges", "{}"))
+        self.each = int(options.get("splitbytes", options.get("splitBytes", SMALLEST)))
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
         for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("channel",) and self.mode != "file_info":
+            if isinstance(f, EqualTo) and f.attribute == ("channel",) and self.mode in ("frames", "channels"):
                 own = {f.value}
-            elif isinstance(f, In) and f.attribute == ("channel",) and self.mode != "file_info":
+            elif isinstance(f, In) and f.attribute == ("channel",) and self.mode in ("frames", "channels"):
                 own = set(f.value)
             else:
                 yield f
@@ -86,16 +117,16 @@ class BlfReader(DataSourceReader):
             self.channels = own if self.channels is None else self.channels & own
 
     def partitions(self) -> list[InputPartition]:
-        return [FilePartition(p) for p in self.paths]
+        return [FilePartition(p, r) for p in self.paths for r in self.ranges.get(p, [None])]
 
     def read(self, partition: FilePartition) -> Iterator[pa.RecordBatch]:
-        yield from self.tried(lambda: open(partition.path, "rb"), partition.path)  # closed by tried
+        yield from self.tried(lambda: open(partition.path, "rb"), partition.path, partition.part)  # closed by tried
 
-    def tried(self, opened: Callable[[], BinaryIO], path: str) -> Iterator[pa.RecordBatch]:
+    def tried(self, opened: Callable[[], BinaryIO], path: str, part: Range | None = None) -> Iterator[pa.RecordBatch]:
         """What the log gives, or what ``onError`` asks for."""
         try:
             with opened() as stream:
-                for batch in self.parsed(stream, path):
+                for batch in self.parsed(stream, path, part):
                     yield self._without_error(batch)
         except (OSError, ValueError, L.struct.error) as e:
             if self.on_error == "fail":
@@ -107,7 +138,7 @@ class BlfReader(DataSourceReader):
     def _without_error(self, batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.append_column("error", pa.nulls(batch.num_rows, pa.string())) if self.on_error == "row" else batch
 
-    def parsed(self, stream: BinaryIO, path: str) -> Iterator[pa.RecordBatch]:
+    def parsed(self, stream: BinaryIO, path: str, part: Range | None = None) -> Iterator[pa.RecordBatch]:
         if self.mode == "file_info":
             start, latest, n = blf_read.extent(stream)
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([start]), pa.array([L.ms_part(start)]), pa.array([latest]), pa.array([n], pa.int32())], model.FILE_INFO.names)
@@ -115,8 +146,15 @@ class BlfReader(DataSourceReader):
             seen = blf_read.channels(stream)
             own = sorted(seen if self.channels is None else seen & self.channels)
             yield pa.RecordBatch.from_arrays([pa.array([path] * len(own), pa.string()), pa.array(own, pa.int32())], model.CHANNELS.names)
+        elif self.mode == "index":
+            yield pa.RecordBatch.from_pylist([{"file": path, "at": r.at, "first": r.first, "stop": r.stop, "before": r.before} for r in blf_read.index(stream, self.each)], to_arrow_schema(_INDEX))
+        elif self.mode == "survey":
+            x = blf_read.survey(stream, part)
+            (entry_at, entry_skip), (left_at, left_skip) = x.range.entry or (None, None), x.left or (None, None)
+            row = {"file": path, "first": x.range.first, "entry_at": entry_at, "entry_skip": entry_skip, "frames": x.frames, "containers": x.containers, "latest": x.latest, "channels": sorted(x.channels), "left_at": left_at, "left_skip": left_skip, "error": x.error}
+            yield pa.RecordBatch.from_pylist([row], to_arrow_schema(_SURVEY))
         else:
-            for batch, _ in blf_read.batches(stream, path):
+            for batch, _ in blf_read.batches(stream, path, part):
                 if self.channels is not None:
                     batch = batch.filter(pa.array(np.isin(batch.column(3).to_numpy(), list(self.channels))))
                 if batch.num_rows:
@@ -163,8 +201,84 @@ def _load(spark: SparkSession, path: str | list[str], **options: str) -> DataFra
     return spark.read.format("blf").options(path=",".join(paths), **options).load()
 
 
-def frames(spark: SparkSession, path: str | list[str], channels: list[int] | None = None, on_error: str = "fail") -> DataFrame:
-    return _load(spark, path, onError=on_error, **({"channels": ",".join(map(str, channels))} if channels else {}))
+@dataclass
+class Split:
+    """Large logs by range, and what the survey says of those that have no fault."""
+
+    ranges: dict[str, list[Range]] = field(default_factory=dict)
+    latest: dict[str, int] = field(default_factory=dict)
+    channels: dict[str, set[int]] = field(default_factory=dict)
+
+
+def _scan(spark: SparkSession, paths: Iterable[str], **options: str) -> DataFrame:
+    return spark.read.format("blf").options(path=",".join(paths), **options).load()
+
+
+def _surveyed(spark: SparkSession, ranges: dict[str, list[Range]]) -> dict[tuple[str, int], Survey]:
+    """A survey by file and first container; a task takes one range."""
+    by = {(p, r.first): r for p, rs in ranges.items() for r in rs}
+    out = {}
+    for x in _scan(spark, ranges, mode="survey", ranges=packed(ranges)).collect():
+        entry, left = (None if at is None else Place(at, skip) for at, skip in ((x.entry_at, x.entry_skip), (x.left_at, x.left_skip)))
+        out[x.file, x.first] = Survey(by[x.file, x.first]._replace(entry=entry), x.frames, x.containers, x.latest, frozenset(x.channels), left, x.error)
+    return out
+
+
+def settled(ranges: dict[str, list[Range]], ask: Callable[[dict[str, list[Range]]], dict[tuple[str, int], Survey]]) -> Split:
+    """Ranges whose entries are right, by what ``ask`` surveys of them.
+
+    Ranges whose guessed entry isn't where the one before left off are surveyed again from there, all at once, until none is left;
+    each round settles one range of a log more at least. What follows a fault is no range any more: the range with the fault raises
+    it, or skips the rest, where it is read.
+    """
+    found = ask(ranges) if ranges else {}
+    while True:
+        again: dict[str, list[Range]] = {}
+        for p, rs in ranges.items():
+            for a, b in pairwise(found[p, r.first] for r in rs):
+                if a.left is not None and a.left != b.range.entry:
+                    again.setdefault(p, []).append(b.range._replace(entry=a.left))
+        if not again:
+            break
+        found |= ask(again)
+    out = Split()
+    for p, rs in ranges.items():
+        out.ranges[p], seq = [], 0
+        for s in (own := [found[p, r.first] for r in rs]):
+            out.ranges[p].append(s.range._replace(seq=seq))
+            seq += s.frames
+            if s.error is not None:
+                break
+        else:
+            out.latest[p], out.channels[p] = max(s.latest for s in own), set().union(*(s.channels for s in own))
+    return out
+
+
+def split(spark: SparkSession, path: str | list[str], each: int | None = None) -> Split:
+    """Ranges of the logs that are larger than ``each`` bytes (None: a core's share of all, between SMALLEST and LARGEST).
+
+    A row a range comes to the driver, as Spark's own readers keep a row a split.
+    """
+    paths = path.split(",") if isinstance(path, str) else list(path)
+    if any("://" in p and not p.strip().startswith("file://") for p in paths):
+        return Split()
+    sizes = {p: os.path.getsize(p) for p in expand(",".join(paths)) if os.path.isfile(p)}
+    each = each or min(max(SMALLEST, sum(sizes.values()) // spark.sparkContext.defaultParallelism), LARGEST)
+    large = [p for p, n in sizes.items() if n > each]
+    if not large:
+        return Split()
+    register(spark)
+    ranges: dict[str, list[Range]] = {}
+    for x in _scan(spark, large, mode="index", splitBytes=str(each), onError="skip").orderBy("file", "first").collect():
+        ranges.setdefault(x.file, []).append(Range(x.at, x.first, x.stop, x.before))
+    return settled({p: rs for p, rs in ranges.items() if len(rs) > 1}, lambda asked: _surveyed(spark, asked))
+
+
+def frames(spark: SparkSession, path: str | list[str], channels: list[int] | None = None, on_error: str = "fail", parts: Split | None = None) -> DataFrame:
+    """Frames of logs; ``parts`` is a split made before (None: made here)."""
+    parts = split(spark, path) if parts is None else parts
+    options = {"channels": ",".join(map(str, channels))} if channels else {}
+    return _load(spark, path, onError=on_error, **options, **({"ranges": packed(parts.ranges)} if parts.ranges else {}))
 
 
 def file_info(spark: SparkSession, path: str | list[str], on_error: str = "fail") -> DataFrame:
@@ -172,11 +286,20 @@ def file_info(spark: SparkSession, path: str | list[str], on_error: str = "fail"
 
 
 def list_channels(spark: SparkSession, path: str | list[str]) -> list[int]:
-    """Channels with frames, sorted; payloads and batches of frames aren't built."""
-    return [r.channel for r in _load(spark, path, mode="channels").select("channel").distinct().orderBy("channel").collect()]
+    """Channels with frames, sorted; frames aren't gathered, and large logs are read by ranges."""
+    parts = split(spark, path)
+    seen = set().union(*parts.channels.values())
+    left = path if not seen else [p for p in expand(path if isinstance(path, str) else ",".join(path)) if p not in parts.channels]
+    if left:
+        seen |= {r.channel for r in _load(spark, left, mode="channels").select("channel").distinct().collect()}
+    return sorted(seen)
+
+
+def read_start_ns(path: str) -> int:
+    with open(path, "rb") as stream:
+        return blf_read.start_ns(stream)[0]
 
 
 def read_start_time(path: str) -> float:
     """Start of the measurement in seconds since 1970, from the file header."""
-    with open(path, "rb") as stream:
-        return blf_read.start_ns(stream)[0] * 1e-9
+    return read_start_ns(path) * 1e-9

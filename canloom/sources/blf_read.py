@@ -2,15 +2,19 @@
 
 The chain of objects (each header tells where the next begins) is walked once; fields are then gathered for all
 objects of a type together. ``walk`` states the format object by object and is what tests hold ``parse`` to.
+
+A log may be read in ranges of containers. An object may begin in one range and end in the next, so a range has an
+``entry``: where the object begins that the containers before it left open. ``survey`` guesses the entry and tells
+where its own range leaves off; a guess is right if it is where the range before left off.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass
-from typing import BinaryIO
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
+from typing import BinaryIO, NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -44,31 +48,81 @@ def _error(what: str) -> L.LogError:
     return L.LogError(what)
 
 
-def containers(stream: BinaryIO) -> Iterator[bytes]:
-    """Bytes of each container; other objects and unknown methods are skipped."""
-    _, size = start_ns(stream)
-    stream.seek(size)
-    while True:
+class Place(NamedTuple):
+    """A byte of the containers' contents: the container by its offset in the file, and how many of its bytes come before."""
+
+    at: int
+    skip: int
+
+
+class Range(NamedTuple):
+    """Containers of a log from the one at ``at`` to before ``stop`` (None: to the end).
+
+    ``first`` is the number of the first container and ``before`` the offset of the one before it; ``seq`` numbers the first frame.
+    """
+
+    at: int
+    first: int = 0
+    stop: int | None = None
+    before: int | None = None
+    entry: Place | None = None
+    seq: int = 0
+
+
+def whole(stream: BinaryIO) -> Range:
+    stream.seek(0)
+    return Range(start_ns(stream)[1])
+
+
+def heads(stream: BinaryIO, at: int, stop: int | None = None) -> Iterator[tuple[int, int, int]]:
+    """(offset, size, type) of the outer objects from ``at`` on; the stream stands behind a header when it is given."""
+    while stop is None or at < stop:
+        stream.seek(at)
         head = stream.read(L.OBJECT.size)
         if not head:
             return
         signature, _, _, size, kind = L.OBJECT.unpack(head.ljust(L.OBJECT.size, b"\x00"))
         if signature != L.OBJECT_SIGNATURE:
             raise _error("object signature expected")
-        body = stream.read(size - L.OBJECT.size)
-        stream.read(size % 4)
+        if size < L.OBJECT.size:
+            raise _error(f"an object of {size} bytes")
+        yield at, size, kind
+        at += size + size % 4
+
+
+def located(stream: BinaryIO, at: int, stop: int | None = None) -> Iterator[tuple[int, bytes]]:
+    """Offset and bytes of each container; other objects and unknown methods are skipped."""
+    for offset, size, kind in heads(stream, at, stop):
         if kind != L.CONTAINER_TYPE:
             continue
+        body = stream.read(size - L.OBJECT.size)
         method, _ = L.CONTAINER.unpack_from(body)
         if method == L.STORED:
-            yield body[L.CONTAINER.size :]
+            yield offset, body[L.CONTAINER.size :]
         elif method == L.ZLIB:
             try:
-                yield zlib.decompress(body[L.CONTAINER.size :])
+                yield offset, zlib.decompress(body[L.CONTAINER.size :])
             except zlib.error as e:
                 raise _error(f"container of {size} bytes: {e}") from e
 
 
+def index(stream: BinaryIO, each: int) -> list[Range]:
+    """Ranges of about ``each`` bytes, from the headers alone. The last one goes to the end, and so meets what is broken."""
+    begin = whole(stream).at
+    out, before, n = [Range(begin)], None, 0
+    try:
+        for at, _, kind in heads(stream, begin):
+            if kind != L.CONTAINER_TYPE or L.CONTAINER.unpack(stream.read(L.CONTAINER.size))[0] not in (L.STORED, L.ZLIB):
+                continue
+            if before is not None and at - out[-1].at >= each:
+                out[-1] = out[-1]._replace(stop=at)
+                out.append(Range(at, n, None, before))
+            before, n = at, n + 1
+    except (L.LogError, struct.error):
+        pass  # whoever reads the last range says so
+    return out
+
+
 def chain(data: bytes) -> tuple[list[tuple[int, int, int, int, int]], int, str]:
     """Objects as (start, header size, version, size, type); where the rest begins; what ended the walk.
 
@@ -205,11 +259,38 @@ _BODIES = np.array([L.BODY[k] for k in sorted(L.BODY)], np.int64)
 _LENGTHS = np.array([L.dlc_length(i) for i in range(256)], np.int64)
 
 
-def parse(data: bytes, ms_part: int) -> tuple[Columns, bytes, int]:
-    """As ``walk``, gathered by type."""
+def _bytes_at(buf: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(len(at), np.int64)
+    for i in range(n - 1, -1, -1):
+        out = (out << 8) | buf[at + i]
+    return out
+
+
+@dataclass
+class Objects:
+    """Objects of a container: rows of ``chain_table``, where bodies begin, which have a time, which are frames; the unused tail."""
+
+    table: np.ndarray
+    body: np.ndarray
+    timed: np.ndarray
+    own: np.ndarray
+    tail: bytes
+    buf: np.ndarray
+
+    def times(self, part: int) -> np.ndarray:
+        begin = self.table[self.timed, 0]
+        rel, flags = _bytes_at(self.buf, begin + 24, 8), _bytes_at(self.buf, begin + 16, 4)
+        return part + np.where(flags == 1, rel * L.TEN_MICROSECONDS, rel)
+
+    def channels(self) -> np.ndarray:
+        """Channel of each frame: two bytes an object."""
+        b = self.body[self.own]
+        return np.where(self.table[self.own, 4] == L.CAN_FD_MESSAGE_64, self.buf[b].astype(np.int64), _bytes_at(self.buf, b, 2)) - 1
+
+
+def objects(data: bytes) -> Objects:
     table, rest, why = chain_table(data)
-    begin, header, version, size, kind = table.T
-    buf = np.frombuffer(data + b"\x00" * 8, np.uint8)
+    begin, _, version, size, kind = table.T
     known = (version == 1) | (version == 2)
     body = begin + np.where(version == 1, 32, 40)
     framed = np.isin(kind, _KINDS) & known
@@ -219,23 +300,26 @@ def parse(data: bytes, ms_part: int) -> tuple[Columns, bytes, int]:
     cut = int(broken[0]) if len(broken) else len(table)
     if len(short := np.flatnonzero(known & (body > len(data)))) and short[0] <= cut:
         raise struct.error("header cut short")
+    if len(broken):
+        rest = int(begin[cut - 1] + size[cut - 1]) if cut else 0
+    elif why == "lost":
+        raise _error("could not find next object")
+    timed = np.flatnonzero(known)
+    timed = timed[: np.searchsorted(timed, cut, "right")]
+    return Objects(table, body, timed, np.flatnonzero(framed[:cut]), data[rest:], np.frombuffer(data + b"\x00" * 8, np.uint8))
 
-    def bytes_at(at: np.ndarray, n: int) -> np.ndarray:
-        out = np.zeros(len(at), np.int64)
-        for i in range(n - 1, -1, -1):
-            out = (out << 8) | buf[at + i]
-        return out
-
-    timed = np.flatnonzero(known)[: np.searchsorted(np.flatnonzero(known), cut, "right")]
-    rel, flags = bytes_at(begin[timed] + 24, 8), bytes_at(begin[timed] + 16, 4)
-    ns = np.zeros(len(table), np.int64)
-    ns[timed] = ms_part + np.where(flags == 1, rel * L.TEN_MICROSECONDS, rel)
-    latest = max(0, int(ns[timed].max(initial=0)))
-    own = np.flatnonzero(framed[:cut])
-    b, k, n = body[own], kind[own], len(own)
+
+def parse(data: bytes, ms_part: int) -> tuple[Columns, bytes, int]:
+    """As ``walk``, gathered by type."""
+    o = objects(data)
+    own, buf, (_, header, _, size, kind) = o.own, o.buf, o.table.T
+    times = o.times(ms_part)
+    ns = np.zeros(len(o.table), np.int64)
+    ns[o.timed] = times
+    b, k, n = o.body[own], kind[own], len(own)
     classic, error, fd, fd64 = np.isin(k, (L.CAN_MESSAGE, L.CAN_MESSAGE2)), k == L.CAN_ERROR_EXT, k == L.CAN_FD_MESSAGE, k == L.CAN_FD_MESSAGE_64
     at = lambda o: buf[b + o].astype(np.int64)
-    raw_id = np.where(error, bytes_at(b + np.where(error, 16, 0), 4), bytes_at(b + 4, 4))
+    raw_id = np.where(error, _bytes_at(buf, b + np.where(error, 16, 0), 4), _bytes_at(buf, b + 4, 4))
     valid = np.where(fd64, at(2), at(14))
     code = np.where(fd64, at(1), at(3))
     plain = np.where(error, buf[b + np.where(error, 10, 0)], at(3))
@@ -245,9 +329,9 @@ def parse(data: bytes, ms_part: int) -> tuple[Columns, bytes, int]:
     where = b + np.select([classic, error, fd], [8, 24, 20], 40)
     stop = np.where(fd64, np.where(there >= 0, where + np.minimum(valid, there), len(data) + there), where + length)
     taken = np.clip(np.minimum(stop, len(data)) - where, 0, None)
-    flags64 = bytes_at(b + 12, 4)
+    flags64 = _bytes_at(buf, b + 12, 4)
     cols = Columns(
-        channel=np.where(fd64, at(0), bytes_at(b, 2)) - 1,
+        channel=o.channels(),
         abs_ns=ns[own],
         arb_id=raw_id & 0x1FFFFFFF,
         is_extended=(raw_id & L.EXTENDED) != 0,
@@ -260,12 +344,7 @@ def parse(data: bytes, ms_part: int) -> tuple[Columns, bytes, int]:
         taken=taken,
     )
     assert n == len(cols.dlc)
-    if len(broken):
-        first = int(begin[cut - 1] + size[cut - 1]) if cut else 0
-        return cols, data[first:], latest
-    if why == "lost":
-        raise _error("could not find next object")
-    return cols, data[rest:], latest
+    return cols, o.tail, max(0, int(times.max(initial=0)))
 
 
 def payloads(data: bytes, c: Columns) -> tuple[pa.Array, pa.Array]:
@@ -283,14 +362,31 @@ def payloads(data: bytes, c: Columns) -> tuple[pa.Array, pa.Array]:
     return binary, words
 
 
-def batches(stream: BinaryIO, name: str) -> Iterator[tuple[pa.RecordBatch, int]]:
-    """Frames of a log by container, with the latest time of its objects; a tail is carried to the next container."""
-    start, _ = start_ns(stream)
+def _walked(stream: BinaryIO, r: Range, read: Callable[[bytes], tuple]) -> Iterator[tuple[int, bytes, tuple, Place]]:
+    """(container, its bytes behind what was left open, what ``read`` makes of them, where that leaves off) by container.
+
+    The second item that ``read`` returns is the tail, which is carried to the next container.
+    """
+    held, tail = [], b""
+    if r.entry is not None:
+        opened = list(located(stream, r.entry.at, r.at))
+        held, tail = [(at, len(b)) for at, b in opened], b"".join(b for _, b in opened)[r.entry.skip :]
+    for i, (at, own) in enumerate(located(stream, r.at, r.stop), r.first):
+        held.append((at, len(own)))
+        data = tail + own
+        result = read(data)
+        tail = result[1]
+        while len(held) > 1 and len(tail) <= sum(n for _, n in held[1:]):
+            held.pop(0)
+        yield i, data, result, Place(held[0][0], sum(n for _, n in held) - len(tail))
+
+
+def batches(stream: BinaryIO, name: str, r: Range | None = None) -> Iterator[tuple[pa.RecordBatch, int]]:
+    """Frames of a log, or of a range of it, by container, with the latest time of its objects."""
+    r = r or whole(stream)
     stream.seek(0)
-    part, tail, seq = L.ms_part(start), b"", 0
-    for i, data in enumerate(containers(stream)):
-        data = tail + data
-        c, tail, latest = parse(data, part)
+    part, seq = L.ms_part(start_ns(stream)[0]), r.seq
+    for i, data, (c, _, latest), _ in _walked(stream, r, lambda data: parse(data, part)):
         n = len(c.dlc)
         binary, words = payloads(data, c)
         yield pa.RecordBatch.from_arrays(
@@ -303,22 +399,70 @@ def batches(stream: BinaryIO, name: str) -> Iterator[tuple[pa.RecordBatch, int]]
         seq += n
 
 
-def channels(stream: BinaryIO) -> set[int]:
-    """Channels of all frames; times and payloads aren't built into batches."""
-    part, tail, seen = L.ms_part(start_ns(stream)[0]), b"", set()
+@dataclass(frozen=True)
+class Survey:
+    """What a range holds, without payloads: ``left`` is where it leaves off, ``error`` what broke it."""
+
+    range: Range
+    frames: int = 0
+    containers: int = 0
+    latest: int = 0
+    channels: frozenset[int] = frozenset()
+    left: Place | None = None
+    error: str | None = None
+
+
+#: Signatures at which a guess starts; wrong guesses cost a second survey and change no result.
+GUESSES = 8
+
+
+def guess(stream: BinaryIO, before: int) -> Place | None:
+    """Where the container at ``before`` leaves off, told from its own bytes: by the longest chain from one of its first signatures."""
+    data = next(located(stream, before))[1]
+    best, at = None, -1
+    for _ in range(GUESSES):
+        if (at := data.find(L.OBJECT_SIGNATURE, at + 1)) < 0:
+            break
+        try:
+            o = objects(data[at:])
+        except (L.LogError, struct.error):
+            continue
+        if best is None or len(o.table) > best[0]:
+            best = len(o.table), len(data) - len(o.tail)
+    return best and Place(before, best[1])
+
+
+def survey(stream: BinaryIO, r: Range) -> Survey:
+    """Count a range; without an entry, one is guessed. What is broken ends it."""
     stream.seek(0)
-    for data in containers(stream):
-        c, tail, _ = parse(tail + data, part)
-        seen.update(np.unique(c.channel).tolist())
+    part = L.ms_part(start_ns(stream)[0])
+    found, seen = Survey(r), set()
+    try:
+        if r.entry is None and r.before is not None:
+            r = r._replace(entry=guess(stream, r.before))
+        found = Survey(r, left=r.entry)
+        for _, _, (o, _), left in _walked(stream, r, lambda data: (o := objects(data), o.tail)):
+            seen.update(np.unique(o.channels()).tolist())
+            latest = max(found.latest, int(o.times(part).max(initial=0)))
+            found = replace(found, frames=found.frames + len(o.own), containers=found.containers + 1, latest=latest, channels=frozenset(seen), left=left)
+    except (ValueError, struct.error) as e:
+        return replace(found, left=None, error=f"{type(e).__name__}: {e}")
+    return found
+
+
+def channels(stream: BinaryIO) -> set[int]:
+    """Channels of all frames: of each object, two bytes beside its header are read."""
+    seen = set()
+    for _, _, (o, _), _ in _walked(stream, whole(stream), lambda data: (o := objects(data), o.tail)):
+        seen.update(np.unique(o.channels()).tolist())
     return seen
 
 
 def extent(stream: BinaryIO) -> tuple[int, int, int]:
-    """(start in ns, latest time of any timed object, containers) of a log; payloads aren't built."""
-    start, _ = start_ns(stream)
+    """(start in ns, latest time of any timed object, containers) of a log; frames aren't gathered."""
+    r = whole(stream)
     stream.seek(0)
-    part, tail, n, latest = L.ms_part(start), b"", 0, 0
-    for data in containers(stream):
-        _, tail, at = parse(tail + data, part)
-        n, latest = n + 1, max(latest, at)
+    start, n, latest = start_ns(stream)[0], 0, 0
+    for _, _, (o, _), _ in _walked(stream, r, lambda data: (o := objects(data), o.tail)):
+        n, latest = n + 1, max(latest, int(o.times(L.ms_part(start)).max(initial=0)))
     return start, latest, n

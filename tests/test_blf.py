@@ -133,3 +133,105 @@ def test_remote_paths(spark, tmp_path):
     away = blf._remote(spark, [str(tmp_path)], {}).drop("file").collect()
     assert own == away and len(own) == 2
     assert [r.channel for r in blf._remote(spark, [str(tmp_path)], {"mode": "channels"}).collect()] == [1, 3]
+
+
+def in_parts(whole, each=1):
+    """Rows of a log read in ranges of ``each`` bytes, and whether the split knows its end."""
+    ranges = {"x": blf_read.index(io.BytesIO(whole), each)}
+    surveys = []
+
+    def ask(asked):
+        surveys.append(asked)
+        return {("x", r.first): blf_read.survey(io.BytesIO(whole), r) for r in asked["x"]}
+
+    parts = blf.unpacked(blf.packed(blf.settled(ranges, ask).ranges))
+    found = blf.settled(ranges, ask)
+    assert parts == found.ranges
+    rows = []
+    for r in parts["x"]:
+        rows += taken(whole, r)
+    return rows, found, surveys
+
+
+def taken(whole, r=None):
+    """Rows in order; the error that ends them is the last."""
+    rows = []
+    try:
+        for batch, _ in blf_read.batches(io.BytesIO(whole), "x", r):
+            rows += batch.to_pylist()
+    except (ValueError, struct.error) as e:
+        rows.append(type(e))
+    return rows
+
+
+def containers_of(data, cuts):
+    at = sorted({0, len(data), *(c % (len(data) + 1) for c in cuts)})
+    return [data[a:b] for a, b in zip(at, at[1:])]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(makers, max_size=11), st.lists(st.integers(0, 2000), max_size=8), st.integers(1, 400), st.sampled_from([b"", b"", b"\x01" * 20]))
+def test_ranges_are_the_log(objects, cuts, each, junk):
+    """Objects cut anywhere, also over several containers, in ranges of any size; with objects that aren't containers between."""
+    parts = containers_of(b"".join(objects) + junk, cuts)
+    log = f.log(*(f.container(x, blf_layout.STORED) for x in parts[:1]), f.obj(65, b"outer"), *(f.container(x) for x in parts[1:]))
+    want = taken(log)
+    rows, found, _ = in_parts(log, each)
+    assert rows == want
+    if not (want and isinstance(want[-1], type)):
+        start, latest, n = blf_read.extent(io.BytesIO(log))
+        assert found.latest["x"] == latest and found.channels["x"] == blf_read.channels(io.BytesIO(log)) == {r["channel"] for r in want}
+
+
+def test_a_seam_at_every_byte():
+    """Two seams a byte apart, at all places of a chain of all kinds of objects."""
+    data = f.can(1, 5, b"LOBJabcd", 7) + f.fd(2, 6, b"LOBJ" * 16, 8) + f.error(3, 7, b"ab", 9) + f.can(4, 8, b"x" * 8, 10)
+    want = None
+    for at in range(len(data)):
+        log = f.log(f.container(data[:at]), f.container(data[at : at + 1]), f.container(data[at + 1 :]))
+        rows, _, _ = in_parts(log)
+        own = [{k: v for k, v in r.items() if k != "container"} for r in rows]
+        want = want or own
+        assert rows == taken(log) and own == want and len(rows) == 4
+
+
+def test_wrong_guesses_are_found():
+    """Payloads that look like objects mislead a guess; the survey is then made again, and most often it isn't needed."""
+    false = f.can(9, 9, b"")[:16] + b"\x00" * 48
+    data = b"".join(f.fd(i % 3, 7, false, i) for i in range(60))
+    logs = [f.log(*(f.container(x) for x in containers_of(data, range(17, len(data), step)))) for step in (150, 1000)]
+    rounds = [in_parts(log)[2] for log in logs]
+    assert all(in_parts(log)[0] == taken(log) for log in logs) and max(map(len, rounds)) > 2
+    plain = b"".join(f.can(i % 3, 7, b"abc", i) for i in range(500))
+    log = f.log(*(f.container(x) for x in containers_of(plain, range(17, len(plain), 900))))
+    rows, _, surveys = in_parts(log)
+    assert rows == taken(log) and len(surveys) == 2  # one for each of two calls
+
+
+def test_split_source(spark, tmp_path):
+    data = b"".join(f.can(i % 5, 100 + i % 7, bytes([i % 256] * 8), 1000 * i) for i in range(4000)) + f.obj(65, b"later", 10**10)
+    path = f.write(tmp_path / "long.blf", *(f.container(x) for x in containers_of(data, range(999, len(data), 1000))))
+    small = two_channels(tmp_path / "small.blf")
+    parts = blf.split(spark, str(tmp_path), 4000)
+    assert len(parts.ranges[path]) > 5 and small not in parts.ranges and parts.latest == {path: 10_250_000_000}
+    df = blf.frames(spark, str(tmp_path), parts=parts)
+    assert df.rdd.getNumPartitions() == len(parts.ranges[path]) + 1
+    order = ["file", "seq"]
+    whole = blf.frames(spark, str(tmp_path), parts=blf.Split())
+    assert df.orderBy(order).collect() == whole.orderBy(order).collect()
+    assert df.where("channel = 3").count() == 800 and blf.frames(spark, path, [3], parts=parts).count() == 800
+    assert blf.list_channels(spark, str(tmp_path)) == [0, 1, 2, 3, 4]
+
+
+def test_split_of_a_broken_log(spark, tmp_path):
+    """The fault is raised where it is, and what comes before it is kept by ``skip``, as by one reader."""
+    data = [b"".join(f.can(i % 5, 7, b"ab", i) for i in range(j, j + 50)) for j in range(0, 1000, 50)]
+    boxes = [f.container(x) for x in data]
+    boxes[12] = boxes[12][:40] + bytes(len(boxes[12]) - 40)
+    path = f.write(tmp_path / "a.blf", *boxes)
+    parts = blf.split(spark, path, 600)
+    assert parts.ranges[path][-1].first <= 12 and not parts.latest
+    with pytest.raises(Exception, match="container of"):
+        blf.frames(spark, path, parts=parts).count()
+    assert blf.frames(spark, path, on_error="skip", parts=parts).count() == 600
+    assert blf.frames(spark, path, on_error="skip", parts=blf.Split()).count() == 600
