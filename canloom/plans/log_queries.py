@@ -1,10 +1,16 @@
-"""Queries that go through a log file: the frame view written as a log, read by the source, converted and read back."""
+"""Queries that go through log files: the frame view written as logs by tasks, read by the source, converted and read back."""
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Iterator
+from dataclasses import replace
+from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canloom.functions import bits
@@ -19,107 +25,181 @@ from canloom.plans.frame_view import sql
 from canloom.plans.registry import query
 from canloom.sources import blf, blf_write, dbc
 from canloom.sources.blf_read import Frame
+from canloom.sources.resolver import Candidate, resolve
 
-#: 2026-07-22 10:00:00.250 as SYSTEMTIME.
-START = (2026, 7, 3, 22, 10, 0, 0, 250)
-MS_PART = 250_000_000
+#: Frames of a log, and bytes of its containers, which cut objects anywhere.
+LOG_FRAMES, CONTAINER = 5_000, 16_384
+#: Every so many frames, an object that is no frame follows, LATER behind it in time; three bytes of nothing follow others.
+MARK, LATER, GAP = 97, 5_000_000, 89
+#: A log starts at 2026-07-22 10:00:00.250, and as many minutes later as its number says, up to ten hours.
+MS_PART, MINUTES = 250_000_000, 600
 
 
 def folder(spark: SparkSession) -> str:
-    """A new local folder where the session's shared files are; logs are written and read by Python's files there."""
+    """A new folder where the session's shared files are; logs are written and read by Python's files there."""
     made = new_folder(spark, "logs")
     if "://" in made and not made.startswith("file://"):
-        raise ValueError(f"logs are written as local files, and {made} is none")
+        raise ValueError(f"logs are written as files of the system, and {made} is none")
     path = Path(made.removeprefix("file://").removeprefix("file:"))
     path.mkdir(parents=True)
     return str(path)
 
 
-def log(spark: SparkSession, sf_dir: str) -> str:
-    """The frame view as a log, streamed through the driver row by row: a log is one file."""
-    rows = view.frames(spark, sf_dir).orderBy("seq").select("channel", "abs_ns", "arb_id", "is_extended", "is_fd", "is_remote", "is_error", "data_len", "w0").toLocalIterator(True)
-    path = f"{folder(spark)}/view.blf"
-    with open(path, "wb") as stream:
-        blf_write.write(stream, (Frame(r.channel, r.abs_ns, r.arb_id, r.is_extended, r.is_fd, r.data_len, r.w0.to_bytes(8, "little")[: r.data_len], r.is_remote, r.is_error) for r in rows), START)
+def _write_log(path: str, table: pa.Table) -> None:
+    """One log; the name is taken when it is whole, so that a task may run again."""
+    number = table.column("log")[0].as_py()
+
+    def objects() -> Iterator[Frame | bytes]:
+        for r in table.sort_by("seq").to_pylist():
+            yield Frame(r["channel"], r["abs_ns"], r["arb_id"], r["is_extended"], r["is_fd"], r["data_len"], r["w0"].to_bytes(8, "little")[: r["data_len"]], r["is_remote"], r["is_error"])
+            if r["seq"] % MARK == 0:
+                yield blf_write.obj(65, r["abs_ns"] + LATER, b"LOBJmark")
+            if r["seq"] % GAP == 0:
+                yield bytes(3)
+
+    minute = number % MINUTES
+    part = f"{path}/{uuid.uuid4().hex}.part"
+    with open(part, "wb") as stream:
+        blf_write.write(stream, objects(), (2026, 7, 3, 22, 10 + minute // 60, minute % 60, 0, 250), CONTAINER)
+    os.replace(part, f"{path}/view-{number:06d}.blf")
+
+
+def logs(spark: SparkSession, sf_dir: str) -> str:
+    """The frame view as a folder of logs, each written by a task; a log is a bounded run of frames."""
+    path = folder(spark)
+    rows = view.frames(spark, sf_dir).select(F.expr(f"seq div {LOG_FRAMES}").alias("log"), "seq", "channel", "abs_ns", "arb_id", "is_extended", "is_fd", "is_remote", "is_error", "data_len", "w0")
+
+    def write(table: pa.Table) -> pa.Table:
+        _write_log(path, table)
+        return pa.table({"log": table.column("log")[:1]})
+
+    rows.groupBy("log").applyInArrow(write, "log long").write.format("noop").mode("overwrite").save()
     return path
 
 
-# the log's frames: numbered in order, later by the start's milliseconds; error frames are neither FD nor remote
-_LOGGED = f"logged AS (SELECT row_number() OVER (ORDER BY seq) - 1 AS seq, channel, abs_ns + {MS_PART} AS abs_ns, arb_id, is_extended, is_fd AND NOT is_error AS is_fd, is_remote AND NOT is_error AS is_remote, is_error, data_len, w0 FROM frames)"
+def _log() -> Column:
+    """A log's number, from its name."""
+    return F.regexp_extract("file", r"view-(\d+)\.blf", 1).cast("long").alias("log")
+
+
+def _seq() -> Column:
+    return (_log() * LOG_FRAMES + F.col("seq")).alias("seq")
+
+
+
+# the logs' frames: numbered in order, later by the start's milliseconds; error frames are neither FD nor remote
+_LOGGED = f"""logged AS (SELECT seq // {LOG_FRAMES} AS log, seq // {LOG_FRAMES} * {LOG_FRAMES} + row_number() OVER (PARTITION BY seq // {LOG_FRAMES} ORDER BY seq) - 1 AS seq, seq % {MARK} = 0 AS marked, seq % {GAP} = 0 AS gap,
+             channel, abs_ns + {MS_PART} AS abs_ns, arb_id, is_extended, is_fd AND NOT is_error AS is_fd, is_remote AND NOT is_error AS is_remote, is_error, data_len, w0 FROM frames)"""
 
 
-@query("log_frames", sql("SELECT * FROM logged", _LOGGED))
+@query("log_frames", sql("SELECT seq, channel, abs_ns, arb_id, is_extended, is_fd, is_remote, is_error, data_len, w0 FROM logged", _LOGGED))
 def log_frames(spark, sf_dir):
-    return blf.frames(spark, log(spark, sf_dir)).select("seq", "channel", "abs_ns", "arb_id", "is_extended", "is_fd", "is_remote", "is_error", "data_len", F.element_at("words", 1).alias("w0"))
+    return blf.frames(spark, logs(spark, sf_dir)).select(_seq(), "channel", "abs_ns", "arb_id", "is_extended", "is_fd", "is_remote", "is_error", "data_len", F.element_at("words", 1).alias("w0"))
+
+
+@query("log_ranges", sql("SELECT seq, channel, abs_ns, arb_id, is_error, data_len, w0 FROM logged", _LOGGED))
+def log_ranges(spark, sf_dir):
+    """Each log read by several tasks, in ranges of a few containers; objects lie across the seams."""
+    path = logs(spark, sf_dir)
+    frames = blf.frames(spark, path, parts=blf.split(spark, path, 2 * CONTAINER // 3))
+    return frames.select(_seq(), "channel", "abs_ns", "arb_id", "is_error", "data_len", F.element_at("words", 1).alias("w0"))
 
 
 @query("log_payloads", sql("SELECT seq, data_len, substr(hex(w0_hex), 1, 2 * data_len) AS payload FROM (SELECT seq, data_len, unhex(string_agg(lpad(upper(to_hex((w0 >> (8 * i)) & 255)), 2, '0'), '' ORDER BY i)) AS w0_hex FROM logged, range(0, 8) t(i) GROUP BY seq, data_len)", _LOGGED))
 def log_payloads(spark, sf_dir):
-    return blf.frames(spark, log(spark, sf_dir)).select("seq", "data_len", F.hex("data").alias("payload"))
+    return blf.frames(spark, logs(spark, sf_dir)).select(_seq(), "data_len", F.hex("data").alias("payload"))
 
 
 @query("log_channels", sql("SELECT DISTINCT channel FROM frames"))
 def log_channels(spark, sf_dir):
-    return local(spark, [(c,) for c in blf.list_channels(spark, log(spark, sf_dir))], "channel int")
+    return local(spark, [(c,) for c in blf.list_channels(spark, logs(spark, sf_dir))], "channel int")
 
 
 @query("log_channel_filter", sql("SELECT channel, count(*) AS n_frames, max(abs_ns) AS last_ns FROM logged WHERE channel IN (1, 3, 7) GROUP BY channel", _LOGGED))
 def log_channel_filter(spark, sf_dir):
-    return blf.frames(spark, log(spark, sf_dir), channels=[1, 3, 7]).groupBy("channel").agg(F.count("*").alias("n_frames"), F.max("abs_ns").alias("last_ns"))
+    return blf.frames(spark, logs(spark, sf_dir), channels=[1, 3, 7]).groupBy("channel").agg(F.count("*").alias("n_frames"), F.max("abs_ns").alias("last_ns"))
 
 
 @query("log_pushed_filter", sql("SELECT seq, arb_id FROM logged WHERE channel = 5", _LOGGED))
 def log_pushed_filter(spark, sf_dir):
-    return blf.frames(spark, log(spark, sf_dir)).where("channel = 5").select("seq", "arb_id")
+    return blf.frames(spark, logs(spark, sf_dir)).where("channel = 5").select(_seq(), "arb_id")
+
+
+_STARTED = f"epoch_us(TIMESTAMP '2026-07-22 10:00:00.25' + to_minutes(CAST(log % {MINUTES} AS INTEGER)))"
+_SIZE = "CASE WHEN is_error THEN 64 WHEN is_fd THEN 116 ELSE 48 END + CASE WHEN marked THEN 40 ELSE 0 END + CASE WHEN gap THEN 3 ELSE 0 END"
 
 
 @query(
     "log_file_info",
-    sql(f"SELECT epoch_us(TIMESTAMP '2026-07-22 10:00:00.25') * 1000 AS start_ns, CAST({MS_PART} AS BIGINT) AS ms_part_ns, max(abs_ns) AS max_obj_ns, CAST(ceil(count(*) / {blf_write.EACH}.0) AS INTEGER) AS n_containers FROM logged", _LOGGED),
+    sql(
+        f"SELECT log, {_STARTED} * 1000 AS start_ns, CAST({MS_PART} AS BIGINT) AS ms_part_ns, max(abs_ns + CASE WHEN marked THEN {LATER} ELSE 0 END) AS max_obj_ns, CAST(ceil(sum({_SIZE}) / {CONTAINER}.0) AS INTEGER) AS n_containers FROM logged GROUP BY log",
+        _LOGGED,
+    ),
 )
 def log_file_info(spark, sf_dir):
-    return blf.file_info(spark, log(spark, sf_dir)).drop("file")
+    return blf.file_info(spark, logs(spark, sf_dir)).select(_log(), "start_ns", "ms_part_ns", "max_obj_ns", "n_containers")
 
 
-@query("log_start_time", "SELECT CAST(epoch_us(TIMESTAMP '2026-07-22 10:00:00.25') AS DOUBLE) / 1e6 AS start_s")
+@query("log_start_time", sql(f"SELECT DISTINCT log, CAST({_STARTED} AS DOUBLE) / 1e6 AS start_s FROM logged", _LOGGED))
 def log_start_time(spark, sf_dir):
-    return local(spark, [(blf.read_start_time(log(spark, sf_dir)),)], "start_s double")
+    """From the headers alone, each read by a task."""
+    return blf.start_times(spark, logs(spark, sf_dir)).select(_log(), "start_s")
 
 
 @query("log_remote_store", sql("SELECT channel, count(*) AS n_frames, sum(w0 & 65535) AS low FROM logged GROUP BY channel", _LOGGED))
 def log_remote_store(spark, sf_dir):
-    """The same log by the way of stores that only Spark's readers open."""
+    """The same logs by the way of stores that only Spark's readers open."""
     low = F.element_at("words", 1).bitwiseAND(F.lit(65535).cast("long"))
-    return blf._remote(spark, [str(Path(log(spark, sf_dir)).parent)], {}).groupBy("channel").agg(F.count("*").alias("n_frames"), F.sum(low).alias("low"))
+    return blf._remote(spark, [logs(spark, sf_dir)], {}).groupBy("channel").agg(F.count("*").alias("n_frames"), F.sum(low).alias("low"))
 
 
-def _converted(spark: SparkSession, sf_dir: str, raw: bool = False) -> tuple[convert.ConversionResult, str]:
+def _converted(spark: SparkSession, candidates: list[Candidate]) -> list[convert.ConversionResult]:
+    """Logs of the view converted as a batch."""
     by = {c.path: c for c in view.catalogs()}
     bound = {c: by[(view.PATH_A, view.PATH_B)[c % 2]] if c < view.BOUND else None for c in range(16)}
-    path = log(spark, sf_dir)
-    out = str(Path(path).with_suffix(".out"))
-    return convert.convert(spark, path, bound, out, raw_export=raw), out
+    result = convert.run_batch(spark, candidates, bound)
+    if not result.all_succeeded:
+        raise ValueError(result.failures[0].error)
+    return [o.result for o in result.outcomes]
+
+
+def _all(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
 
 
 @query("log_converted_samples", sql("SELECT signal_name AS signal, count(*) AS n, min(phys) AS low, max(phys) AS high FROM long WHERE message_name <> 'PURCHASE' GROUP BY signal_name", q._SIGNAL_VALUES))
 def log_converted_samples(spark, sf_dir):
-    """From the log to the sink and back; of the multiplexed message, a group has rows for inactive signals too."""
-    _, out = _converted(spark, sf_dir)
-    return sink.read_samples(spark, out).where(~F.col("signal").isin("Mode", "A", "B", "C", "Always")).groupBy("signal").agg(F.count("value").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    """From the logs to the sink and back; of the multiplexed message, a group has rows for inactive signals too."""
+    found = resolve([logs(spark, sf_dir)])
+    _converted(spark, found)
+    samples = _all([sink.read_samples(spark, str(c.output)) for c in found])
+    return samples.where(~F.col("signal").isin("Mode", "A", "B", "C", "Always")).groupBy("signal").agg(F.count("value").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
 
 
-@query("log_converted_summary", sql("SELECT channel, count(*) FILTER (WHERE valid AND routed) AS decoded_frames, count(*) FILTER (WHERE NOT (valid AND routed)) AS unknown_frames FROM (SELECT *, message_name IS NULL OR message_name <> 'PURCHASE' OR (w0 >> 16) & 3 < 2 AS routed FROM classified) GROUP BY channel"))
+@query(
+    "log_converted_summary",
+    sql(f"SELECT seq // {LOG_FRAMES} AS log, channel, count(*) FILTER (WHERE valid AND routed) AS decoded_frames, count(*) FILTER (WHERE NOT (valid AND routed)) AS unknown_frames FROM (SELECT *, message_name IS NULL OR message_name <> 'PURCHASE' OR (w0 >> 16) & 3 < 2 AS routed FROM classified) GROUP BY ALL"),
+)
 def log_converted_summary(spark, sf_dir):
-    result, _ = _converted(spark, sf_dir)
-    return local(spark, [(r["channel"], r["decoded_frames"], r["unknown_frames"]) for r in result.summaries if r["bound"]], "channel int, decoded_frames long, unknown_frames long")
+    results = _converted(spark, resolve([logs(spark, sf_dir)]))
+    return local(spark, [(i, r["channel"], r["decoded_frames"], r["unknown_frames"]) for i, x in enumerate(results) for r in x.summaries if r["bound"]], "log long, channel int, decoded_frames long, unknown_frames long")
 
 
-@query("log_converted_twice", "SELECT 'no difference' AS verdict")
+@query("log_converted_twice", sql(f"SELECT seq // {LOG_FRAMES} AS log, count(*) FILTER (WHERE valid AND (message_name <> 'PURCHASE' OR (w0 >> 16) & 3 < 2)) AS decoded_frames, 'no difference' AS verdict FROM classified GROUP BY log"))
 def log_converted_twice(spark, sf_dir):
-    """Two conversions of one log don't differ in any dimension; of another log they do."""
-    (_, a), (_, b) = _converted(spark, sf_dir), _converted(spark, sf_dir)
-    n = convert.differences(spark, a, b).unionByName(convert.differences(spark, a, b, exact=False)).agg(F.count("*").alias("n"))
-    return n.select(F.when(F.col("n") == 0, "no difference").otherwise("differs").alias("verdict"))
+    """Two conversions of each log don't differ in any dimension."""
+    path = logs(spark, sf_dir)
+    first = resolve([path])
+    again = [replace(c, output=c.output.with_name(f"again-{c.output.name}")) for c in first]
+    results = _converted(spark, first)
+    _converted(spark, again)
+    rows = []
+    for i, (a, b) in enumerate(zip(first, again)):
+        pair = str(a.output), str(b.output)
+        n = _all([convert.differences(spark, *pair, exact=e) for e in (True, False)]).agg(F.count("*").alias("n"))
+        decoded = sum(r["decoded_frames"] for r in results[i].summaries)
+        rows.append(n.select(F.lit(i).cast("long").alias("log"), F.lit(decoded).cast("long").alias("decoded_frames"), F.when(F.col("n") == 0, "no difference").otherwise("differs").alias("verdict")))
+    return _all(rows)
 
 
 _ITEM = "CASE class WHEN 'Std' THEN 0 WHEN 'Ext' THEN 1 WHEN 'StdRemote' THEN 2 WHEN 'ExtRemote' THEN 3 ELSE 4 END"

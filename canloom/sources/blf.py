@@ -42,12 +42,13 @@ from canloom.sources.blf_read import Place, Range, Survey
 
 _LOCK = Lock()
 _LONG, _INT, _STRING = T.LongType(), T.IntegerType(), T.StringType()
+_START = T.StructType().add("file", _STRING).add("start_s", T.DoubleType())
 _INDEX = T.StructType().add("file", _STRING).add("at", _LONG).add("first", _INT).add("stop", _LONG).add("before", _LONG)
 _SURVEY = (
     T.StructType().add("file", _STRING).add("first", _INT).add("entry_at", _LONG).add("entry_skip", _LONG).add("frames", _LONG).add("containers", _INT)
     .add("latest", _LONG).add("channels", T.ArrayType(_INT)).add("left_at", _LONG).add("left_skip", _LONG).add("error", _STRING)
 )
-SCHEMAS = {"frames": model.FRAMES, "channels": model.CHANNELS, "file_info": model.FILE_INFO, "index": _INDEX, "survey": _SURVEY}
+SCHEMAS = {"frames": model.FRAMES, "channels": model.CHANNELS, "file_info": model.FILE_INFO, "index": _INDEX, "survey": _SURVEY, "start": _START}
 #: Bytes of a range: a core's share of the large logs, but between these two.
 SMALLEST, LARGEST = 4 << 20, 256 << 20
 
@@ -146,6 +147,8 @@ class BlfReader(DataSourceReader):
             seen = blf_read.channels(stream)
             own = sorted(seen if self.channels is None else seen & self.channels)
             yield pa.RecordBatch.from_arrays([pa.array([path] * len(own), pa.string()), pa.array(own, pa.int32())], model.CHANNELS.names)
+        elif self.mode == "start":
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([blf_read.start_ns(stream)[0] * 1e-9])], _START.names)
         elif self.mode == "index":
             yield pa.RecordBatch.from_pylist([{"file": path, "at": r.at, "first": r.first, "stop": r.stop, "before": r.before} for r in blf_read.index(stream, self.each)], to_arrow_schema(_INDEX))
         elif self.mode == "survey":
@@ -285,6 +288,11 @@ def file_info(spark: SparkSession, path: str | list[str], on_error: str = "fail"
     return _load(spark, path, mode="file_info", onError=on_error)
 
 
+def start_times(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Start of each log in seconds since 1970, from the file headers."""
+    return _load(spark, path, mode="start")
+
+
 def list_channels(spark: SparkSession, path: str | list[str]) -> list[int]:
     """Channels with frames, sorted; frames aren't gathered, and large logs are read by ranges."""
     parts = split(spark, path)

@@ -1,4 +1,4 @@
-"""Logs of frames, for tests, samples and benches: one file, containers of ``EACH`` objects, times in nanoseconds."""
+"""Logs of frames, for tests, samples and benches: one file, times in nanoseconds."""
 
 from __future__ import annotations
 
@@ -31,21 +31,40 @@ def _container(objects: list[bytes]) -> bytes:
     return L.OBJECT.pack(L.OBJECT_SIGNATURE, L.OBJECT.size, 1, size, L.CONTAINER_TYPE) + body + bytes(size % 4)
 
 
-def write(stream: BinaryIO, frames: Iterable[Frame], start: tuple[int, ...]) -> int:
-    """Write frames in order; ``start`` is a SYSTEMTIME, and abs_ns counts from its millisecond. The number of containers."""
+def obj(kind: int, abs_ns: int, body: bytes) -> bytes:
+    head = L.HEADER[1]
+    return L.OBJECT.pack(L.OBJECT_SIGNATURE, head, 1, head + len(body), kind) + L.TIMED.pack(2, 0, 0, abs_ns) + body
+
+
+def write(stream: BinaryIO, frames: Iterable[Frame | bytes], start: tuple[int, ...], size: int | None = None) -> int:
+    """Write frames, and objects as bytes, in order; the number of containers.
+
+    ``start`` is a SYSTEMTIME, and abs_ns counts from its millisecond. A container holds EACH objects, or ``size`` bytes, as loggers
+    cut them: then an object may begin in one and end in the next.
+    """
     stream.write(bytes(L.FILE_HEADER_SIZE))
-    held, containers = [], 0
+    held, length, containers = [], 0, 0
     for x in frames:
-        kind, body = _body(x)
-        head = L.HEADER[1]
-        held.append(L.OBJECT.pack(L.OBJECT_SIGNATURE, head, 1, head + len(body), kind) + L.TIMED.pack(2, 0, 0, x.abs_ns) + body)
-        if len(held) == EACH:
+        if not isinstance(x, bytes):
+            kind, body = _body(x)
+            x = obj(kind, x.abs_ns, body)
+        held.append(x)
+        length += len(x)
+        if size is None and len(held) == EACH:
             stream.write(_container(held))
             held, containers = [], containers + 1
+        elif size is not None and length >= size:
+            plain = b"".join(held)
+            length %= size
+            full = len(plain) - length
+            for at in range(0, full, size):
+                stream.write(_container([plain[at : at + size]]))
+                containers += 1
+            held = [plain[full:]] if length else []
     if held:
         stream.write(_container(held))
         containers += 1
-    size = stream.tell()
+    end = stream.tell()
     stream.seek(0)
-    stream.write(L.FILE_HEADER.pack(L.FILE_SIGNATURE, L.FILE_HEADER_SIZE, *[0] * 8, size, 0, 0, 0, *start, *start))
+    stream.write(L.FILE_HEADER.pack(L.FILE_SIGNATURE, L.FILE_HEADER_SIZE, *[0] * 8, end, 0, 0, 0, *start, *start))
     return containers
