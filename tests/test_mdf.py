@@ -52,7 +52,7 @@ def test_blocks_are_linked_and_aligned():
     assert at == len(data) and n > 20
 
 
-def test_export(spark, tmp_path):
+def test_export(spark, tmp_path, monkeypatch):
     src = rich(tmp_path / "a.blf")
     c = dbc.parse(ABC, str(tmp_path / "ABC.dbc"))
     folder = str(tmp_path / "m")
@@ -68,6 +68,13 @@ def test_export(spark, tmp_path):
     assert by["Raw::CAN4"].channels[2].samples.tolist() == [[0xEE, 0xFF]]
     assert [g.channels[0].name for g in groups[4:14]][:2] == ["StdData", "StdDataRate"] and len(groups[4].times) == 6
     before = out.read_bytes()
+    monkeypatch.setattr(export, "STRETCH", 1)  # a block for each record, also of groups of signals
+    export.write_mdf(spark, folder, str(tmp_path / "parts.mdf"))
+    data = (tmp_path / "parts.mdf").read_bytes()
+    assert data.count(b"##DL") > 160 > before.count(b"##DL")
+    for a, b in zip(groups, mdf.read(data)[1], strict=True):
+        assert a.name == b.name and a.times.tolist() == b.times.tolist() and len(a.channels) == len(b.channels)
+        assert all(x.name == y.name and x.samples.tobytes() == y.samples.tobytes() for x, y in zip(a.channels, b.channels))
     with pytest.raises(Exception):
         export.write_mdf(spark, str(tmp_path / "gone"), str(out))
     with pytest.raises(Exception):
