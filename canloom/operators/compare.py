@@ -150,15 +150,15 @@ def axis_steps(axis: DataFrame) -> DataFrame:
     return steps.select("series", "k", "step", verdict.alias("verdict"))
 
 
-def axis_contract(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """One row: n_ours, n_theirs, the common prefix, whether the ends agree, bad steps of ours, and the verdict.
+def axis_contract(ours: DataFrame, theirs: DataFrame, *keys: str) -> DataFrame:
+    """One row (for each of ``keys``): n_ours, n_theirs, the common prefix, whether the ends agree, bad steps of ours, and the verdict.
 
     Axes of one length must agree at every point (equal); otherwise a prefix of 2 points, the end, and our own steps must
     be right (hole), else broken. axis tables have k and t.
     """
-    both = ours.select("k", F.col("t").alias("a")).join(theirs.select("k", F.col("t").alias("b")), "k", "full_outer")
+    both = ours.select(*keys, "k", F.col("t").alias("a")).join(theirs.select(*keys, "k", F.col("t").alias("b")), [*keys, "k"], "full_outer")
     differs = F.col("a").isNotNull() & F.col("b").isNotNull() & (F.abs(F.col("a") - F.col("b")) > STEP_TOLERANCE)
-    facts = both.agg(
+    facts = both.groupBy(*keys).agg(
         F.count("a").alias("n_ours"),
         F.count("b").alias("n_theirs"),
         F.min(F.when(differs, F.col("k"))).alias("_first"),
@@ -166,13 +166,18 @@ def axis_contract(ours: DataFrame, theirs: DataFrame) -> DataFrame:
         F.max_by("b", F.when(F.col("b").isNotNull(), F.col("k"))).alias("_end_b"),
         F.min_by("a", F.when(F.col("a").isNotNull(), F.col("k"))).alias("_start"),
     )
-    bad = axis_steps(ours.withColumn("series", F.lit(0))).agg(F.count_if(F.col("verdict") != "ok").alias("bad_steps"))
-    out = facts.crossJoin(F.broadcast(bad))  # one row by one row
+    steps = axis_steps(ours.withColumn("series", F.struct(*keys) if keys else F.lit(0)))
+    wrong = F.count_if(F.col("verdict") != "ok").alias("bad_steps")
+    if keys:
+        bad = steps.groupBy("series").agg(wrong).select(*(F.col(f"series.{x}").alias(x) for x in keys), "bad_steps")
+        out = facts.join(bad, list(keys), "left").withColumn("bad_steps", F.coalesce("bad_steps", F.lit(0).cast("long")))
+    else:
+        out = facts.crossJoin(F.broadcast(steps.agg(wrong)))  # one row by one row
     prefix = F.coalesce(F.col("_first").cast("long"), F.least("n_ours", "n_theirs"))
     ends = F.abs(F.col("_end_a") - F.col("_end_b")) <= STEP_TOLERANCE
     right = (prefix >= 2) & ends & (F.col("_start") == 0) & (F.col("bad_steps") == 0)
     verdict = F.when((F.col("n_ours") == F.col("n_theirs")) & F.col("_first").isNull(), "equal").when((F.col("n_ours") != F.col("n_theirs")) & right, "hole").otherwise("broken")
-    return out.select("n_ours", "n_theirs", prefix.alias("prefix"), ends.alias("same_end"), "bad_steps", verdict.alias("verdict"))
+    return out.select(*keys, "n_ours", "n_theirs", prefix.alias("prefix"), ends.alias("same_end"), "bad_steps", verdict.alias("verdict"))
 
 
 def stats_by_layout(ours: DataFrame, theirs: DataFrame, block: int, offsets: dict[str, int], tolerance: float = 1e-9) -> DataFrame:

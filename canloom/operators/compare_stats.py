@@ -7,14 +7,14 @@ tool's, whose ``layout`` says how many it has for a channel, and where ours are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from canloom.functions.tables import local
 from canloom.operators import compare
 from canloom.operators.frames import small
-from canloom.operators.stats import ITEMS
+from canloom.operators.stats import ITEMS, items
 
 #: Our items of a channel, in order.
 ORDER = [name for pair in ITEMS.values() for name in pair]
@@ -38,6 +38,12 @@ def of_folder(spark: SparkSession, folder: str) -> DataFrame:
     return own.select((F.col("channel") * len(ORDER) + F.col("item_ordinal")).alias("ordinal"), "item", "k", "t", "value")
 
 
+def of_fleet(spark: SparkSession, folder: str) -> DataFrame:
+    """``of_folder`` of a fleet, with the column log."""
+    own = items(spark.read.parquet(f"{folder}/stats"), "log")
+    return own.select("log", (F.col("channel") * len(ORDER) + F.col("item_ordinal")).alias("ordinal"), "item", "k", "t", "value")
+
+
 def differences(ours: DataFrame, theirs: DataFrame, layout: Layout = OWN_LAYOUT) -> DataFrame:
     """label, kind and detail of what differs.
 
@@ -62,12 +68,46 @@ def differences(ours: DataFrame, theirs: DataFrame, layout: Layout = OWN_LAYOUT)
     order = named.where("item <> name").select(label.alias("label"), F.lit("order").alias("kind"), F.col("item").alias("detail"))
     first = lambda x, at: x.where(F.col("ordinal") == at).select("k", "t")
     contract = compare.axis_contract(first(ours, 0), first(theirs, offsets[ORDER[0]]))
-    said = F.concat_ws(" ", F.col("n_ours").cast("string"), F.col("n_theirs").cast("string"), F.concat(F.lit("prefix "), F.col("prefix").cast("string")), F.when(~F.coalesce("same_end", F.lit(False)), "other end"), F.when(F.col("bad_steps") > 0, F.concat(F.col("bad_steps").cast("string"), F.lit(" bad steps"))))
-    axis = contract.where("verdict <> 'equal'").select(F.lit("1s").alias("label"), F.when(F.col("verdict") == "hole", "hole").otherwise("axis").alias("kind"), said.alias("detail"))
+    axis = contract.where("verdict <> 'equal'").select(F.lit("1s").alias("label"), F.when(F.col("verdict") == "hole", "hole").otherwise("axis").alias("kind"), _said().alias("detail"))
     here = ours.join(F.broadcast(places), F.col("ordinal") == F.col("here")).select("there", "k", F.col("value").alias("a"), F.lit(1).alias("in_a"))
     other = theirs.select(F.col("ordinal").alias("there"), "k", F.col("value").alias("b"), F.lit(1).alias("in_b"))
     both = here.join(other, ["there", "k"], "full_outer")
-    bad = F.col("in_a").isNotNull() & F.col("in_b").isNotNull() & ~F.coalesce(compare.close(F.col("a"), F.col("b"), 1e-9, 0.0), F.lit(False))
-    met = both.groupBy("there").agg(F.count("in_a").alias("n_a"), F.count("in_b").alias("n_b"), F.count_if(bad).alias("n_bad")).join(F.broadcast(places), "there")
-    points = met.where("n_a <> n_b or n_bad > 0").select(label.alias("label"), F.when(F.col("n_a") != F.col("n_b"), "length").otherwise("points").alias("kind"), F.when(F.col("n_a") != F.col("n_b"), F.concat_ws(" ", F.col("n_a").cast("string"), F.col("n_b").cast("string"))).otherwise(F.col("n_bad").cast("string")).alias("detail"))
+    met = _points(both, "there").join(F.broadcast(places), "there")
+    points = met.where("n_a <> n_b or n_bad > 0").select(label.alias("label"), *_point_rows())
     return order.unionByName(axis).unionByName(points)
+
+
+def fleet_differences(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """``differences`` of two fleets in our layout, each log by itself: log, label, kind, detail. Tables carry the column log."""
+    n = len(ORDER)
+    last = lambda x, c: x.groupBy("log").agg((F.max("ordinal") + 1).alias(c))
+    sizes = last(ours, "n_a").join(last(theirs, "n_b"), "log", "full_outer").select("log", F.coalesce("n_a", F.lit(0)).alias("n_a"), F.coalesce("n_b", F.lit(0)).alias("n_b"))
+    whole = (F.col("n_a") > 0) & (F.col("n_a") % n == 0) & (F.col("n_b") >= F.col("n_a"))
+    groups = sizes.where(~whole).select("log", F.lit("1s").alias("label"), F.lit("groups").alias("kind"), F.concat_ws(" ", F.col("n_a").cast("string"), F.col("n_b").cast("string")).alias("detail"))
+    right = small(sizes.where(whole).select("log", "n_a"))
+    ours, theirs = (x.join(right, "log").where(F.col("ordinal") < F.col("n_a")) for x in (ours, theirs))
+    name = lambda o: F.element_at(F.array(*map(F.lit, ORDER)), (o % n + 1).cast("int"))
+    label = F.concat(F.lit("CAN"), F.floor(F.col("ordinal") / n).cast("string"), F.lit("."), name(F.col("ordinal")))
+    order = ours.select("log", "ordinal", "item").distinct().where(F.col("item") != name(F.col("ordinal"))).select("log", label.alias("label"), F.lit("order").alias("kind"), F.col("item").alias("detail"))
+    first = lambda x: x.where("ordinal = 0").select("log", "k", "t")
+    contract = compare.axis_contract(first(ours), first(theirs), "log")
+    axis = contract.where("verdict <> 'equal'").select("log", F.lit("1s").alias("label"), F.when(F.col("verdict") == "hole", "hole").otherwise("axis").alias("kind"), _said().alias("detail"))
+    both = ours.select("log", "ordinal", "k", F.col("value").alias("a"), F.lit(1).alias("in_a")).join(theirs.select("log", "ordinal", "k", F.col("value").alias("b"), F.lit(1).alias("in_b")), ["log", "ordinal", "k"], "full_outer")
+    met = _points(both, "log", "ordinal").where("n_a <> n_b or n_bad > 0")
+    return groups.unionByName(order).unionByName(axis).unionByName(met.select("log", label.alias("label"), *_point_rows()))
+
+
+def _said() -> Column:
+    """What an axis contract found, as text."""
+    return F.concat_ws(" ", F.col("n_ours").cast("string"), F.col("n_theirs").cast("string"), F.concat(F.lit("prefix "), F.col("prefix").cast("string")), F.when(~F.coalesce("same_end", F.lit(False)), "other end"), F.when(F.col("bad_steps") > 0, F.concat(F.col("bad_steps").cast("string"), F.lit(" bad steps"))))
+
+
+def _points(both: DataFrame, *keys: str) -> DataFrame:
+    """Points of each side and points that differ, of both(a, b, in_a, in_b)."""
+    bad = F.col("in_a").isNotNull() & F.col("in_b").isNotNull() & ~F.coalesce(compare.close(F.col("a"), F.col("b"), 1e-9, 0.0), F.lit(False))
+    return both.groupBy(*keys).agg(F.count("in_a").alias("n_a"), F.count("in_b").alias("n_b"), F.count_if(bad).alias("n_bad"))
+
+
+def _point_rows() -> list[Column]:
+    other = F.col("n_a") != F.col("n_b")
+    return [F.when(other, "length").otherwise("points").alias("kind"), F.when(other, F.concat_ws(" ", F.col("n_a").cast("string"), F.col("n_b").cast("string"))).otherwise(F.col("n_bad").cast("string")).alias("detail")]

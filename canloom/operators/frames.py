@@ -42,10 +42,12 @@ def labelled(frames: DataFrame, bindings: DataFrame, messages: DataFrame) -> Dat
     return classify(frames, bindings, messages).unionByName(unbound.withColumn("found", F.lit(False)).withColumn("valid", F.lit(False)), allowMissingColumns=True)
 
 
-def series(labelled: DataFrame) -> DataFrame:
+def series(labelled: DataFrame, *keys: str) -> DataFrame:
     """What a conversion must know of its frames before it decodes them: for each channel, id and validity the number,
-    the first and last, the largest deviation from the millisecond grid, and the longest payload. A few rows for each id."""
-    return labelled.groupBy("channel", "dbc", "arb_norm", "arb_id", "message_name", "valid").agg(
+    the first and last, the largest deviation from the millisecond grid, and the longest payload. A few rows for each id.
+
+    Of a fleet of logs, here and in what follows from series: with a key, for each log by itself."""
+    return labelled.groupBy(*keys, "channel", "dbc", "arb_norm", "arb_id", "message_name", "valid").agg(
         F.count("*").alias("n_frames"),
         F.min("seq").alias("first_seq"),
         F.max("seq").alias("last_seq"),
@@ -56,9 +58,9 @@ def series(labelled: DataFrame) -> DataFrame:
     )
 
 
-def series_groups(found: DataFrame) -> DataFrame:
+def series_groups(found: DataFrame, *keys: str) -> DataFrame:
     """``buckets`` from series, with the catalog and whether all times of the group lie on the millisecond grid."""
-    by = found.where("valid").groupBy("channel", "arb_norm", "message_name", "dbc").agg(
+    by = found.where("valid").groupBy(*keys, "channel", "arb_norm", "message_name", "dbc").agg(
         F.sum("n_frames").alias("n_frames"),
         F.min("first_seq").alias("first_seq"),
         F.min_by("arb_id", "first_seq").alias("first_arb_id"),
@@ -66,7 +68,7 @@ def series_groups(found: DataFrame) -> DataFrame:
         F.max_by("last_ts", "last_seq").alias("last_ts"),
         (F.max("off") <= TOLERANCE_MS).alias("on_grid"),
     )
-    return by.withColumn("series_order", F.row_number().over(Window.partitionBy("channel").orderBy("first_seq")))
+    return by.withColumn("series_order", F.row_number().over(Window.partitionBy(*keys, "channel").orderBy("first_seq")))
 
 
 def exported_series(found: DataFrame, bindings: DataFrame, messages: DataFrame) -> DataFrame:
@@ -78,18 +80,23 @@ def exported_series(found: DataFrame, bindings: DataFrame, messages: DataFrame)
     return own.join(ids, "arb_norm", "left").withColumn("exported", F.coalesce("_known", F.lit(False))).drop("_known")
 
 
-def series_summary(found: DataFrame, bindings: DataFrame, signal_counts: DataFrame, raw: DataFrame | None = None) -> DataFrame:
-    """``ingest_summary`` from series; ``raw`` are exported_series."""
+def series_summary(found: DataFrame, bindings: DataFrame, signal_counts: DataFrame, raw: DataFrame | None = None, logs: DataFrame | None = None) -> DataFrame:
+    """``ingest_summary`` from series; ``raw`` are exported_series. Of a fleet, for each of logs(log) and channel."""
+    keys = [] if logs is None else ["log"]
+    by = [*keys, "channel"]
     total = lambda c, n: F.coalesce(F.sum(F.when(c, F.col("n_frames"))), F.lit(0)).alias(n)
     ids = lambda c, n: F.countDistinct(F.when(c, F.col("arb_id"))).alias(n)
     valid = F.col("valid")
-    counts = found.where("dbc is not null").groupBy("channel").agg(total(valid, "decoded_frames"), total(~valid, "unknown_frames"), ids(~valid, "unknown_ids"))
-    emitted = found.where("valid").select("channel", "dbc", "arb_norm").distinct().join(small(signal_counts), ["dbc", "arb_norm"]).groupBy("channel").agg(F.sum("n_signals").alias("signal_count"))
+    counts = found.where("dbc is not null").groupBy(*by).agg(total(valid, "decoded_frames"), total(~valid, "unknown_frames"), ids(~valid, "unknown_ids"))
+    emitted = found.where("valid").select(*by, "dbc", "arb_norm").distinct().join(small(signal_counts), ["dbc", "arb_norm"]).groupBy(*by).agg(F.sum("n_signals").alias("signal_count"))
     own = raw if raw is not None else found.where("false").withColumn("exported", F.lit(True))
-    lost = own.groupBy("channel").agg(total(F.col("exported"), "raw_frames"), total(~F.col("exported"), "_lost"), ids(~F.col("exported"), "_ids"))
-    rows = bindings.select("channel", F.col("dbc").isNotNull().alias("bound")).join(counts, "channel", "left").join(emitted, "channel", "left").join(lost, "channel", "left")
+    lost = own.groupBy(*by).agg(total(F.col("exported"), "raw_frames"), total(~F.col("exported"), "_lost"), ids(~F.col("exported"), "_ids"))
+    rows = bindings.select("channel", F.col("dbc").isNotNull().alias("bound"))
+    if logs is not None:  # a few channels for each log
+        rows = logs.select("log").crossJoin(small(rows))
+    rows = rows.join(counts, by, "left").join(emitted, by, "left").join(lost, by, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    out = rows.select("channel", "bound", zero("decoded_frames").alias("decoded_frames"), zero("signal_count").alias("signal_count"), (zero("unknown_frames") + zero("_lost")).alias("unknown_frames"), (zero("unknown_ids") + zero("_ids")).alias("unknown_ids"), zero("raw_frames").alias("raw_frames"))
+    out = rows.select(*by, "bound", zero("decoded_frames").alias("decoded_frames"), zero("signal_count").alias("signal_count"), (zero("unknown_frames") + zero("_lost")).alias("unknown_frames"), (zero("unknown_ids") + zero("_ids")).alias("unknown_ids"), zero("raw_frames").alias("raw_frames"))
     return out.withColumn("warning", F.when(F.col("bound") & (F.col("signal_count") == 0), "NO_FRAMES").when(~F.col("bound") & (F.col("unknown_frames") > 0) & (F.col("raw_frames") == 0), "NO_MATCH"))
 
 

@@ -8,6 +8,9 @@
     summary/      the accounting of each channel
     manifest.json start time, groups in order, versions
 
+A fleet of logs has one such folder (``FleetMeasurement``), whose tables carry the column log, with the tables logs and groups
+in place of the manifest: neither plans nor files multiply with the number of logs.
+
 All is written to a folder beside the target and moved into place at the end. If anything fails, that folder and parent
 folders made for it go, and a measurement that was there stays as it was.
 """
@@ -182,6 +185,51 @@ class Measurement:
         Folder(self.spark, f"{self.folder}/_series").delete()
 
 
+class FleetMeasurement:
+    """The tables of the measurements of many logs in the making, in one plan each: frames(log, ...), logs(log, file, start_ns, max_obj_ns).
+
+    What ``Measurement`` gathers about a log on the driver, its groups, stays a table here."""
+
+    def __init__(self, folder: str, frames: DataFrame, logs: DataFrame, bindings: DataFrame, catalogs: list[Catalog]):
+        self.spark, self.folder, self.frames, self.logs, self.bindings, self.catalogs = frames.sparkSession, folder, frames, logs, bindings, catalogs
+        self.messages, self.plan = dbc.messages_table(self.spark, catalogs), decode.plan_table(self.spark, catalogs)
+        self.labelled = fr.labelled(frames, bindings, self.messages)
+        muxed = any(m.selector for c in catalogs for m in c.messages.values())
+        self.series = self._written(fr.series(decode.routed_frames(self.labelled, self.plan) if muxed else self.labelled, "log"), "_series")
+        named = fr.group_names(fr.series_groups(self.series, "log"), "log")
+        ordinal = (F.row_number().over(Window.partitionBy("log").orderBy("channel", "series_order")) - 1).alias("group_ordinal")
+        self.groups = self._written(named.select("log", ordinal, "group_name", "channel", "arb_norm", "message_name", "dbc", "n_frames", "first_ts", "last_ts", "on_grid"), "groups")
+
+    def _put(self, df: DataFrame, name: str, *by: str) -> None:
+        df.write.option("compression", "zstd").partitionBy(*by).parquet(f"{self.folder}/{name}")
+
+    def _written(self, df: DataFrame, name: str) -> DataFrame:
+        self._put(df, name)
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def samples(self) -> None:
+        own = self.groups.select("log", "group_ordinal", "group_name", "channel", "arb_norm", "on_grid")
+        decoded = decode.long(self.labelled, self.plan, "log", routed=True).join(fr.small(own), ["log", "channel", "arb_norm"])
+        ts = F.when(F.col("on_grid"), timegrid.on_grid(F.col("ts"))).otherwise(F.col("ts"))
+        self._put(decoded.select("log", "group_ordinal", "group_name", "channel", F.col("signal_name").alias("signal"), "ordinal", "seq", ts.alias("ts"), "bits", F.col("phys").alias("value"), "active"), "samples", "channel")
+
+    def describe(self) -> None:
+        rows = [(c.path, m.arb_norm, s.name, i, s.unit, s.ref_dtype, s.spark_type.simpleString(), s.kind, s.scale, s.offset, s.choices or None) for c in self.catalogs for m in c.messages.values() for i, s in enumerate(m.signals)]
+        signals = local(self.spark, rows, "dbc string, arb_norm long, " + CHANNEL_COLUMNS.split("channel int, ", 1)[1])
+        own = self.groups.select("log", "group_ordinal", "group_name", "channel", "dbc", "arb_norm").join(fr.small(signals), ["dbc", "arb_norm"])
+        self._put(own.drop("dbc", "arb_norm"), "channels")
+        self._put(decode.conversions(dbc.signals_table(self.spark, self.catalogs)), "conversions")
+
+    def summary(self) -> None:
+        sizes = local(self.spark, [(c.path, m.arb_norm, len(m.signals)) for c in self.catalogs for m in c.messages.values()], "dbc string, arb_norm long, n_signals long")
+        self._put(fr.series_summary(self.series, self.bindings, sizes, logs=self.logs), "summary")
+
+    def statistics(self) -> None:
+        ends = self.logs.select(F.col("log").alias("file"), timegrid.to_seconds(F.col("max_obj_ns")).alias("global_end"))
+        made = stats.fleet_statistics(self.frames.drop("file").withColumnRenamed("log", "file"), ends).withColumnRenamed("file", "log")
+        self._put(made, "stats")
+
+
 def together(spark: SparkSession, work: list[Callable[[], None]]) -> None:
     """Independent jobs over the same frames; threads keep the caller's job tags."""
     with ThreadPoolExecutor(len(work)) as pool:
@@ -232,6 +280,30 @@ def read_samples(spark: SparkSession, folder: str, places: bool = False) -> Data
     return placed(out, ["group_ordinal", "signal"]) if places else out
 
 
+#: Parts the number of a log from a name within it.
+PART = "\x1e"
+
+
+def of_log(df: DataFrame) -> DataFrame:
+    """A fleet's table as one measurement's: groups and signals of each log have names and numbers of their own, so that what
+    compares two measurements compares each log of two fleets by itself."""
+    within = lambda c: F.concat(F.col("log").cast("string"), F.lit(PART), c).alias(c)
+    number = (F.shiftleft(F.col("log").cast("long"), 32) + F.col("group_ordinal")).alias("group_ordinal")
+    return df.select(number, within("group_name"), within("signal"), *(c for c in df.columns if c not in ("log", "group_ordinal", "group_name", "signal")))
+
+
+def read_fleet_samples(spark: SparkSession, folder: str) -> DataFrame:
+    """``read_samples`` of a fleet, with the column log."""
+    dtypes = fr.small(spark.read.parquet(f"{folder}/channels").select("log", "group_ordinal", "signal", "dtype"))
+    own = spark.read.parquet(f"{folder}/samples").join(dtypes, ["log", "group_ordinal", "signal"])
+    return own.select("log", "group_ordinal", "group_name", "signal", "seq", "ts", "value", F.lit(None).cast("string").alias("text"), "dtype")
+
+
+def read_fleet_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    own = spark.read.parquet(f"{folder}/channels")
+    return own.select("log", "group_ordinal", "group_name", "signal", "position", "unit", "dtype", F.to_json(F.struct("kind", "scale", "offset", "choices")).alias("conversion"))
+
+
 def read_metadata(spark: SparkSession, folder: str) -> DataFrame:
     own = spark.read.parquet(f"{folder}/channels")
     out = own.select("group_ordinal", "group_name", "signal", "position", "unit", "dtype", F.to_json(F.struct("kind", "scale", "offset", "choices")).alias("conversion"))

@@ -86,14 +86,14 @@ def fleet_statistics(frames: DataFrame, ends: DataFrame) -> DataFrame:
     return out.withColumn("rate", F.when(last, F.coalesce(F.lag("_rate").over(w), F.lit(0.0))).otherwise(F.col("_rate"))).where("last is not null").select("file", "channel", "class", "k", "t", "count", "rate")
 
 
-def items(statistics: DataFrame) -> DataFrame:
-    """Statistics as exported: channel, item_ordinal, item, k, t, value; channel by channel, ten items each."""
+def items(statistics: DataFrame, *keys: str) -> DataFrame:
+    """Statistics as exported: channel, item_ordinal, item, k, t, value; channel by channel, ten items each. ``keys`` are kept."""
     order = [name for pair in ITEMS.values() for name in pair]
     named = F.create_map(*(x for c, (a, b) in ITEMS.items() for x in (F.lit(c), F.struct(F.lit(a).alias("count"), F.lit(b).alias("rate")))))
     names = named[F.col("class")]
     both = F.array(F.struct(names["count"].alias("item"), F.col("count").cast("double").alias("value")), F.struct(names["rate"].alias("item"), F.col("rate").alias("value")))
-    rows = statistics.select("channel", "k", "t", F.explode(both).alias("x"))
-    return rows.select("channel", (F.array_position(F.array(*map(F.lit, order)), F.col("x.item")) - 1).cast("int").alias("item_ordinal"), F.col("x.item").alias("item"), "k", "t", F.col("x.value").alias("value"))
+    rows = statistics.select(*keys, "channel", "k", "t", F.explode(both).alias("x"))
+    return rows.select(*keys, "channel", (F.array_position(F.array(*map(F.lit, order)), F.col("x.item")) - 1).cast("int").alias("item_ordinal"), F.col("x.item").alias("item"), "k", "t", F.col("x.value").alias("value"))
 
 
 def min_send_distance(frames: DataFrame) -> DataFrame:

@@ -5,8 +5,6 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
-from dataclasses import replace
-from functools import reduce
 from pathlib import Path
 
 import pyarrow as pa
@@ -153,26 +151,22 @@ def log_remote_store(spark, sf_dir):
     return blf._remote(spark, [logs(spark, sf_dir)], {}).groupBy("channel").agg(F.count("*").alias("n_frames"), F.sum(low).alias("low"))
 
 
-def _converted(spark: SparkSession, candidates: list[Candidate]) -> list[convert.ConversionResult]:
-    """Logs of the view converted as a batch."""
+def _converted(spark: SparkSession, candidates: list[Candidate], out: str) -> DataFrame:
+    """Logs of the view converted together into the folder ``out``; their numbers (the log's own) by their places."""
     by = {c.path: c for c in view.catalogs()}
     bound = {c: by[(view.PATH_A, view.PATH_B)[c % 2]] if c < view.BOUND else None for c in range(16)}
-    result = convert.run_batch(spark, candidates, bound)
-    if not result.all_succeeded:
-        raise ValueError(result.failures[0].error)
-    return [o.result for o in result.outcomes]
-
-
-def _all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+    done = convert.run_fleet(spark, candidates, bound, out)
+    if failed := done.where("error is not null").select("error").first():
+        raise ValueError(failed.error)
+    return done.select(F.col("log").alias("place"), _log())
 
 
 @query("log_converted_samples", sql("SELECT signal_name AS signal, count(*) AS n, min(phys) AS low, max(phys) AS high FROM long WHERE message_name <> 'PURCHASE' GROUP BY signal_name", q._SIGNAL_VALUES))
 def log_converted_samples(spark, sf_dir):
     """From the logs to the sink and back; of the multiplexed message, a group has rows for inactive signals too."""
-    found = resolve([logs(spark, sf_dir)])
-    _converted(spark, found)
-    samples = _all([sink.read_samples(spark, str(c.output)) for c in found])
+    path = logs(spark, sf_dir)
+    _converted(spark, resolve([path]), f"{path}_t")
+    samples = sink.read_fleet_samples(spark, f"{path}_t")
     return samples.where(~F.col("signal").isin("Mode", "A", "B", "C", "Always")).groupBy("signal").agg(F.count("value").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
 
 
@@ -181,25 +175,23 @@ def log_converted_samples(spark, sf_dir):
     sql(f"SELECT seq // {LOG_FRAMES} AS log, channel, count(*) FILTER (WHERE valid AND routed) AS decoded_frames, count(*) FILTER (WHERE NOT (valid AND routed)) AS unknown_frames FROM (SELECT *, message_name IS NULL OR message_name <> 'PURCHASE' OR (w0 >> 16) & 3 < 2 AS routed FROM classified) GROUP BY ALL"),
 )
 def log_converted_summary(spark, sf_dir):
-    results = _converted(spark, resolve([logs(spark, sf_dir)]))
-    return local(spark, [(i, r["channel"], r["decoded_frames"], r["unknown_frames"]) for i, x in enumerate(results) for r in x.summaries if r["bound"]], "log long, channel int, decoded_frames long, unknown_frames long")
+    path = logs(spark, sf_dir)
+    done = _converted(spark, resolve([path]), f"{path}_t")
+    summary = spark.read.parquet(f"{path}_t/summary").where("bound").withColumnRenamed("log", "place")
+    return summary.join(done, "place").select("log", "channel", "decoded_frames", "unknown_frames")
 
 
 @query("log_converted_twice", sql(f"SELECT seq // {LOG_FRAMES} AS log, count(*) FILTER (WHERE valid AND (message_name <> 'PURCHASE' OR (w0 >> 16) & 3 < 2)) AS decoded_frames, 'no difference' AS verdict FROM classified GROUP BY log"))
 def log_converted_twice(spark, sf_dir):
     """Two conversions of each log don't differ in any dimension."""
     path = logs(spark, sf_dir)
-    first = resolve([path])
-    again = [replace(c, output=c.output.with_name(f"again-{c.output.name}")) for c in first]
-    results = _converted(spark, first)
-    _converted(spark, again)
-    rows = []
-    for i, (a, b) in enumerate(zip(first, again)):
-        pair = str(a.output), str(b.output)
-        n = _all([convert.differences(spark, *pair, exact=e) for e in (True, False)]).agg(F.count("*").alias("n"))
-        decoded = sum(r["decoded_frames"] for r in results[i].summaries)
-        rows.append(n.select(F.lit(i).cast("long").alias("log"), F.lit(decoded).cast("long").alias("decoded_frames"), F.when(F.col("n") == 0, "no difference").otherwise("differs").alias("verdict")))
-    return _all(rows)
+    pair = f"{path}_t", f"{path}_again"
+    done = [_converted(spark, resolve([path]), p) for p in pair][0]
+    found = [convert.fleet_differences(spark, *pair, exact=e).select(F.col("log").alias("place")) for e in (True, False)]
+    differs = found[0].unionByName(found[1]).groupBy("place").agg(F.count("*").alias("n"))
+    decoded = spark.read.parquet(f"{pair[0]}/summary").groupBy(F.col("log").alias("place")).agg(F.sum("decoded_frames").alias("decoded_frames"))
+    verdict = F.when(F.col("n").isNull(), "no difference").otherwise("differs").alias("verdict")
+    return done.join(decoded, "place").join(differs, "place", "left").select("log", "decoded_frames", verdict)
 
 
 _ITEM = "CASE class WHEN 'Std' THEN 0 WHEN 'Ext' THEN 1 WHEN 'StdRemote' THEN 2 WHEN 'ExtRemote' THEN 3 ELSE 4 END"
