@@ -7,7 +7,7 @@ Options: ``path`` (files, globs or folders, several parted by commas), ``mode``
 channels alone) or file_info (start time, latest time, containers), ``channels`` = numbers parted by commas, and
 ``onError`` = fail (default), skip, or row (file_info: a row with the column ``error`` for a log that can't be read).
 
-A file is a partition. ``frames``, ``list_channels`` and conversions part a large log further (``split``): its containers are
+A file is a partition, or several small ones are (``tasks``: pieces are packed into no fewer partitions). ``frames``, ``list_channels`` and conversions part a large log further (``split``): its containers are
 found by their headers alone, ranges of them are counted at the same time, and where one range leaves off is held to where the
 next began. So numbers of frames, containers, errors and objects across a seam are those of one reader from the start. The modes
 ``index`` and ``survey`` are these two steps; the option ``ranges`` hands their result to the scan.
@@ -51,6 +51,8 @@ _SURVEY = (
 SCHEMAS = {"frames": model.FRAMES, "channels": model.CHANNELS, "file_info": model.FILE_INFO, "index": _INDEX, "survey": _SURVEY, "start": _START}
 #: Bytes of a range: a core's share of the large logs, but between these two.
 SMALLEST, LARGEST = 4 << 20, 256 << 20
+#: Partitions a core that small logs and ranges are packed into, and the bytes that opening one counts for.
+WAVES, OPENING = 8, 1 << 18
 
 
 def schema_of(options: dict) -> T.StructType:
@@ -77,11 +79,36 @@ def expand(path: str) -> list[str]:
 
 
 class FilePartition(InputPartition):
-    """A log, or a range of it."""
-
-    def __init__(self, path: str, part: Range | None = None):
-        super().__init__(path)
-        self.path, self.part = path, part
+    """Logs, or ranges of them, that a task reads one after the other."""
+
+    def __init__(self, pieces: list[tuple[str, Range | None]]):
+        super().__init__(pieces[0][0])
+        self.pieces = pieces
+
+
+def weight(path: str, part: Range | None) -> int:
+    """Bytes of a piece, with what opening it counts for."""
+    if part is not None and part.stop is not None:
+        return OPENING + part.stop - part.at
+    try:
+        return OPENING + max(0, os.path.getsize(path) - (part.at if part else 0))
+    except OSError:
+        return OPENING  # whoever reads it says so
+
+
+def gathered(pieces: list[tuple[str, Range | None]], tasks: int) -> list[list[tuple[str, Range | None]]]:
+    """Pieces in order, those that follow each other together up to a share of all for each of ``tasks`` (0: each by itself)."""
+    sizes = [weight(*p) for p in pieces] if tasks else []
+    share = min(sum(sizes) / tasks, LARGEST) if tasks else 0
+    out, held = [], 0
+    for i, p in enumerate(pieces):
+        n = sizes[i] if tasks else 0
+        if not out or not tasks or held + n > share:
+            out.append([])
+            held = 0
+        out[-1].append(p)
+        held += n
+    return out
 
 
 def packed(ranges: dict[str, list[Range]]) -> str:
@@ -105,6 +132,11 @@ class BlfReader(DataSourceReader):
         self.channels = {int(x) for x in wanted.split(",")} if wanted else None
         self.ranges = unpacked(options.get("ranges", "{}"))
         self.each = int(options.get("splitbytes", options.get("splitBytes", SMALLEST)))
+        self.tasks = int(options.get("tasks", 0))
+
+    def __getstate__(self) -> dict:
+        """What tasks need: the pieces come with each partition, so that a task isn't sent the list of all."""
+        return self.__dict__ | {"paths": [], "ranges": {}}
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
         for f in filters:
@@ -118,10 +150,11 @@ class BlfReader(DataSourceReader):
             self.channels = own if self.channels is None else self.channels & own
 
     def partitions(self) -> list[InputPartition]:
-        return [FilePartition(p, r) for p in self.paths for r in self.ranges.get(p, [None])]
+        return [FilePartition(own) for own in gathered([(p, r) for p in self.paths for r in self.ranges.get(p, [None])], self.tasks)]
 
     def read(self, partition: FilePartition) -> Iterator[pa.RecordBatch]:
-        yield from self.tried(lambda: open(partition.path, "rb"), partition.path, partition.part)  # closed by tried
+        for path, part in partition.pieces:
+            yield from self.tried(lambda path=path: open(path, "rb"), path, part)  # closed by tried
 
     def tried(self, opened: Callable[[], BinaryIO], path: str, part: Range | None = None) -> Iterator[pa.RecordBatch]:
         """What the log gives, or what ``onError`` asks for."""
@@ -201,7 +234,7 @@ def _load(spark: SparkSession, path: str | list[str], **options: str) -> DataFra
     paths = path.split(",") if isinstance(path, str) else list(path)
     if any("://" in p and not p.strip().startswith("file://") for p in paths):
         return _remote(spark, [p.strip() for p in paths], options)
-    return spark.read.format("blf").options(path=",".join(paths), **options).load()
+    return _scan(spark, paths, **options)
 
 
 @dataclass
@@ -214,7 +247,7 @@ class Split:
 
 
 def _scan(spark: SparkSession, paths: Iterable[str], **options: str) -> DataFrame:
-    return spark.read.format("blf").options(path=",".join(paths), **options).load()
+    return spark.read.format("blf").options(path=",".join(paths), tasks=str(WAVES * spark.sparkContext.defaultParallelism), **options).load()
 
 
 def _surveyed(spark: SparkSession, ranges: dict[str, list[Range]]) -> dict[tuple[str, int], Survey]:
