@@ -39,6 +39,8 @@ FOLDS, HELD = 5, 0
 SPACE, FEATURES = 1 << 22, 4000
 #: Words whose features a task remembers.
 REMEMBERED = 100_000
+#: New words that are looked at together, and letters of those that are taken as columns of bytes.
+TOGETHER, SHORT = 20_000, 32
 
 #: What a sign or digit may stand for.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
@@ -122,7 +124,12 @@ class Restorer:
     def readings(self, word: str) -> set[str]:
         """All words that a token may be: restored, its parts by blanks, and with the stand-ins at its end."""
         low = word.lower()
-        shorn, bare = _EDGE.sub("", low), _BARE.sub("", low)
+        if low.isalpha() and not _ODD.search(low):
+            return {low}  # letters alone have no edge, and are read as they are
+        shorn = _EDGE.sub("", low)
+        bare = shorn if len(shorn) == len(low) else _BARE.sub("", low)
+        if bare == shorn and shorn.isalpha() and not _ODD.search(shorn):
+            return {shorn}
         found = set()
         for text in [self._read(shorn), *([self.decode(bare, True)] if bare != shorn and _LETTER.search(bare) else [])]:
             parts = text.split()
@@ -143,7 +150,48 @@ def words_of(text: str) -> set[str]:
 def features(word: str) -> list[int]:
     if len(word) < 3:
         return []
-    return [crc32(x.encode()) % SPACE for x in [word, *(f"{word[:n]}*" for n in (4, 5, 6, 7) if len(word) > n)]]
+    raw = word.encode()
+    ends = range(4, min(len(word), 8)) if len(raw) == len(word) else [len(word[:n].encode()) for n in range(4, min(len(word), 8))]
+    out, held, at = [crc32(raw) % SPACE], 0, 0
+    for end in ends:  # each beginning goes on from the one before
+        held, at = crc32(raw[at:end], held), end
+        out.append(crc32(b"*", held) % SPACE)
+    return out
+
+
+def _crc_table() -> np.ndarray:
+    c = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        c = np.where(c & 1, (c >> 1) ^ np.uint32(0xEDB88320), c >> 1).astype(np.uint32)
+    return c
+
+
+_CRC = _crc_table()
+
+
+def plain_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``features`` of words of up to SHORT ASCII letters in small letters, a row each (-1: none), and whether each has a letter
+    three times in a row. The crc32 of all words goes on by a letter at a time."""
+    flat = np.frombuffer(("\n".join(words).lower() + "\n").encode(), np.uint8)
+    end = np.flatnonzero(flat == 10)
+    start = np.concatenate(([0], end[:-1] + 1))
+    size = end - start
+    line = np.append(flat, np.zeros(SHORT, np.uint8))
+    out = np.full((len(words), 5), -1, np.int64)
+    odd, state, last = np.zeros(len(words), bool), np.full(len(words), 0xFFFFFFFF, np.uint32), []
+    step = lambda s, c: _CRC[(s ^ c) & 255] ^ (s >> 8)
+    for j in range(int(size.max())):
+        there, c = j < size, line[start + j]
+        state = np.where(there, step(state, c), state)
+        last = [*last[-2:], c]
+        if j >= 2:
+            odd |= there & (last[0] == c) & (last[1] == c)
+        if 4 <= j + 1 <= 7:
+            longer = size > j + 1
+            out[longer, j - 2] = (~step(state[longer], np.uint32(42))) % SPACE
+    known = size >= 3
+    out[known, 0] = ~state[known] % SPACE
+    return out, odd
 
 
 def features_of(words: set[str]) -> list[int]:
@@ -270,20 +318,38 @@ def score(docs: DataFrame, labels: DataFrame, column: str = "toxicity") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r, m, known = restorer.value, model.value, {}
-        get = known.get
+        kept = np.zeros(SPACE + 1, bool)  # the last place is what -1 means
+        kept[list(m.weights)] = True
+
+        def learn(new: set[str]) -> None:
+            words = [w for w in new if len(w) <= SHORT and w.isascii() and w.isalpha()]
+            if words:
+                made, odd = plain_features(words)
+                known.update(dict.fromkeys(words, ()))
+                found = kept[made]
+                for i in np.flatnonzero(found.any(axis=1) & ~odd).tolist():
+                    known[words[i]] = tuple(made[i][found[i]].tolist())
+                new = new.difference(words).union(words[i] for i in np.flatnonzero(odd).tolist())
+            for w in new:
+                known[w] = tuple(x for x in features_of(r.readings(w)) if x in m.weights)
+
+        def margins(texts: list[str | None]) -> Iterator[float]:
+            waiting, new = [], set()
+            for i, text in enumerate(texts, 1):
+                waiting.append(words_of(text) if text else ())
+                new.update(w for w in waiting[-1] if w not in known)
+                if len(new) >= TOGETHER or i == len(texts):
+                    learn(new)
+                    for words in waiting:
+                        own = {x for w in words if (f := known[w]) for x in f}
+                        yield m.bias + sum(m.weights[x] for x in sorted(own))
+                    waiting, new = [], set()
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+
         for batch in batches:
-            margins = []
-            for text in batch.column(at).to_pylist():
-                own = set()
-                for w in words_of(text) if text else ():
-                    if (f := get(w)) is None:
-                        if len(known) >= REMEMBERED:
-                            known.clear()
-                        f = known[w] = tuple(x for x in features_of(r.readings(w)) if x in m.weights)
-                    if f:
-                        own.update(f)
-                margins.append(m.bias + sum(m.weights[x] for x in sorted(own)))
-            value = 1 / (1 + np.exp(-np.clip(np.array(margins, np.float64), -36, 36)))
+            margins_ = list(margins(batch.column(at).to_pylist()))
+            value = 1 / (1 + np.exp(-np.clip(np.array(margins_, np.float64), -36, 36)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value)], [*batch.schema.names, column])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(column, DoubleType())]))

@@ -92,3 +92,16 @@ def test_long_disguised_token_and_text():
     assert "idiot" in {w for w in r.readings(token)} or any(w.endswith("idiot") for w in r.readings(token))
     words = toxicity.words_of("fine words " * 50_000 + "idiot")
     assert words == {"fine", "words", "idiot"}
+
+
+def test_plain_words_are_read_together():
+    """Features of many words at once are those of each, and plain words go through no decoder."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcXYZ") for _ in range(rng.randrange(1, toxicity.SHORT + 1))) for _ in range(500)] + ["aaa", "ab", "baaa", "aabaa", "x" * toxicity.SHORT]
+    made, odd = toxicity.plain_features(words)
+    long = lambda w: [zlib.crc32(x.encode()) % toxicity.SPACE for x in [w, *(f"{w[:n]}*" for n in (4, 5, 6, 7) if len(w) > n)]] if len(w) > 2 else []
+    for w, row, o in zip(words, made.tolist(), odd.tolist()):
+        assert [x for x in row if x >= 0] == long(w.lower()) == toxicity.features(w.lower())
+        assert o == any(w.lower()[i] * 3 == w.lower()[i : i + 3] for i in range(len(w)))
+    assert toxicity.features("Ünïcödé") == long("Ünïcödé")
+    assert toxicity.Restorer(None).readings("Plain,") == {"plain"} == toxicity.Restorer(None).readings("PLAIN")
