@@ -1,8 +1,8 @@
 """SimHash near-dedup at a stated similarity: texts whose sets of five words have a Jaccard similarity of 0.8 or more.
 
-The same steps as ``simhash``, at a wider radius: fingerprints of the sets, a table of their distances to pivots, pairs
-discarded by their largest coordinate difference, survivors verified, here by the sets themselves. At 0.8 fingerprints
-differ in 10 of 64 bits (in ``WIDE`` or more with a chance below 10**-7), where cells of pivot distances propose next to
+First the steps of ``simhash`` as they are, over fingerprints of the sets: candidates by the table of distances to pivots, the
+discard by coordinates, the exact distance of ``RADIUS`` bits; what they link is verified by the sets themselves. The same steps
+at a wider radius find the rest: at 0.8 fingerprints differ in 10 of 64 bits (in ``WIDE`` or more with a chance below 10**-7), where cells of pivot distances propose next to
 all pairs; so blocks propose them: a set's ``BANDS`` keys are each made of ``ROWS`` minima, and two sets at similarity s
 share one with 1 - (1 - s**ROWS)**BANDS: all but 7 in 10**10 at 0.8. Each set is compared with the first member of its
 blocks that leads most of them. Blocks whose members are not one component after this are settled as a whole, by those
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from canloom.llm.common import materialize, member, membership, scratch, small_batches, utf8
 from canloom.llm.components import Forest, components
-from canloom.llm.simhash import PivotTable, majority
+from canloom.llm.simhash import RADIUS, PivotTable, fingerprint_links, majority
 
 SHINGLE = 5
 #: Bits that fingerprints of similar sets may differ in.
@@ -89,18 +89,21 @@ def unpacked(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
 def node_of(own: np.ndarray) -> int:
     from xxhash import xxh64_intdigest
 
-    h = xxh64_intdigest(own.tobytes(), 42)
-    return h - (1 << 64) if h >> 63 else h
+    return signed(xxh64_intdigest(own.tobytes(), 42))
 
 
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to node and, for the first row of a node in this partition, its band keys."""
+    """(doc_id, text) to node and, for the first row of a node in this partition, its band keys and fingerprint."""
     seen: set[int] = set()
     for batch in batches:
-        nodes, keys, ends, there = [], [], [0], []
+        nodes, keys, ends, there, prints = [], [], [0], [], []
         for t in utf8(batch.column(1)):
             own = shingles(t)
             nodes.append(node_of(own))
@@ -108,10 +111,11 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if there[-1]:
                 seen.add(nodes[-1])
                 keys.append(band_keys(own))
+            prints.append(signed(majority(own)) if there[-1] else None)
             ends.append(len(keys) * BANDS)
         flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=pa.array([not x for x in there], pa.bool_()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), lists], ["doc_id", "node", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), lists, pa.array(prints, pa.int64())], ["doc_id", "node", "keys", "fp"])
 
 
 def _sets(wanted):
@@ -126,8 +130,7 @@ def _sets(wanted):
             for n, x, own in zip(nodes.tolist(), made, member(wanted.value, nodes).tolist()):
                 if own and n not in seen:
                     seen.add(n)
-                    f = majority(x)
-                    out.append((n, f - (1 << 64) if f >> 63 else f, packed(x)))
+                    out.append((n, signed(majority(x)), packed(x)))
             cols = list(zip(*out)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary()))], ["node", "fp", "own"])
 
@@ -183,6 +186,18 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["u", "v"])
 
 
+def _agreed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (u, v, own, other): the pairs whose sets are similar."""
+    for batch in batches:
+        pairs = []
+        for u, v, own, other in zip(*(c.to_pylist() for c in batch.columns)):
+            x, y = unpacked(own), unpacked(other)
+            if similar(min(len(x), len(y)), len(x), len(y)) and similar(len(np.intersect1d(x, y, True)), len(x), len(y)):
+                pairs.append((u, v))
+        cols = list(zip(*pairs)) or [()] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["u", "v"])
+
+
 def links(node: list[int], component: list[int], fp: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Pairs of similar sets that join what components of the given nodes touch."""
     size, out = np.array([len(s) for s in sets]), []
@@ -234,14 +249,17 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id and component of every row of docs(doc_id, text); a component is named by one of its nodes."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_named, "doc_id long, node long, keys array<long>"), "bands")
+    rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_named, "doc_id long, node long, keys array<long>, fp long"), "bands")
+    # what fingerprints tell: pairs within RADIUS bits, by the pivots
+    prints = rows.where("keys is not null").select("node", "fp").distinct()
+    close = materialize(fingerprint_links(prints, PivotTable(), RADIUS).distinct(), "close", narrow=True)
     # a node's keys come once from each partition that has it; its row repeats in a block and is dropped there
     keyed = rows.where("keys is not null").select(F.explode("keys").alias("key"), "node")
     blocks = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_blocks, "key long, node long, leader long")
     blocks = materialize(blocks, "blocks", narrow=True)
     pairs = blocks.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("n"))
     best = materialize(pairs.groupBy("node").agg(F.max(F.struct("n", (-F.col("leader")).alias("less"), "leader")).alias("m")).select("node", "m.leader"), "stars", narrow=True)
-    every = blocks.select("node").distinct()
+    every = blocks.select("node").unionByName(close.select(F.explode(F.array("u", "v")).alias("node"))).distinct()
     wanted = spark.sparkContext.broadcast(membership(every, "node"))
     sets = docs.select("text").mapInArrow(_sets(wanted), "node long, fp long, own binary")
     sets = materialize(sets.dropDuplicates(["node"]), "sets")
@@ -252,7 +270,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     following = best.join(leaders, "leader").select("node", "leader", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), F.lit(1).alias("follows"))
     dealt = own.unionByName(following).join(sets, "node").select("leader", "part", "follows", "node", "fp", "own")
     dealt = dealt.repartition("leader", "part").sortWithinPartitions("leader", "part", "follows")
-    edges = materialize(dealt.mapInArrow(_verified, "u long, v long"), "links", narrow=True)
+    side = lambda c, own: sets.select(F.col("node").alias(c), F.col("own").alias(own))
+    told = close.join(side("u", "own"), "u").join(side("v", "other"), "v").select("u", "v", "own", "other").mapInArrow(_agreed, "u long, v long")
+    edges = materialize(dealt.mapInArrow(_verified, "u long, v long").unionByName(told), "links", narrow=True)
     found = components(edges)
     named = materialize(blocks.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "named", narrow=True)
     left = named

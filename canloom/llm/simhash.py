@@ -212,14 +212,18 @@ def _bucket_links(table: PivotTable, radius: int):
     return run
 
 
+def fingerprint_links(nodes: DataFrame, table: PivotTable, radius: int) -> DataFrame:
+    """(u, v): pairs that join all of nodes(node, fp) within reach of each other by links of ``radius`` or fewer bits."""
+    keyed = nodes.select("node", "fp").mapInArrow(_candidates(table, radius), "key long, node long, fp long")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_links(table, radius), "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row of docs(doc_id, text)."""
     table = PivotTable(segments, radius)
     prints = materialize(fingerprints(docs), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID) + F.pmod(F.xxhash64("fp"), F.lit(NO_ID))).alias("node"))
-    keyed = nodes.select("node", "fp").mapInArrow(_candidates(table, radius), "key long, node long, fp long")
-    edges = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_links(table, radius), "u long, v long")
-    found = components(edges)
+    found = components(fingerprint_links(nodes, table, radius))
     named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
     return prints.join(named, "fp").select(
         "doc_id",

@@ -83,3 +83,23 @@ def test_fingerprints_of_similar_sets_are_near():
     assert worst < n.WIDE
     other = rng.integers(0, 1 << 64, (2, 4000), np.uint64)
     assert n.near(pivots.whole_distances(other[0]), pivots.whole_distances(other[1]), *other).mean() < 0.25
+
+
+def test_the_pivots_propose(spark, monkeypatch):
+    """Copies whose fingerprints are near are found by the pivots without any block; pairs that aren't similar are not."""
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(6))
+    texts = []
+    for _ in range(20):
+        base = [word() for _ in range(2000)]
+        texts += [base, [*base[:-1], "end"]]
+    a, b = (np.array([majority(n.shingles(" ".join(t).encode()))], np.uint64) for t in texts[:2])
+    assert np.bitwise_count(a ^ b)[0] <= 3
+
+    def nothing(batches):
+        for batch in batches:
+            yield batch.slice(0, 0).select([0, 1, 1]).rename_columns(["key", "node", "leader"])
+
+    monkeypatch.setattr(n, "_blocks", nothing)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    assert {r.doc_id for r in n.one_of_each(docs).collect()} == set(range(0, 40, 2))
