@@ -297,7 +297,8 @@ def fit(docs: DataFrame, labels: DataFrame, restorer) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), batch.column(1), pa.array(rows, pa.list_(pa.int32()))], ["toxic", "row", "features"])
 
     with scratch(docs.sparkSession):
-        every = materialize(chosen.mapInArrow(run, "toxic int, row long, features array<int>"), "features")
+        # a bounded table: however many partitions a shuffle has, it is a few files
+        every = materialize(chosen.mapInArrow(run, "toxic int, row long, features array<int>"), "features", narrow=True)
         kept = surest(every)
         table = every.select("toxic", "row", F.array_intersect("features", F.array(*map(F.lit, kept)).cast("array<int>")).alias("features")).orderBy("row", "toxic").toArrow().combine_chunks()
     if not table.num_rows:

@@ -105,3 +105,29 @@ def test_plain_words_are_read_together():
         assert o == any(w.lower()[i] * 3 == w.lower()[i : i + 3] for i in range(len(w)))
     assert toxicity.features("Ünïcödé") == long("Ünïcödé")
     assert toxicity.Restorer(None).readings("Plain,") == {"plain"} == toxicity.Restorer(None).readings("PLAIN")
+
+
+def test_features_are_few_files_at_any_number_of_partitions(spark, monkeypatch):
+    """Each file that an executor writes starts a process that counts as large as the executor: a bounded table has few of them."""
+    rng = random.Random(14)
+    docs = [(i, " ".join(rng.choice(["some", "plain", "words", "here"]) for _ in range(8)) + " 1d10t" * (i % 7 == 1), int(i % 7 == 1)) for i in range(400)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    run = lambda: sorted((r.doc_id, r.score) for r in toxicity.report(d, d.select("doc_id", "toxic")).collect())
+    plain, files, kept = run(), {}, toxicity.materialize
+
+    def counted(df, what, **more):
+        out = kept(df, what, **more)
+        files[what] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(toxicity, "materialize", counted)
+    settings = {"spark.sql.shuffle.partitions": "61", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        assert run() == plain
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert 1 <= files["features"] <= 2 * spark.sparkContext.defaultParallelism
